@@ -1,29 +1,55 @@
-"""Scalar column functions shared by the extractors (all JVM-side)."""
+"""Scalar expressions shared by the extractors, as Spark SQL text.
+
+Expressions in this package are SQL fragments (``str -> str``) that end up in
+one ``F.expr`` per output column.  An extractor holds a few thousand operator
+nodes; as text they reach the JVM in one call, where building them node by node
+through the Column API took seconds.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 from types import SimpleNamespace
 
-from pyspark.sql import Column, functions as F
-
 NBSP = "\u00a0"
+_ids = count(1)
+
+
+def lit(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def each(function: str, array: str, body: Callable[..., str], arity: int = 1) -> str:
+    """Higher-order function call with fresh variable names."""
+    names = [f"v{next(_ids)}" for _ in range(arity)]
+    head = names[0] if arity == 1 else f"({', '.join(names)})"
+    return f"{function}({array}, {head} -> {body(*names)})"
+
+
+def keep(array: str, pred: Callable[[str], str]) -> str:
+    return each("filter", array, pred)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+def mapped(array: str, body: Callable[..., str], arity: int = 1) -> str:
+    return each("transform", array, body, arity)
+
+
+def let(value: str, body: Callable[[str], str]) -> str:
     """Bind ``value`` once and use it many times inside one expression.
 
     A lambda variable is never inlined by the optimizer, so a costly value used
     inside another lambda is still computed once and not once per element.
     """
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+    return f"get({mapped(f'array({value})', body)}, 0)"
 
 
-def lets(body: Callable[[SimpleNamespace], Column], **steps: Callable[[SimpleNamespace], Column]):
+def lets(body: Callable[[SimpleNamespace], str], **steps: Callable[[SimpleNamespace], str]) -> str:
     """Bind several values in order; each step sees the ones before it."""
     names = list(steps)
 
-    def bind(i: int, env: dict[str, Column]) -> Column:
+    def bind(i: int, env: dict[str, str]) -> str:
         if i == len(names):
             return body(SimpleNamespace(**env))
         value = steps[names[i]](SimpleNamespace(**env))
@@ -32,34 +58,47 @@ def lets(body: Callable[[SimpleNamespace], Column], **steps: Callable[[SimpleNam
     return bind(0, {})
 
 
-def ws_trim(c: Column) -> Column:
+def case(*branches: tuple[str, str], other: str = "NULL") -> str:
+    arms = " ".join(f"WHEN {cond} THEN {value}" for cond, value in branches)
+    return f"(CASE {arms} ELSE {other} END)"
+
+
+def struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def ws_trim(x: str) -> str:
     """Strip Unicode white space, NBSP included, at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return rf"regexp_replace({x}, r'(?U)^\s+|\s+$', '')"
 
 
-def plain_spaces(c: Column) -> Column:
+def plain_spaces(x: str) -> str:
     """NBSP -> space."""
-    return F.translate(c, NBSP, " ")
+    return f"translate({x}, '{NBSP}', ' ')"
 
 
-def absent(c: Column) -> Column:
+def absent(x: str) -> str:
     """The absence rule: an empty string is NULL."""
-    return let(c, lambda v: F.nullif(v, F.lit("")))
+    return let(x, lambda v: f"if({v} = '', NULL, {v})")
 
 
-def strict_int(c: Column, to: str = "int") -> Column:
+def strict_int(x: str, to: str = "INT") -> str:
     """Whole decimal number or NULL; no blanks, fractions or exponents."""
-    return let(c, lambda v: F.when(v.rlike(r"^[+-]?[0-9]+\z"), v.try_cast(to)))
+    return let(x, lambda v: case((rf"rlike({v}, r'^[+-]?[0-9]+\z')", f"try_cast({v} AS {to})")))
+
+
+def positive(x: str) -> str:
+    """0 counts as absent."""
+    return let(x, lambda v: f"if({v} = 0, NULL, {v})")
 
 
-def pixels(c: Column) -> Column:
-    """Image size; 0 counts as absent."""
-    return let(strict_int(c), lambda v: F.nullif(v, F.lit(0)))
+def pixels(x: str) -> str:
+    return positive(strict_int(x))
 
 
-def epoch_time(c: Column) -> Column:
+def epoch_time(x: str) -> str:
     """Epoch seconds as text -> timestamp, NULL for a bad number."""
-    return F.timestamp_seconds(strict_int(c, "bigint"))
+    return f"timestamp_seconds({strict_int(x, 'BIGINT')})"
 
 
 _RFC3339 = (
@@ -67,13 +106,13 @@ _RFC3339 = (
 )
 
 
-def rfc3339(c: Column) -> Column:
+def rfc3339(x: str) -> str:
     """RFC 3339 text -> timestamp.  The pattern keeps out date-only and zone-less
     forms, which a bare cast would take."""
     return let(
-        c,
-        lambda v: F.when(
-            v.rlike(_RFC3339), F.replace(v, F.lit(","), F.lit(".")).try_cast("timestamp")
+        x,
+        lambda v: case(
+            (f"rlike({v}, r'{_RFC3339}')", f"try_cast(replace({v}, ',', '.') AS TIMESTAMP)")
         ),
     )
 
@@ -81,7 +120,8 @@ def rfc3339(c: Column) -> Column:
 _ESCAPES = [("&", "&amp;"), ("'", "&#39;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("\r", "&#13;")]
 
 
-def escape_html(c: Column) -> Column:
+def escape_html(x: str) -> str:
     for plain, ref in _ESCAPES:
-        c = F.replace(c, F.lit(plain), F.lit(ref))
-    return c
+        plain = "'\\r'" if plain == "\r" else lit(plain)
+        x = f"replace({x}, {plain}, '{ref}')"
+    return x

@@ -1,80 +1,73 @@
 """Article pages of site A -> one record per page.
 
 The page kind is settled first.  A dispatch over the whole page then finds the
-metadata nodes and the body, and a second one inside the body finds the content
-blocks.  Each output column binds what it needs, so an unused column costs
-nothing.
+metadata nodes and the body, a second one inside the body claims the nodes that
+make content blocks.  Every output column binds what it needs, so a column
+nobody reads costs nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pageloom import fixed
-from pageloom.functions.scalars import absent, let, lets, rfc3339, strict_int, ws_trim
+from pageloom.functions.scalars import (
+    absent, case, keep, let, lets, lit, mapped, positive, rfc3339, strict_int, ws_trim,
+)
 from pageloom.operators import tree as t
 from pageloom.plans import blocks as b
 
+_SINGLE, _PHOTO, _VIDEO = lit(fixed.KIND_A_SINGLE), lit(fixed.KIND_A_PHOTO), lit(fixed.KIND_A_VIDEO)
+
 
 def _meta(name: str) -> t.Predicate:
     return t.match("meta", {"name": name})
 
 
-def _content(node: Column) -> Column:
+def _content(node: str) -> str:
     return t.attr(node, "content")
 
 
-def is_paragraph(node: Column) -> Column:
-    return t.match("p")(node) & (node["n_attrs"] == 0)
-
-
-_STRONG = ("strong", t.match("strong"))
-_PARAGRAPH = ("paragraph", is_paragraph)
-SINGLE_RULES = [
-    _STRONG,
-    _PARAGRAPH,
-    ("image", t.match("div", {"class": fixed.A_IMAGE})),
-    ("section", t.match("h2")),
-    ("reference", t.match("div", {"class": fixed.A_REFERENCE})),
-]
-PHOTO_RULES = [
-    ("header", t.match(attrs={"class": fixed.A_PHOTO_HEADER})),
-    _PARAGRAPH,
-    ("slider", t.match(attrs={"id": fixed.A_PHOTO_SLIDER_ID})),
-]
-VIDEO_RULES = [_PARAGRAPH]
+def _when(kind: str, value: str, pred: t.Predicate) -> t.Predicate:
+    return lambda n: f"({kind} = {value} AND {pred(n)})"
 
 
-def _page_rules(kind: Column):
-    def of(*kinds_and_preds):
-        def test(node: Column) -> Column:
-            cond = F.lit(False)
-            for value, pred in kinds_and_preds:
-                cond = cond | ((kind == value) & pred(node))
-            return cond
+def is_paragraph(node: str) -> str:
+    return f"({t.match('p')(node)} AND {node}.n_attrs = 0)"
 
-        return test
 
-    single, photo, video = fixed.KIND_A_SINGLE, fixed.KIND_A_PHOTO, fixed.KIND_A_VIDEO
+def page_rules(kind: str):
+    mains = [
+        _when(kind, _SINGLE, t.match("div", {"class": fixed.A_BODY})),
+        _when(kind, _PHOTO, t.match(attrs={"class": fixed.A_DETAIL})),
+        _when(kind, _VIDEO, t.match("div", {"class": fixed.A_DETAIL})),
+    ]
+    figure = t.match("figure", {"class": fixed.A_HEADLINE_IMAGE})
     return [
         ("kind", _meta(fixed.A_META_KIND)),
         ("author", _meta(fixed.A_META_AUTHOR)),
-        ("duration", of((video, _meta(fixed.A_META_DURATION)))),
+        ("duration", _when(kind, _VIDEO, _meta(fixed.A_META_DURATION))),
         ("jsonld", t.match("script", {"type": fixed.JSON_LD})),
-        (
-            "main",
-            of(
-                (single, t.match("div", {"class": fixed.A_BODY})),
-                (photo, t.match(attrs={"class": fixed.A_DETAIL})),
-                (video, t.match("div", {"class": fixed.A_DETAIL})),
-            ),
-        ),
-        ("headline", of((single, t.match("figure", {"class": fixed.A_HEADLINE_IMAGE})))),
+        ("main", lambda n: "(" + " OR ".join(m(n) for m in mains) + ")"),
+        ("headline", _when(kind, _SINGLE, figure)),
         ("related", t.match("div", {"id": fixed.A_RELATED_ID})),
     ]
 
 
-def _named_image(imgs: Column, caption: Column, url=lambda n: t.attr(n, "src")) -> Column:
+def body_rules(kind: str):
+    """Rules inside the body, in order of priority; each kind has its own set."""
+    return [
+        ("strong", _when(kind, _SINGLE, t.match("strong"))),
+        ("header", _when(kind, _PHOTO, t.match(attrs={"class": fixed.A_PHOTO_HEADER}))),
+        ("paragraph", is_paragraph),
+        ("image", _when(kind, _SINGLE, t.match("div", {"class": fixed.A_IMAGE}))),
+        ("section", _when(kind, _SINGLE, t.match("h2"))),
+        ("reference", _when(kind, _SINGLE, t.match("div", {"class": fixed.A_REFERENCE}))),
+        ("slider", _when(kind, _PHOTO, t.match(attrs={"id": fixed.A_PHOTO_SLIDER_ID}))),
+    ]
+
+
+def _named_image(imgs: str, caption: str, url=lambda n: t.attr(n, "src")) -> str:
     """Image fields of several img nodes: per field the last one that has it."""
     return b.image(
         url=absent(t.last_of(imgs, url)),
@@ -87,232 +80,188 @@ def _named_image(imgs: Column, caption: Column, url=lambda n: t.attr(n, "src"))
 # -- blocks ---------------------------------------------------------------------
 
 
-def paragraph_block(nodes: Column, p: Column) -> Column:
-    """Text paragraph, or a video when the paragraph holds an embed link."""
-    embed = t.find_first(
-        t.subtree(nodes, p),
-        lambda n: t.match("a", {"class": fixed.A_EMBED})(n) & (n["parent"] == p["pre"]),
-    )
+def paragraph_block(p: str) -> str:
+    """Text paragraph, or a video when an embed link is a child of the paragraph."""
+    embed = t.match("a", {"class": fixed.A_EMBED})
 
-    def of(link: Column) -> Column:
-        return F.when(
-            link.isNotNull(),
-            b.block(fixed.VIDEO, video=b.video(embedded_url=absent(t.attr(link, "href")))),
-        ).otherwise(
-            let(
-                absent(t.mixed(nodes, p)),
-                lambda s: F.when(s.isNotNull(), b.block(fixed.PARAGRAPH, text=s)),
-            )
+    def of(link: str) -> str:
+        text = let(
+            t.mixed("nodes", p),
+            lambda s: case((f"{s} != ''", b.block(fixed.PARAGRAPH, text=s))),
         )
+        video = b.block(fixed.VIDEO, video=b.video(embedded_url=absent(t.attr(link, "href"))))
+        return case((f"{link} IS NOT NULL", video), other=text)
 
-    return let(embed, of)
+    children = t.find_first(
+        t.subtree("nodes", p), lambda n: f"{embed(n)} AND {n}.parent = {p}.pre"
+    )
+    return let(children, of)
 
 
-def image_block(nodes: Column, div: Column) -> Column:
-    def of(e) -> Column:
-        imgs = F.filter(
+def image_block(div: str) -> str:
+    def of(e) -> str:
+        imgs = keep(
             e.scope,
-            lambda n: t.match("img")(n) & (e.span.isNull() | (n["pre"] < e.span["pre"])),
+            lambda n: f"{t.match('img')(n)} AND ({e.span} IS NULL OR {n}.pre < {e.span}.pre)",
         )
-        caption = F.when(e.span.isNotNull(), t.text(nodes, e.span))
-        return b.block(fixed.IMAGE, image=let(imgs, lambda i: _named_image(i, caption)))
+        caption = t.text("nodes", e.span)
+        return let(imgs, lambda i: b.block(fixed.IMAGE, image=_named_image(i, caption)))
 
     return lets(
         of,
-        scope=lambda e: t.subtree(nodes, div),
+        scope=lambda e: t.subtree("nodes", div),
         span=lambda e: t.find_first(e.scope, t.match("span")),
     )
 
 
-def section_block(nodes: Column, h2: Column) -> Column:
-    return b.block(fixed.SECTION, text=absent(t.mixed(nodes, h2)))
+def section_block(h2: str) -> str:
+    return b.block(fixed.SECTION, text=absent(t.mixed("nodes", h2)))
 
 
-def reference_block(nodes: Column, div: Column) -> Column:
+def reference_block(div: str) -> str:
     return let(
-        t.find_first(t.subtree(nodes, div), t.match("a")),
+        t.find_first(t.subtree("nodes", div), t.match("a")),
         lambda a: b.block(
             fixed.REFERENCE,
-            ref=b.reference(absent(t.last_text(nodes, a)), absent(t.attr(a, "href"))),
+            ref=b.reference(absent(t.last_text("nodes", a)), absent(t.attr(a, "href"))),
         ),
     )
 
 
-def slider_blocks(nodes: Column, slider: Column) -> Column:
-    def lazy(img: Column) -> Column:
-        return F.coalesce(absent(t.attr(img, "data-lazy")), t.attr(img, "src"))
+def slider_blocks(slider: str) -> str:
+    def lazy(img: str) -> str:
+        return f"coalesce({absent(t.attr(img, 'data-lazy'))}, {t.attr(img, 'src')})"
 
-    def figure(fig: Column) -> Column:
-        def of(parts: Column) -> Column:
+    def figure(fig: str) -> str:
+        def of(parts: str) -> str:
             caption = t.last_of(
-                F.filter(parts, t.match("figcaption")),
-                lambda c: ws_trim(t.mixed(nodes, c, ("figcaption", "div"))),
+                keep(parts, t.match("figcaption")),
+                lambda c: ws_trim(t.mixed("nodes", c, ("figcaption", "div"))),
+            )
+            return let(
+                keep(parts, t.match("img")),
+                lambda i: b.block(fixed.IMAGE, image=_named_image(i, caption, lazy)),
             )
-            imgs = F.filter(parts, t.match("img"))
-            return b.block(fixed.IMAGE, image=let(imgs, lambda i: _named_image(i, caption, lazy)))
 
         wanted = t.outermost(
-            t.subtree(nodes, fig), lambda n: t.match("img")(n) | t.match("figcaption")(n)
+            t.subtree("nodes", fig),
+            lambda n: f"({t.match('img')(n)} OR {t.match('figcaption')(n)})",
         )
         return let(wanted, of)
 
-    return F.transform(t.outermost(t.subtree(nodes, slider), t.match("figure")), figure)
+    return mapped(t.outermost(t.subtree("nodes", slider), t.match("figure")), figure)
 
 
-def _contents(nodes: Column, kind: Column, mains: Column, json_video: Column) -> Column:
-    def single(main: Column) -> Column:
-        return F.transform(
-            t.dispatch(t.subtree(nodes, main), SINGLE_RULES),
-            lambda h: F.when(h["rule"] == "paragraph", paragraph_block(nodes, h["node"]))
-            .when(h["rule"] == "image", image_block(nodes, h["node"]))
-            .when(h["rule"] == "section", section_block(nodes, h["node"]))
-            .when(h["rule"] == "reference", reference_block(nodes, h["node"])),
-        )
+def _contents(claimed: str, json_video: str) -> str:
+    def one(hit: str) -> str:
+        node = f"{hit}.node"
 
-    def photo(main: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                t.dispatch(t.subtree(nodes, main), PHOTO_RULES),
-                lambda h: F.when(
-                    h["rule"] == "paragraph", F.array(paragraph_block(nodes, h["node"]))
-                )
-                .when(h["rule"] == "slider", slider_blocks(nodes, h["node"]))
-                .otherwise(b.no_blocks()),
-            )
-        )
+        def when(rule: str) -> str:
+            return f"{hit}.rule = {lit(rule)}"
 
-    def video(main: Column) -> Column:
-        paragraphs = F.transform(
-            t.outermost(t.subtree(nodes, main), is_paragraph),
-            lambda p: paragraph_block(nodes, p),
+        return case(
+            (when("paragraph"), f"array({let(node, paragraph_block)})"),
+            (when("image"), f"array({let(node, image_block)})"),
+            (when("section"), f"array({let(node, section_block)})"),
+            (when("reference"), f"array({let(node, reference_block)})"),
+            (when("slider"), let(node, slider_blocks)),
+            (when("player"), f"array({b.block(fixed.VIDEO, video=json_video)})"),
+            other=b.NONE,
         )
-        return F.concat(F.array(b.block(fixed.VIDEO, video=json_video)), paragraphs)
 
-    return (
-        F.when(kind == fixed.KIND_A_SINGLE, b.present(F.flatten(F.transform(mains, single))))
-        .when(kind == fixed.KIND_A_PHOTO, b.present(F.flatten(F.transform(mains, photo))))
-        .when(kind == fixed.KIND_A_VIDEO, b.present(F.flatten(F.transform(mains, video))))
-        .otherwise(b.no_blocks())
-    )
+    return b.present(f"flatten({mapped(claimed, one)})")
 
 
 # -- other parts ------------------------------------------------------------------
 
 
-def _headline_image(nodes: Column, figures: Column) -> Column:
+def _headline_image(figures: str) -> str:
     """The last figure wins as a whole."""
 
-    def of(fig: Column) -> Column:
-        def fields(scope: Column) -> Column:
-            caption = ws_trim(
-                F.array_join(
-                    F.transform(
-                        F.filter(scope, t.match("figcaption")), lambda c: t.text(nodes, c)
-                    ),
-                    "",
-                )
+    def of(fig: str) -> str:
+        def fields(scope: str) -> str:
+            captions = mapped(
+                keep(scope, t.match("figcaption")), lambda c: t.text("nodes", c)
             )
             return let(
-                F.filter(scope, t.match("img")), lambda imgs: _named_image(imgs, caption)
+                keep(scope, t.match("img")),
+                lambda i: _named_image(i, ws_trim(f"array_join({captions}, '')")),
             )
 
-        return F.when(fig.isNotNull(), let(t.subtree(nodes, fig), fields))
+        return case((f"{fig} IS NOT NULL", let(t.subtree("nodes", fig), fields)))
 
-    return let(F.try_element_at(figures, F.lit(-1)), of)
+    return let(t.last(figures), of)
 
 
-def _strong_place(nodes: Column, mains: Column) -> Column:
-    """Last text of the first strong that has text."""
-    strongs = F.flatten(
-        F.transform(
-            mains, lambda m: t.nodes_of(t.dispatch(t.subtree(nodes, m), SINGLE_RULES), "strong")
+def _photo_title(headers: str) -> str:
+    return absent(
+        t.last_of(
+            headers,
+            lambda header: let(
+                t.find_first(t.subtree("nodes", header), t.match("h1")),
+                lambda h1: case((f"{h1} IS NOT NULL", ws_trim(t.text("nodes", h1)))),
+            ),
         )
     )
-    return F.get(
-        F.filter(F.transform(strongs, lambda s: t.last_text(nodes, s)), lambda v: v.isNotNull()),
-        F.lit(0),
-    )
 
 
-def _photo_title(nodes: Column, mains: Column) -> Column:
-    headers = F.flatten(
-        F.transform(
-            mains, lambda m: t.nodes_of(t.dispatch(t.subtree(nodes, m), PHOTO_RULES), "header")
+def _related(roots: str) -> str:
+    def link(a: str) -> str:
+        return b.related(
+            absent(t.attr(a, fixed.A_RELATED_TITLE_ATTR)), absent(t.attr(a, "href"))
         )
-    )
 
-    def title(header: Column) -> Column:
-        return let(
-            t.find_first(t.subtree(nodes, header), t.match("h1")),
-            lambda h1: F.when(h1.isNotNull(), ws_trim(t.text(nodes, h1))),
-        )
+    def card(article: str) -> str:
+        return mapped(t.find_all(t.subtree("nodes", article), t.match("a")), link)
 
-    return absent(t.last_of(headers, title))
+    def of(root: str) -> str:
+        cards = t.outermost(t.subtree("nodes", root), t.match("article"))
+        return f"flatten({mapped(cards, card)})"
 
+    return f"flatten({mapped(roots, of)})"
 
-def _related(nodes: Column, roots: Column) -> Column:
-    def of(root: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                t.outermost(t.subtree(nodes, root), t.match("article")),
-                lambda art: F.transform(
-                    t.find_all(t.subtree(nodes, art), t.match("a")),
-                    lambda a: b.related(
-                        absent(t.attr(a, fixed.A_RELATED_TITLE_ATTR)), absent(t.attr(a, "href"))
-                    ),
-                ),
-            )
-        )
 
-    return F.flatten(F.transform(roots, of))
+def parts_a(trees: DataFrame) -> DataFrame:
+    """Page kind and claimed nodes: ``page_id, url, nodes, kind, top, claimed``.
 
+    ``top`` holds the metadata nodes and bodies, ``claimed`` the block nodes of
+    all bodies in page order.
+    """
+    kind = absent(t.last_of(keep("nodes", _meta(fixed.A_META_KIND)), _content))
 
-def parts_a(trees: DataFrame) -> DataFrame:
-    """Page kind and the claimed nodes: ``page_id, url, nodes, kind, top, mains``."""
-    nodes = F.col("nodes")
-    kinded = trees.select(
-        "page_id",
-        "url",
-        "nodes",
-        absent(t.last_value(nodes, _meta(fixed.A_META_KIND), _content)).alias("kind"),
-    )
-    return kinded.select(
-        "page_id", "url", "nodes", "kind",
-        let(F.col("kind"), lambda kind: t.dispatch(nodes, _page_rules(kind))).alias("top"),
+    def claim(main: str) -> str:
+        inside = let("kind", lambda k: t.dispatch(t.subtree("nodes", main), body_rules(k)))
+        player = f"array(named_struct('rule', 'player', 'node', {main}))"
+        return case((f"kind = {_VIDEO}", f"concat({player}, {inside})"), other=inside)
+
+    claimed = f"flatten({mapped(t.nodes_of('top', 'main'), claim)})"
+    return (
+        trees.select("page_id", "url", "nodes", F.expr(kind).alias("kind"))
+        .select("*", F.expr(let("kind", lambda k: t.dispatch("nodes", page_rules(k)))).alias("top"))
+        .select("*", F.expr(claimed).alias("claimed"))
     )
 
 
 def article_a(trees: DataFrame) -> DataFrame:
     """``page_id, link, kind, headline, headline_image, description, author,
     published_from, published_at, updated_at, duration, contents, related``."""
-    nodes, kind, top = F.col("nodes"), F.col("kind"), F.col("top")
-    parts = parts_a(trees)
-
-    news_json = let(
-        top,
-        lambda hits: F.get(
-            F.filter(
-                F.transform(t.nodes_of(hits, "jsonld"), lambda s: t.text(nodes, s)),
-                lambda s: s.rlike(fixed.A_JSON_NEWS),
-            ),
-            F.lit(0),
-        ),
-    )
-    parts = parts.select("*", F.try_parse_json(news_json).alias("news"))
-    news = F.col("news")
 
-    def field(path: str) -> Column:
-        return absent(F.try_variant_get(news, f"$.{path}", "string"))
+    def field(path: str) -> str:
+        return absent(f"try_variant_get(news, '$.{path}', 'string')")
 
-    def with_nodes(rule: str, body) -> Column:
-        return let(top, lambda hits: let(t.nodes_of(hits, rule), body))
+    def top(rule: str, body) -> str:
+        return let(t.nodes_of("top", rule), body)
 
-    duration = F.when(
-        kind == fixed.KIND_A_VIDEO,
-        F.nullif(
-            strict_int(with_nodes("duration", lambda found: t.last_of(found, _content)), "bigint"),
-            F.lit(0),
-        ),
+    def claimed(rule: str, body) -> str:
+        return let(t.nodes_of("claimed", rule), body)
+
+    scripts = mapped(t.nodes_of("top", "jsonld"), lambda s: t.text("nodes", s))
+    news = f"get({keep(scripts, lambda s: f'rlike({s}, r{chr(39)}{fixed.A_JSON_NEWS}{chr(39)})')}, 0)"
+    duration = case(
+        (
+            f"kind = {_VIDEO}",
+            positive(strict_int(top("duration", lambda d: t.last_of(d, _content)), "BIGINT")),
+        )
     )
     json_video = b.video(
         url=field("video.contentUrl"),
@@ -322,26 +271,29 @@ def article_a(trees: DataFrame) -> DataFrame:
         duration=duration,
         thumbnail=field("video.thumbnailUrl"),
     )
-    photo = kind == fixed.KIND_A_PHOTO
-    return parts.select(
-        "page_id",
-        F.col("url").alias("link"),
-        "kind",
-        F.coalesce(
-            F.when(photo, with_nodes("main", lambda m: _photo_title(nodes, m))), field("headline")
-        ).alias("headline"),
-        with_nodes("headline", lambda f: _headline_image(nodes, f)).alias("headline_image"),
-        field("description").alias("description"),
-        absent(with_nodes("author", lambda found: t.last_of(found, _content))).alias("author"),
-        F.when(photo, field("image.contentLocation"))
-        .when(kind == fixed.KIND_A_SINGLE, with_nodes("main", lambda m: _strong_place(nodes, m)))
-        .alias("published_from"),
-        rfc3339(field("datePublished")).alias("published_at"),
-        rfc3339(field("dateModified")).alias("updated_at"),
-        duration.alias("duration"),
-        with_nodes(
-            "main",
-            lambda m: let(json_video, lambda v: let(kind, lambda k: _contents(nodes, k, m, v))),
-        ).alias("contents"),
-        with_nodes("related", lambda roots: _related(nodes, roots)).alias("related"),
+    place = f"get({claimed('strong', lambda s: t.values_of(s, lambda n: t.last_text('nodes', n)))}, 0)"
+    is_photo = f"kind = {_PHOTO}"
+    columns = {
+        "headline": f"coalesce({case((is_photo, claimed('header', _photo_title)))}, {field('headline')})",
+        "headline_image": top("headline", _headline_image),
+        "description": field("description"),
+        "author": absent(top("author", lambda a: t.last_of(a, _content))),
+        "published_from": case(
+            (is_photo, field("image.contentLocation")), (f"kind = {_SINGLE}", place)
+        ),
+        "published_at": rfc3339(field("datePublished")),
+        "updated_at": rfc3339(field("dateModified")),
+        "duration": duration,
+        "contents": let(json_video, lambda v: let("claimed", lambda c: _contents(c, v))),
+        "related": top("related", _related),
+    }
+    return (
+        parts_a(trees)
+        .select("*", F.expr(f"try_parse_json({news})").alias("news"))
+        .select(
+            "page_id",
+            F.col("url").alias("link"),
+            "kind",
+            *[F.expr(sql).alias(name) for name, sql in columns.items()],
+        )
     )

@@ -2,320 +2,296 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pageloom import fixed
-from pageloom.functions.scalars import absent, let, lets, pixels, plain_spaces, rfc3339, ws_trim
+from pageloom.functions.scalars import (
+    absent, case, keep, let, lets, lit, mapped, pixels, plain_spaces, rfc3339, ws_trim,
+)
 from pageloom.operators import tree as t
 from pageloom.plans import blocks as b
-from pageloom.schema import AUTHOR_DDL
+
+_TEXT, _PHOTO = lit(fixed.KIND_B_TEXT), lit(fixed.KIND_B_PHOTO)
 
 
 def _has_class(name: str) -> t.Predicate:
     return t.match(attrs={"class": name})
 
 
-def _content(node: Column) -> Column:
+def _content(node: str) -> str:
     return t.attr(node, "content")
 
 
-def _timed(name: str) -> t.Predicate:
-    return t.match(attrs={"property": name})
-
-
-def _page_rules(kind: Column):
+def page_rules(kind: str):
     return [
-        ("title", lambda n: t.match("title")(n) & (n["n_attrs"] == 0)),
+        ("title", lambda n: f"({t.match('title')(n)} AND {n}.n_attrs = 0)"),
         ("description", t.match(attrs={"name": "description"})),
-        ("published", _timed(fixed.B_PUBLISHED)),
-        ("updated", _timed(fixed.B_UPDATED)),
-        ("main", lambda n: (kind == fixed.KIND_B_TEXT) & _has_class(fixed.B_MAIN)(n)),
-        ("slider", lambda n: (kind == fixed.KIND_B_PHOTO) & _has_class(fixed.B_SLIDER)(n)),
+        ("published", t.match(attrs={"property": fixed.B_PUBLISHED})),
+        ("updated", t.match(attrs={"property": fixed.B_UPDATED})),
+        ("main", lambda n: f"({kind} = {_TEXT} AND {_has_class(fixed.B_MAIN)(n)})"),
+        ("slider", lambda n: f"({kind} = {_PHOTO} AND {_has_class(fixed.B_SLIDER)(n)})"),
         ("author", t.match(attrs={"id": fixed.B_AUTHOR_ID, "type": fixed.JSON_LD})),
     ]
 
 
-_MAIN_RULES = [
+MAIN_RULES = [
     ("related", t.match(attrs={"id": fixed.B_RELATED_ID})),
     ("content", _has_class(fixed.B_CONTENT)),
 ]
-_CONTENT_RULES = [
+CONTENT_RULES = [
     ("top", _has_class(fixed.B_TOP_MEDIA)),
     ("body", _has_class(fixed.B_ARTICLE_BODY)),
 ]
 
 
-def _page_item(node: Column) -> Column:
-    return t.is_element(node) & t.attr(node, "class").rlike(fixed.B_PAGE_ITEM)
+def is_page_item(node: str) -> str:
+    return f"({t.is_element(node)} AND rlike({t.attr(node, 'class')}, r'{fixed.B_PAGE_ITEM}'))"
 
 
-def _skipped(node: Column) -> Column:
-    ad = t.match("div")(node) & t.attr(node, "class").isin(*fixed.B_SKIPPED)
-    return ad | t.match("h2")(node) | t.match("p")(node)
+def _is_skipped(node: str) -> str:
+    names = ", ".join(lit(c) for c in fixed.B_SKIPPED)
+    ad = f"{t.match('div')(node)} AND {t.attr(node, 'class')} IN ({names})"
+    return f"({ad} OR {t.match('h2')(node)} OR {t.match('p')(node)})"
 
 
 # The last rule takes what the ones before left: ads, other h2, other p.
 BLOCK_RULES = [
     ("image", t.match("div", {"class": fixed.B_IMAGE})),
     ("section", t.match("h2", {"class": fixed.B_SECTION})),
-    ("paragraph", lambda n: t.match("p")(n) & (n["n_attrs"] == 0)),
-    ("skip", _skipped),
+    ("paragraph", lambda n: f"({t.match('p')(n)} AND {n}.n_attrs = 0)"),
+    ("skip", _is_skipped),
 ]
 
 
-def _size(img: Column, name: str) -> Column:
-    return pixels(t.attr(img, name))
-
-
 # -- blocks -----------------------------------------------------------------------
 
 
-def top_image_block(nodes: Column, div: Column) -> Column:
-    def of(e) -> Column:
+def top_image_block(div: str) -> str:
+    def of(e) -> str:
         img = e.img
-        return F.when(
-            img.isNotNull(),
-            b.block(
-                fixed.IMAGE,
-                image=b.image(
-                    url=absent(t.attr(img, "data-src")),
-                    caption=absent(t.attr(img, "alt")),
-                    width=_size(img, "width"),
-                    height=_size(img, "height"),
-                ),
-            ),
+        found = b.image(
+            url=absent(t.attr(img, "data-src")),
+            caption=absent(t.attr(img, "alt")),
+            width=pixels(t.attr(img, "width")),
+            height=pixels(t.attr(img, "height")),
         )
+        return case((f"{img} IS NOT NULL", b.block(fixed.IMAGE, image=found)))
+
+    def inside(node: str, pred: t.Predicate) -> str:
+        return t.find_first(t.subtree("nodes", node), pred)
 
     return lets(
         of,
-        fig=lambda e: t.find_first(
-            t.subtree(nodes, div), t.match("figure", {"class": fixed.B_FIGURE})
-        ),
-        link=lambda e: t.find_first(
-            t.subtree(nodes, e.fig), t.match("a", {"class": fixed.B_FIGURE_LINK})
-        ),
-        img=lambda e: t.find_first(t.subtree(nodes, e.link), t.match("img")),
+        fig=lambda e: inside(div, t.match("figure", {"class": fixed.B_FIGURE})),
+        link=lambda e: inside(e.fig, t.match("a", {"class": fixed.B_FIGURE_LINK})),
+        img=lambda e: inside(e.link, t.match("img")),
     )
 
 
-def _figure_block(nodes: Column, fig: Column, url, title, alt, caption) -> Column:
+def _figure_block(fig: str, **fields: str) -> str:
+    """Image block from a figure's own attributes, sized by its first img."""
     return let(
-        t.find_first(t.subtree(nodes, fig), t.match("img")),
+        t.find_first(t.subtree("nodes", fig), t.match("img")),
         lambda img: b.block(
             fixed.IMAGE,
             image=b.image(
-                url=url, title=title, alt=alt, caption=caption,
-                width=_size(img, "width"), height=_size(img, "height"),
+                width=pixels(t.attr(img, "width")), height=pixels(t.attr(img, "height")), **fields
             ),
         ),
     )
 
 
-def image_block(nodes: Column, div: Column) -> Column:
-    def of(fig: Column) -> Column:
-        caption = plain_spaces(
-            F.btrim(t.attr(fig, "data-description"), F.lit(fixed.B_CAPTION_STRIP))
-        )
-        return F.when(
-            fig.isNotNull(),
-            _figure_block(
-                nodes, fig,
-                url=absent(t.attr(fig, "data-image")),
-                title=None,
-                alt=absent(t.attr(fig, "data-title")),
-                caption=absent(caption),
-            ),
+def image_block(div: str) -> str:
+    def of(fig: str) -> str:
+        caption = f"btrim({t.attr(fig, 'data-description')}, {lit(fixed.B_CAPTION_STRIP)})"
+        found = _figure_block(
+            fig,
+            url=absent(t.attr(fig, "data-image")),
+            alt=absent(t.attr(fig, "data-title")),
+            caption=absent(plain_spaces(caption)),
         )
+        return case((f"{fig} IS NOT NULL", found))
 
     figure = t.match("figure", {"class": fixed.B_FIGURE})
-    return let(t.find_first(t.subtree(nodes, div), figure), of)
+    return let(t.find_first(t.subtree("nodes", div), figure), of)
 
 
-def section_block(nodes: Column, h2: Column) -> Column:
-    return b.block(fixed.SECTION, text=absent(ws_trim(t.text(nodes, h2))))
+def section_block(h2: str) -> str:
+    return b.block(fixed.SECTION, text=absent(ws_trim(t.text("nodes", h2))))
 
 
-def paragraph_block(nodes: Column, p: Column) -> Column:
+def paragraph_block(p: str) -> str:
     return let(
-        plain_spaces(t.mixed(nodes, p)),
-        lambda s: F.when(~s.isin("", " "), b.block(fixed.PARAGRAPH, text=s)),
-    )
-
-
-def _item_blocks(nodes: Column, item: Column) -> Column:
-    return F.transform(
-        t.dispatch(t.subtree(nodes, item), BLOCK_RULES),
-        lambda h: F.when(h["rule"] == "image", image_block(nodes, h["node"]))
-        .when(h["rule"] == "section", section_block(nodes, h["node"]))
-        .when(h["rule"] == "paragraph", paragraph_block(nodes, h["node"])),
+        plain_spaces(t.mixed("nodes", p)),
+        lambda s: case((f"{s} NOT IN ('', ' ')", b.block(fixed.PARAGRAPH, text=s))),
     )
 
 
-def _body_blocks(nodes: Column, body: Column) -> Column:
-    return F.flatten(
-        F.transform(
-            t.outermost(t.subtree(nodes, body), _page_item), lambda i: _item_blocks(nodes, i)
-        )
+def slider_block(fig: str) -> str:
+    return _figure_block(
+        fig,
+        url=absent(t.attr(fig, "data-image")),
+        title=absent(t.attr(fig, "data-title")),
+        caption=absent(t.attr(fig, "data-description")),
     )
 
 
-def _text_contents(nodes: Column, mains: Column) -> Column:
-    def content(node: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                t.dispatch(t.subtree(nodes, node), _CONTENT_RULES),
-                lambda h: F.when(h["rule"] == "top", F.array(top_image_block(nodes, h["node"])))
-                .otherwise(_body_blocks(nodes, h["node"])),
-            )
-        )
-
-    def main(node: Column) -> Column:
-        inner = t.nodes_of(t.dispatch(t.subtree(nodes, node), _MAIN_RULES), "content")
-        return F.flatten(F.transform(inner, content))
-
-    return b.present(F.flatten(F.transform(mains, main)))
+def _contents(claimed: str) -> str:
+    def one(hit: str) -> str:
+        node = f"{hit}.node"
+        makers = {
+            "top": top_image_block,
+            "image": image_block,
+            "section": section_block,
+            "paragraph": paragraph_block,
+            "slide": slider_block,
+        }
+        return case(*[(f"{hit}.rule = {lit(r)}", let(node, make)) for r, make in makers.items()])
 
+    return b.present(mapped(claimed, one))
 
-def _slider_contents(nodes: Column, sliders: Column) -> Column:
-    def figure(fig: Column) -> Column:
-        return _figure_block(
-            nodes, fig,
-            url=absent(t.attr(fig, "data-image")),
-            title=absent(t.attr(fig, "data-title")),
-            alt=None,
-            caption=absent(t.attr(fig, "data-description")),
-        )
 
-    return F.flatten(
-        F.transform(
-            sliders,
-            lambda s: F.transform(t.outermost(t.subtree(nodes, s), t.match("figure")), figure),
-        )
-    )
+# -- other parts --------------------------------------------------------------------
 
 
-# -- other parts --------------------------------------------------------------------
+def _related(lists: str) -> str:
+    def card(item: str) -> str:
+        def of(scope: str) -> str:
+            imgs, links = keep(scope, t.match("img")), keep(scope, t.match("a"))
 
+            def last_attr(items: str, name: str) -> str:
+                return t.last_of(items, lambda n: t.attr(n, name))
 
-def _related(nodes: Column, mains: Column) -> Column:
-    def card(item: Column) -> Column:
-        def of(scope: Column) -> Column:
-            imgs = F.filter(scope, t.match("img"))
-            links = F.filter(scope, t.match("a"))
             thumbnail = let(
                 imgs,
                 lambda i: b.image(
-                    url=absent(t.last_of(i, lambda n: t.attr(n, "data-src"))),
-                    width=pixels(t.last_of(i, lambda n: t.attr(n, "width"))),
-                    height=pixels(t.last_of(i, lambda n: t.attr(n, "height"))),
+                    url=absent(last_attr(i, "data-src")),
+                    width=pixels(last_attr(i, "width")),
+                    height=pixels(last_attr(i, "height")),
                 ),
             )
-            return F.when(
-                scope.isNotNull(),
-                b.related(
-                    absent(t.attr(item, "data-title")),
-                    absent(t.last_of(links, lambda n: t.attr(n, "href"))),
-                    thumbnail,
-                ),
+            found = b.related(
+                absent(t.attr(item, "data-title")), absent(last_attr(links, "href")), thumbnail
             )
+            return case((f"{scope} IS NOT NULL", found))
 
-        figure = t.find_first(t.subtree(nodes, item), t.match("figure"))
-        return let(let(figure, lambda f: t.subtree(nodes, f)), of)
-
-    def main(node: Column) -> Column:
-        lists = t.nodes_of(t.dispatch(t.subtree(nodes, node), _MAIN_RULES), "related")
-        cards = t.match("div", {"class": fixed.B_RELATED_ITEM})
-        return F.flatten(
-            F.transform(
-                lists,
-                lambda r: F.transform(t.outermost(t.subtree(nodes, r), cards), card),
-            )
-        )
+        figure = t.find_first(t.subtree("nodes", item), t.match("figure"))
+        return let(t.subtree("nodes", figure), of)
 
-    return b.present(F.flatten(F.transform(mains, main)))
+    cards = t.match("div", {"class": fixed.B_RELATED_ITEM})
+    per_list = mapped(
+        lists, lambda r: mapped(t.outermost(t.subtree("nodes", r), cards), card)
+    )
+    return b.present(f"flatten({per_list})")
 
 
-def _author(nodes: Column, scripts: Column) -> Column:
+def _author(scripts: str) -> str:
     """Last array element with an author, over all rich-card scripts."""
 
-    def of(script: Column) -> Column:
-        cards = F.try_variant_get(F.try_parse_json(t.text(nodes, script)), "$", "array<variant>")
-        found = F.filter(
-            F.transform(cards, lambda c: F.try_variant_get(c, "$.author", "variant")),
-            lambda a: a.isNotNull() & ~F.is_variant_null(a),
-        )
+    def of(script: str) -> str:
+        cards = f"try_variant_get(try_parse_json({t.text('nodes', script)}), '$', 'array<variant>')"
+        authors = mapped(cards, lambda c: f"try_variant_get({c}, '$.author', 'variant')")
+        found = keep(authors, lambda a: f"{a} IS NOT NULL AND NOT is_variant_null({a})")
         return let(
-            F.try_element_at(found, F.lit(-1)),
-            lambda a: F.when(
-                a.isNotNull(),
-                F.struct(
-                    absent(F.try_variant_get(a, "$.name", "string")).alias("name"),
-                    absent(F.try_variant_get(a, "$.url", "string")).alias("profile_url"),
-                ),
+            t.last(found),
+            lambda a: case(
+                (
+                    f"{a} IS NOT NULL",
+                    b.author(
+                        absent(f"try_variant_get({a}, '$.name', 'string')"),
+                        absent(f"try_variant_get({a}, '$.url', 'string')"),
+                    ),
+                )
             ),
         )
 
-    return t.last_of(scripts, of).cast(AUTHOR_DDL)
+    return t.last_of(scripts, of)
 
 
 def parts_b(trees: DataFrame) -> DataFrame:
-    """Page kind and claimed nodes.  A column ``item_kind`` in ``trees`` (the kind
-    the listing gave) takes precedence over the page's own body class."""
-    nodes = F.col("nodes")
+    """Page kind and claimed nodes: ``page_id, url, nodes, kind, top, inner, claimed``.
+
+    A column ``item_kind`` in ``trees`` (the kind the listing gave) takes
+    precedence over the page's own body class.  ``inner`` holds the related and
+    content parts of the main part, ``claimed`` the block nodes in page order.
+    """
+    own = let(
+        t.attr(
+            t.find_first(
+                "nodes",
+                lambda n: f"{t.is_element(n)} AND {t.attr(n, 'class')} IN "
+                f"({lit(fixed.B_BODY_TEXT)}, {lit(fixed.B_BODY_PHOTO)})",
+            ),
+            "class",
+        ),
+        lambda c: case(
+            (f"{c} = {lit(fixed.B_BODY_TEXT)}", _TEXT), (f"{c} = {lit(fixed.B_BODY_PHOTO)}", _PHOTO)
+        ),
+    )
+    given = absent("item_kind") if "item_kind" in trees.columns else "CAST(NULL AS STRING)"
 
-    def page_kind(node: Column) -> Column:
-        return F.when(t.attr(node, "class") == fixed.B_BODY_TEXT, fixed.KIND_B_TEXT).when(
-            t.attr(node, "class") == fixed.B_BODY_PHOTO, fixed.KIND_B_PHOTO
-        )
+    def flat(items: str, body) -> str:
+        return f"flatten({mapped(items, body)})"
 
-    own = page_kind(
-        t.find_first(
-            nodes,
-            lambda n: t.is_element(n)
-            & t.attr(n, "class").isin(fixed.B_BODY_TEXT, fixed.B_BODY_PHOTO),
-        )
+    def inside(node: str, rules) -> str:
+        return t.dispatch(t.subtree("nodes", node), rules)
+
+    inner = flat(t.nodes_of("top", "main"), lambda m: inside(m, MAIN_RULES))
+
+    def content(node: str) -> str:
+        def part(hit: str) -> str:
+            items = t.outermost(t.subtree("nodes", f"{hit}.node"), is_page_item)
+            body = flat(items, lambda i: inside(i, BLOCK_RULES))
+            return case((f"{hit}.rule = 'top'", f"array({hit})"), other=body)
+
+        return flat(inside(node, CONTENT_RULES), part)
+
+    slides = flat(
+        t.nodes_of("top", "slider"),
+        lambda s: mapped(
+            t.outermost(t.subtree("nodes", s), t.match("figure")),
+            lambda f: f"named_struct('rule', 'slide', 'node', {f})",
+        ),
     )
-    given = absent(F.col("item_kind")) if "item_kind" in trees.columns else F.lit(None)
-    kinded = trees.select(
-        "page_id", "url", "nodes", F.coalesce(given.cast("string"), own).alias("kind")
+    claimed = case(
+        (f"kind = {_PHOTO}", slides), other=flat(t.nodes_of("inner", "content"), content)
     )
-    return kinded.select(
-        "page_id", "url", "nodes", "kind",
-        let(F.col("kind"), lambda kind: t.dispatch(nodes, _page_rules(kind))).alias("top"),
+    return (
+        trees.select(
+            "page_id", "url", "nodes", F.expr(f"coalesce({given}, {own})").alias("kind")
+        )
+        .select("*", F.expr(let("kind", lambda k: t.dispatch("nodes", page_rules(k)))).alias("top"))
+        .select("*", F.expr(inner).alias("inner"))
+        .select("*", F.expr(claimed).alias("claimed"))
     )
 
 
 def article_b(trees: DataFrame) -> DataFrame:
     """``page_id, link, kind, headline, description, published_at, updated_at,
     author, contents, related``."""
-    nodes, kind, top = F.col("nodes"), F.col("kind"), F.col("top")
 
-    def with_nodes(rule: str, body) -> Column:
-        return let(top, lambda hits: let(t.nodes_of(hits, rule), body))
+    def top(rule: str, body) -> str:
+        return let(t.nodes_of("top", rule), body)
 
-    def last_time(rule: str) -> Column:
-        return with_nodes(rule, lambda found: t.last_of(found, lambda n: rfc3339(_content(n))))
+    def last_time(rule: str) -> str:
+        return top(rule, lambda found: t.last_of(found, lambda n: rfc3339(_content(n))))
 
-    headline = with_nodes(
+    headline = top(
         "title",
-        lambda found: let(
-            F.try_element_at(found, F.lit(-1)), lambda n: plain_spaces(ws_trim(t.text(nodes, n)))
-        ),
+        lambda found: let(t.last(found), lambda n: plain_spaces(ws_trim(t.text("nodes", n)))),
     )
-    contents = F.when(
-        kind == fixed.KIND_B_PHOTO, with_nodes("slider", lambda s: _slider_contents(nodes, s))
-    ).otherwise(with_nodes("main", lambda m: _text_contents(nodes, m)))
+    columns = {
+        "headline": absent(headline),
+        "description": absent(top("description", lambda d: _content(t.last(d)))),
+        "published_at": last_time("published"),
+        "updated_at": last_time("updated"),
+        "author": top("author", _author),
+        "contents": let("claimed", _contents),
+        "related": let(t.nodes_of("inner", "related"), _related),
+    }
     return parts_b(trees).select(
         "page_id",
         F.col("url").alias("link"),
         "kind",
-        absent(headline).alias("headline"),
-        absent(
-            with_nodes("description", lambda d: _content(F.try_element_at(d, F.lit(-1))))
-        ).alias("description"),
-        last_time("published").alias("published_at"),
-        last_time("updated").alias("updated_at"),
-        with_nodes("author", lambda s: _author(nodes, s)).alias("author"),
-        contents.alias("contents"),
-        with_nodes("main", lambda m: _related(nodes, m)).alias("related"),
+        *[F.expr(sql).alias(name) for name, sql in columns.items()],
     )

@@ -2,54 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pageloom.functions.scalars import keep, lit, struct
+from pageloom.schema import AUTHOR_DDL, BLOCK_DDL, IMAGE_DDL, REF_DDL, RELATED_DDL, VIDEO_DDL
 
-from pageloom.schema import BLOCK_DDL, IMAGE_DDL, REF_DDL, RELATED_DDL, VIDEO_DDL
 
+def _typed(ddl: str, values: dict[str, str | None]) -> str:
+    return f"CAST({struct(**{k: v or 'NULL' for k, v in values.items()})} AS {ddl})"
 
-def _members(ddl: str, values: dict[str, Column]) -> Column:
-    return F.struct(*[v.alias(k) for k, v in values.items()]).cast(ddl)
 
-
-def image(url=None, title=None, caption=None, alt=None, width=None, height=None) -> Column:
-    null = F.lit(None)
-    values = dict(url=url, title=title, caption=caption, alt=alt, width=width, height=height)
-    return _members(IMAGE_DDL, {k: null if v is None else v for k, v in values.items()})
+def image(url=None, title=None, caption=None, alt=None, width=None, height=None) -> str:
+    return _typed(
+        IMAGE_DDL, dict(url=url, title=title, caption=caption, alt=alt, width=width, height=height)
+    )
 
 
-def video(url=None, embedded_url=None, title=None, description=None, duration=None, thumbnail=None):
-    null = F.lit(None)
-    values = dict(
-        url=url, embedded_url=embedded_url, title=title, description=description,
-        duration=duration, thumbnail=thumbnail,
+def video(
+    url=None, embedded_url=None, title=None, description=None, duration=None, thumbnail=None
+) -> str:
+    return _typed(
+        VIDEO_DDL,
+        dict(
+            url=url, embedded_url=embedded_url, title=title, description=description,
+            duration=duration, thumbnail=thumbnail,
+        ),
     )
-    return _members(VIDEO_DDL, {k: null if v is None else v for k, v in values.items()})
 
 
-def reference(headline: Column, article_link: Column) -> Column:
-    return _members(REF_DDL, {"headline": headline, "article_link": article_link})
+def reference(headline: str, article_link: str) -> str:
+    return _typed(REF_DDL, dict(headline=headline, article_link=article_link))
 
 
-def block(kind: str, text=None, image=None, video=None, ref=None) -> Column:
-    null = F.lit(None)
-    values = dict(type=F.lit(kind), text=text, image=image, video=video, ref=ref)
-    return _members(BLOCK_DDL, {k: null if v is None else v for k, v in values.items()})
+def block(kind: str, text=None, image=None, video=None, ref=None) -> str:
+    return _typed(BLOCK_DDL, dict(type=lit(kind), text=text, image=image, video=video, ref=ref))
 
 
-def related(title: Column, article_link: Column, thumbnail: Column | None = None) -> Column:
-    null = F.lit(None)
-    return _members(
-        RELATED_DDL,
-        {"title": title, "article_link": article_link, "thumbnail": null if thumbnail is None else thumbnail},
+def related(title: str, article_link: str, thumbnail: str | None = None) -> str:
+    return _typed(
+        RELATED_DDL, dict(title=title, article_link=article_link, thumbnail=thumbnail)
     )
 
 
-def no_blocks() -> Column:
-    return F.array().cast(f"ARRAY<{BLOCK_DDL}>")
+def author(name: str, profile_url: str) -> str:
+    return _typed(AUTHOR_DDL, dict(name=name, profile_url=profile_url))
 
 
-def present(blocks: Column) -> Column:
-    """Drop the places of claimed nodes that produced no block."""
-    return F.filter(blocks, lambda b: b.isNotNull())
+NONE = f"CAST(array() AS ARRAY<{BLOCK_DDL}>)"
 
 
+def present(blocks: str) -> str:
+    """Drop the places of claimed nodes that produced no block."""
+    return keep(blocks, lambda b: f"{b} IS NOT NULL")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from pageloom.functions.html_tree import parse_batches
-from pageloom.schema import NODES
+from pageloom.schema import NODES_DDL
 
 
 def page_trees(pages: DataFrame, *keep: str) -> DataFrame:
@@ -16,8 +16,8 @@ def page_trees(pages: DataFrame, *keep: str) -> DataFrame:
     """
     keep = keep or tuple(c for c in pages.columns if c != "html")
     chosen = pages.select(*keep, "html")
-    schema = T.StructType([chosen.schema[c] for c in keep] + [T.StructField("nodes", NODES)])
-    return chosen.mapInArrow(parse_batches, schema)
+    carried = [f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep]
+    return chosen.mapInArrow(parse_batches, ", ".join([*carried, f"nodes {NODES_DDL}"]))
 
 
 def node_table(trees: DataFrame) -> DataFrame:

@@ -1,23 +1,15 @@
-"""Explicit schemas; nothing in the engine is inferred."""
-
-from pyspark.sql import types as T
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
+"""Explicit schemas as DDL; nothing in the engine is inferred."""
 
 # Raw page snapshot.  ``status`` and ``fetched_at`` may be missing in a source.
-PAGE = _struct("page_id BIGINT, url STRING, html STRING, status INT, fetched_at TIMESTAMP")
-PAGE_MIN = _struct("page_id BIGINT, url STRING, html STRING")
+PAGE = "page_id BIGINT, url STRING, html STRING, status INT, fetched_at TIMESTAMP"
+PAGE_MIN = "page_id BIGINT, url STRING, html STRING"
 
 # One tree node.  ``pre``/``fin`` are the pre-order positions of the node and of
 # its last descendant: B lies in the subtree of A iff A.pre <= B.pre <= A.fin.
-NODE_DDL = (
-    "pre INT, fin INT, parent INT, depth INT, kind STRING, tag STRING, ns STRING, "
-    "n_attrs INT, attrs MAP<STRING, STRING>, text STRING"
+NODES_DDL = (
+    "ARRAY<STRUCT<pre: INT, fin: INT, parent: INT, depth: INT, kind: STRING, tag: STRING, ns: STRING, "
+    "n_attrs: INT, attrs: MAP<STRING, STRING>, text: STRING>>"
 )
-NODES = T.ArrayType(_struct(NODE_DDL))
 
 IMAGE_DDL = "STRUCT<url: STRING, title: STRING, caption: STRING, alt: STRING, width: INT, height: INT>"
 VIDEO_DDL = (
@@ -30,7 +22,7 @@ RELATED_DDL = f"STRUCT<title: STRING, article_link: STRING, thumbnail: {IMAGE_DD
 AUTHOR_DDL = "STRUCT<name: STRING, profile_url: STRING>"
 
 # Canonical article: what both sites are brought to and what the store holds.
-ARTICLE = _struct(
+ARTICLE = (
     "id STRING, source STRING, link STRING, kind STRING, headline STRING, description STRING, "
     "published_from STRING, published_at TIMESTAMP, updated_at TIMESTAMP, "
     f"author {AUTHOR_DDL}, headline_image {IMAGE_DDL}, "
@@ -38,5 +30,11 @@ ARTICLE = _struct(
     f"video: {VIDEO_DDL}, ref: {REF_DDL}>>, related ARRAY<{RELATED_DDL}>"
 )
 
+ARTICLE_COLUMNS = (
+    "id source link kind headline description published_from published_at updated_at author "
+    "headline_image contents related".split()
+)
+
 # Frontier entry: a link waiting to be fetched.
-FRONTIER = _struct("source STRING, link STRING, published_at TIMESTAMP")
+FRONTIER = "source STRING, link STRING, published_at TIMESTAMP"
+FRONTIER_COLUMNS = "source link published_at".split()
