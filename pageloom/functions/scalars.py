@@ -8,12 +8,14 @@ through the Column API took seconds.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from itertools import count
 from types import SimpleNamespace
 
 NBSP = "\u00a0"
 _ids = count(1)
+_BOUND = re.compile(r"v\d+(?:\.\w+|\['[^']*'\])*")
 
 
 def lit(value: str) -> str:

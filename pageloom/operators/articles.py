@@ -5,9 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom import fixed
+from pageloom.operators.sized import BROADCAST_BYTES, hinted, string_bytes
 from pageloom.schema import ARTICLE_COLUMNS, AUTHOR_DDL, IMAGE_DDL
 
 
+def pending_pages(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """Pages whose url is not among the known links, chosen before any parse.
+
+    Known links of a proven size are broadcast and html stays where it is.
+    Beyond that the urls left to do are found on narrow columns, and html is
+    matched against those: broadcast again if they are few, as in a daily run
+    over a large store, shuffled only if both sides are large.
+    """
+    links = known.select(F.col("link").alias("url"))
+    if string_bytes(links) <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(links), "url", "left_anti")
+    todo = pages.select("url").distinct().join(links, "url", "left_anti").persist()
+    return pages.join(hinted(todo), "url", "left_semi")
+
+
 def hydrate(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Listing items joined to the page behind their link.
 
@@ -70,6 +86,16 @@ def canonical(articles_a: DataFrame, articles_b: DataFrame) -> DataFrame:
     return both.select(*ARTICLE_COLUMNS)
 
 
+def unnested(df: DataFrame, array: str, *keep: str) -> DataFrame:
+    """``keep, pos, item``: one row per element.
+
+    A plain explode makes the optimizer test the array for emptiness first and
+    push that test down, so a computed array would be computed twice; the outer
+    form does not.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias("pos", "item")).where("pos IS NOT NULL")
+
+
 def contents(articles: DataFrame) -> DataFrame:
     """One row per content block; an article without blocks keeps one row."""
     return articles.select("id", "link", F.explode_outer("contents").alias("block")).select(
@@ -119,8 +145,9 @@ def block_variant(blocks: DataFrame) -> DataFrame:
 
 def related_links(articles: DataFrame) -> DataFrame:
     """Page -> page edges in listed order."""
-    return articles.select("id", "link", F.posexplode("related").alias("pos", "r")).select(
-        "id", "link", "pos", "r.title", "r.article_link", "r.thumbnail"
+    return (
+        unnested(articles, "related", "id", "link")
+        .select("id", "link", "pos", "item.title", "item.article_link", "item.thumbnail")
     )
 
 

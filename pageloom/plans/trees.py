@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.functions.html_tree import parse_batches
+from pageloom.functions import html_tree
 from pageloom.schema import NODES_DDL
 
+# The parser travels with the plan: executors need no installed package.
+cloudpickle.register_pickle_by_value(html_tree)
+
 
 def page_trees(pages: DataFrame, *keep: str) -> DataFrame:
     """Parse ``html`` into ``nodes ARRAY<NODE>``, one row per page.
@@ -17,7 +21,7 @@ def page_trees(pages: DataFrame, *keep: str) -> DataFrame:
     keep = keep or tuple(c for c in pages.columns if c != "html")
     chosen = pages.select(*keep, "html")
     carried = [f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep]
-    return chosen.mapInArrow(parse_batches, ", ".join([*carried, f"nodes {NODES_DDL}"]))
+    return chosen.mapInArrow(html_tree.parse_batches, ", ".join([*carried, f"nodes {NODES_DDL}"]))
 
 
 def node_table(trees: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pageloom import fixed
 from pageloom.operators.frontier import distinct_links, index_union, without_known
+from pageloom.operators.sized import hinted
 from pageloom.plans.listing_a import index_a
 from pageloom.plans.listing_b import index_b
 from pageloom.plans.trees import page_trees
@@ -20,7 +21,6 @@ from pageloom.sources.store import read_store
 
 # Listing pages as they arrive; ``source`` tells the site.
 LISTING_PAGE = "page_id BIGINT, source STRING, url STRING, html STRING"
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def listed(pages: DataFrame) -> DataFrame:
@@ -37,9 +37,7 @@ def _stored_among(found: DataFrame, store: DataFrame) -> DataFrame:
     the batch and not shuffled, as long as the batch's measured size allows a
     broadcast; beyond that Spark picks the join.
     """
-    links = found.select("link")
-    size = links.agg(F.coalesce(F.sum(F.octet_length("link") + 16), F.lit(0))).first()[0]
-    return store.join(F.broadcast(links) if size <= BROADCAST_BYTES else links, "link", "left_semi")
+    return store.join(hinted(found.select("link")), "link", "left_semi")
 
 
 def append_new(pages: DataFrame, store_path: str) -> None:

@@ -237,11 +237,11 @@ _H1_RE = "regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
 
 
 def unescape(x: str) -> str:
+    """Decode references; these also count without the final semicolon."""
     for ref, plain in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"),
-        ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+        ("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&"),
     ):
-        x = f"replace({x}, '{ref}', '{plain}')"
+        x = f"regexp_replace({x}, '&{ref};?', '{plain}', 'g')"
     return x
 
 

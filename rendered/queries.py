@@ -92,9 +92,9 @@ def _pos(name: str = "pos") -> Column:
 
 def _blocks(articles: DataFrame) -> DataFrame:
     """``page_id, kind, pos`` and the members of every content block."""
-    return articles.select(
-        "page_id", "kind", F.posexplode("contents").alias("at", "block")
-    ).select("page_id", "kind", _pos("at"), "block.*")
+    return art.unnested(articles, "contents", "page_id", "kind").select(
+        "page_id", "kind", _pos(), "item.*"
+    )
 
 
 def _block_query(articles, where: str, *columns: str) -> Query:
@@ -181,8 +181,13 @@ def _canonical_row(df: DataFrame) -> DataFrame:
 def snk_articles(spark, sf):
     """Stored twice, read back: the second write must add nothing."""
     store = shared_dir(spark, "articles")
-    write_articles(canonical(spark, sf), store)
-    write_articles(canonical(spark, sf), store)
+    for _ in range(2):
+        stored = known_links(spark, store)
+        fresh_a = art.pending_pages(_rendered(render.articles_a)(spark, sf), stored)
+        fresh_b = art.pending_pages(_rendered(render.articles_b)(spark, sf), stored)
+        write_articles(
+            art.canonical(article_a(page_trees(fresh_a)), article_b(page_trees(fresh_b))), store
+        )
     return _canonical_row(read_store(spark, store))
 
 
@@ -283,15 +288,15 @@ def idx_liputan6(spark, sf):
 
 
 def dtk_related(spark, sf):
-    return articles_of_a(spark, sf).select("page_id", F.posexplode("related").alias("at", "r")).select(
-        "page_id", _pos("at"), "r.title", "r.article_link"
+    return art.unnested(articles_of_a(spark, sf), "related", "page_id").select(
+        "page_id", _pos(), "item.title", "item.article_link"
     )
 
 
 def lpt_related(spark, sf):
-    return articles_of_b(spark, sf).select("page_id", F.posexplode("related").alias("at", "r")).select(
-        "page_id", _pos("at"), "r.title", "r.article_link", F.col("r.thumbnail.url").alias("thumb_url"),
-        F.col("r.thumbnail.width").alias("thumb_w"), F.col("r.thumbnail.height").alias("thumb_h"),
+    return art.unnested(articles_of_b(spark, sf), "related", "page_id").select(
+        "page_id", _pos(), "item.title", "item.article_link", F.col("item.thumbnail.url").alias("thumb_url"),
+        F.col("item.thumbnail.width").alias("thumb_w"), F.col("item.thumbnail.height").alias("thumb_h"),
     )
 
 
