@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom import fixed
-from pageloom.operators.sized import BROADCAST_BYTES, hinted, string_bytes
+from pageloom.operators.sized import build_side, is_small
 from pageloom.schema import ARTICLE_COLUMNS, AUTHOR_DDL, IMAGE_DDL
+from pageloom.session import stored
 
 
 def pending_pages(pages: DataFrame, known: DataFrame) -> DataFrame:
@@ -18,10 +19,10 @@ def pending_pages(pages: DataFrame, known: DataFrame) -> DataFrame:
     over a large store, shuffled only if both sides are large.
     """
     links = known.select(F.col("link").alias("url"))
-    if string_bytes(links) <= BROADCAST_BYTES:
+    if is_small(links):
         return pages.join(F.broadcast(links), "url", "left_anti")
-    todo = pages.select("url").distinct().join(links, "url", "left_anti").persist()
-    return pages.join(hinted(todo), "url", "left_semi")
+    todo = stored(pages.select("url").distinct().join(links, "url", "left_anti"), "todo")
+    return pages.join(build_side(todo), "url", "left_semi")
 
 
 def hydrate(items: DataFrame, pages: DataFrame) -> DataFrame:
@@ -42,6 +43,7 @@ def hydrate(items: DataFrame, pages: DataFrame) -> DataFrame:
     chosen = wanted.join(latest, wanted["link"] == latest["url"]).select(
         "page_id", "url", "item_kind"
     )
+    chosen = build_side(stored(chosen, "chosen"))
     return pages.join(chosen, ["page_id", "url"]).select("page_id", "url", "item_kind", "html")
 
 

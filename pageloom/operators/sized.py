@@ -7,15 +7,25 @@ from pyspark.sql import DataFrame, functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def string_bytes(df: DataFrame) -> int:
-    """Size of a table of string columns, by one narrow aggregate."""
-    row = sum((F.coalesce(F.octet_length(c), F.lit(0)) + 16 for c in df.columns), F.lit(0))
-    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+def narrow_bytes(df: DataFrame) -> int:
+    """Size of a table of strings and numbers, by one aggregate over it.
+
+    Give it a stored table: measuring runs ``df`` once.
+    """
+    size = F.lit(0)
+    for name, kind in df.dtypes:
+        size = size + 16 + (F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else 8)
+    return df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    return narrow_bytes(df) <= limit
 
 
-def hinted(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcast if it is small; else Spark picks the join.
+def build_side(df: DataFrame) -> DataFrame:
+    """A narrow table as the hashed side of a join with wide rows.
 
-    Measuring runs ``df`` once, so give it a stored or persisted table.
+    Broadcast if it is small, so the wide rows stay where they are; else hashed
+    per partition, so that they are moved but not sorted.
     """
-    return F.broadcast(df) if string_bytes(df) <= limit else df
+    return F.broadcast(df) if is_small(df) else df.hint("shuffle_hash")

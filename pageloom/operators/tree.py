@@ -153,7 +153,7 @@ def outermost_until(scope: str, pred: Predicate, stop: Predicate) -> str:
 
 
 def dispatch(scope: str, rules: Sequence[tuple[str, Predicate]]) -> str:
-    """First rule in order claims a node and hides its subtree from all rules.
+    """First rule in order claims an element and hides its subtree from all rules.
 
     Gives ``ARRAY<STRUCT<rule, node>>`` in page order.
     """
@@ -161,7 +161,7 @@ def dispatch(scope: str, rules: Sequence[tuple[str, Predicate]]) -> str:
     def label(node: str) -> str:
         return case(*[(pred(node), lit(name)) for name, pred in rules])
 
-    hits = outermost(scope, lambda n: f"{label(n)} IS NOT NULL")
+    hits = outermost(scope, lambda n: f"{is_element(n)} AND {label(n)} IS NOT NULL")
     return mapped(hits, lambda n: struct(rule=label(n), node=n))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pageloom import fixed
 from pageloom.operators.frontier import distinct_links, index_union, without_known
-from pageloom.operators.sized import hinted
+from pageloom.operators.sized import is_small
 from pageloom.plans.listing_a import index_a
 from pageloom.plans.listing_b import index_b
 from pageloom.plans.trees import page_trees
@@ -37,7 +37,8 @@ def _stored_among(found: DataFrame, store: DataFrame) -> DataFrame:
     the batch and not shuffled, as long as the batch's measured size allows a
     broadcast; beyond that Spark picks the join.
     """
-    return store.join(hinted(found.select("link")), "link", "left_semi")
+    links = found.select("link")
+    return store.join(F.broadcast(links) if is_small(links) else links, "link", "left_semi")
 
 
 def append_new(pages: DataFrame, store_path: str) -> None:

@@ -32,12 +32,15 @@ LINK_A = "concat('https://news.detik.com/berita/d-', doc_id)"
 LINK_B = "concat('https://www.liputan6.com/news/read/', doc_id)"
 
 
-def documents(spark, sf_dir: str) -> DataFrame:
-    """Documents with the columns the templates use."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def documents(spark, sf_dir: str, key: str = "doc_id") -> DataFrame:
+    """Documents with the columns the templates use, spread by the key they are
+    rendered by: ``doc_id`` for articles, ``page_id`` for listings."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn(
+        "page_id", F.expr(f"doc_id div {PER_PAGE}")
+    )
     return (
-        spread(docs, "doc_id")
-        .select("doc_id", "lang", "source", "n_chars", F.split("text", "\n").alias("lines"))
+        spread(docs, key)
+        .select("doc_id", "page_id", "lang", "source", "n_chars", F.split("text", "\n").alias("lines"))
         .selectExpr(
             "*",
             "get(lines, 0) AS title",
@@ -113,7 +116,7 @@ ITEM_B = _html(
 def _listing(docs: DataFrame, item: str, head: str, tail: str, url: str) -> DataFrame:
     """Twenty consecutive documents per page (the page size bounds each group)."""
     return (
-        docs.selectExpr(f"doc_id div {PER_PAGE} AS page_id", "doc_id", f"{item} AS item")
+        docs.selectExpr("page_id", "doc_id", f"{item} AS item")
         .groupBy("page_id")
         .agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("items"))
         .select(

@@ -14,7 +14,7 @@ from pageloom.plans.listing_a import index_a
 from pageloom.plans.listing_b import index_b
 from pageloom.plans.trees import node_table, page_trees
 from pageloom.schema import FRONTIER
-from pageloom.session import shared_dir
+from pageloom.session import shared_dir, stored
 from pageloom.sources.channels import with_base_url
 from pageloom.sources.pages import read_pages, reject_reason, spread
 from pageloom.sources.store import known_links, read_store, write_articles
@@ -37,7 +37,8 @@ def raw_trees(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rendered(make) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf: make(render.documents(spark, sf))
+    key = "page_id" if make in (render.listing_a, render.listing_b) else "doc_id"
+    return lambda spark, sf: make(render.documents(spark, sf, key))
 
 
 def _trees(make) -> Callable[[SparkSession, str], DataFrame]:
@@ -348,9 +349,7 @@ def rel_frontier_sort(spark, sf):
     ordered = fr.newest_first(listed(spark, sf)).withColumn("part", F.spark_partition_id()).withColumn(
         "row", F.monotonically_increasing_id()
     )
-    store = shared_dir(spark, "sorted")
-    ordered.write.parquet(store)
-    ordered = spark.read.parquet(store)
+    ordered = stored(ordered, "sorted")
     # One row per partition: small whatever the table's size.
     sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select(
@@ -364,7 +363,8 @@ def rel_frontier_sort(spark, sf):
 
 
 def rel_frontier_take(spark, sf):
-    queue = fr.new_links(listed(spark, sf), known(spark, sf))
+    """Top of a stored queue, and what stays in it."""
+    queue = stored(fr.new_links(listed(spark, sf), known(spark, sf)), "queue")
     head, rest = fr.take_next(queue, 100)
     return _frontier_row(head, F.lit("next").alias("state")).unionByName(
         _frontier_row(rest, F.lit("rest").alias("state"))
@@ -424,7 +424,7 @@ def rel_related(spark, sf):
 def str_poll(spark, sf):
     """Two rounds of listing pages, the second listing everything of the first again."""
     drops, store, checkpoint = (shared_dir(spark, p) for p in ("drops", "frontier", "poll"))
-    docs = render.documents(spark, sf)
+    docs = render.documents(spark, sf, "page_id")
     labelled = docs.join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id"), "doc_id", "left_semi")
     for shown in (labelled, docs):
         for make, source in ((render.listing_a, fixed.SOURCE_A), (render.listing_b, fixed.SOURCE_B)):
