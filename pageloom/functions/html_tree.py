@@ -23,7 +23,7 @@ _TOKEN = re.compile(
     r"|/(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>"
     r"|!--(?:-?>|(?P<comment>.*?)(?:--!?>|\Z))"
     r"|!(?P<doctype>(?i:doctype)[^>]*+)>?"
-    r"|(?:[!?]|/(?=[^a-zA-Z>]))(?P<bogus>[^>]*+)>?"
+    r"|(?:!|(?=\?)|/(?=[^a-zA-Z>]))(?P<bogus>[^>]*+)>?"
     r"|/>"
     r"|(?P<cut>/?[a-zA-Z].*)\Z"
     r")",
