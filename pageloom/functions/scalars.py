@@ -42,8 +42,11 @@ def let(value: str, body: Callable[[str], str]) -> str:
     """Bind ``value`` once and use it many times inside one expression.
 
     A lambda variable is never inlined by the optimizer, so a costly value used
-    inside another lambda is still computed once and not once per element.
+    inside another lambda is still computed once and not once per element.  A
+    path of such a variable (``v3.attrs['src']``) counts as bound.
     """
+    if _BOUND.fullmatch(value):
+        return body(value)
     return f"get({mapped(f'array({value})', body)}, 0)"
 
 

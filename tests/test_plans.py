@@ -1,0 +1,102 @@
+"""Physical plans: what must not be in them, and what must."""
+
+import re
+
+import pytest
+
+from pageloom import fixed
+from pageloom.operators import articles as art, frontier as fr, tree as t
+from pageloom.plans.article_a import article_a
+from pageloom.plans.article_b import article_b
+from pageloom.plans.listing_a import index_a
+from pageloom.plans.listing_b import index_b
+from pageloom.plans.trees import node_table, page_trees
+from pageloom.schema import FRONTIER
+from pageloom.sources.pages import read_pages
+from tests.conftest import SF_DIR
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def pages(spark):
+    return read_pages(spark, f"{SF_DIR}/pages.parquet")
+
+
+@pytest.mark.parametrize("extract", [index_a, index_b, article_a, article_b, node_table])
+def test_extractors_move_nothing(spark, extract):
+    plan = plan_of(extract(page_trees(pages(spark))))
+    for word in ("Exchange", "Sort", "Window", "Join", "Aggregate"):
+        assert not re.search(rf"\b{word}\b|{word}\w* \[", plan), word
+    assert plan.count("MapInArrow") == 1
+
+
+def test_only_needed_columns_reach_the_parser(spark):
+    plan = plan_of(index_a(page_trees(pages(spark), "page_id")))
+    assert "ReadSchema: struct<page_id:bigint,html:string>" in plan
+
+
+def test_filters_on_pages_reach_the_scan(spark):
+    wanted = pages(spark).where("url = 'x'")
+    plan = plan_of(wanted.selectExpr("page_id"))
+    assert "EqualTo(url,x)" in plan and "html" not in plan.split("ReadSchema")[1]
+
+
+def test_unread_columns_cost_nothing(spark):
+    """A single metadata column drags in neither contents nor related."""
+    plan = plan_of(article_a(page_trees(pages(spark))).select("page_id", "author"))
+    assert fixed.PARAGRAPH not in plan and fixed.A_RELATED_TITLE_ATTR not in plan
+
+
+@pytest.mark.parametrize("extract", [article_a, article_b])
+def test_blocks_are_computed_once(spark, extract):
+    """Unnesting must not push an emptiness test below, where it would compute
+    the blocks a second time; bound values must not be inlined either."""
+    blocks = art.unnested(extract(page_trees(pages(spark))), "contents", "page_id")
+    plan = plan_of(blocks.where("item.type = 'image'"))
+    assert plan.count("Generate posexplode") == 1
+    assert "size(" not in plan.split("Generate posexplode")[0]
+    once = plan_of(extract(page_trees(pages(spark))).select("contents"))
+    assert plan.count(f" {fixed.PARAGRAPH}") == once.count(f" {fixed.PARAGRAPH}")
+
+
+def test_existence_test_is_one_anti_join(spark):
+    items = spark.createDataFrame([("s", "l", None)], FRONTIER)
+    known = spark.createDataFrame([("x",)], "link STRING")
+    plan = plan_of(fr.new_links(items, known))
+    assert plan.count("LeftAnti") == 1 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_take_is_a_top_k(spark):
+    head, _ = fr.take_next(spark.createDataFrame([("s", "l", None)], FRONTIER), 5)
+    assert "TakeOrderedAndProject(limit=5" in plan_of(head)
+
+
+def test_html_is_not_sorted_or_aggregated_in_hydrate(spark):
+    items = spark.createDataFrame([("l",)], "link STRING")
+    plan = plan_of(art.hydrate(items, pages(spark)))
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_big_page_is_linear(spark):
+    """Ten times the page must not cost a hundred times the work."""
+    import time
+
+    def seconds(blocks):
+        body = "".join(f"<p>line {i} <b>x</b></p>" for i in range(blocks))
+        html = f'<meta name="articletype" content="singlepage"><div class="{fixed.A_BODY}">{body}</div>'
+        df = page_trees(spark.createDataFrame([(0, "u", html)], "page_id INT, url STRING, html STRING").coalesce(1))
+        rows = article_a(df).selectExpr("size(contents) AS n")
+        assert rows.first().n == blocks
+        start = time.perf_counter()
+        rows.collect()
+        return time.perf_counter() - start
+
+    small, large = seconds(2_000), seconds(20_000)
+    assert large < 30 * small + 5
+
+
+def test_text_expression_reads_one_subtree(spark):
+    sql = t.text("nodes", "v1")
+    assert "sequence(v1.pre, v1.fin)" in sql
