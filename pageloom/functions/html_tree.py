@@ -11,6 +11,7 @@ done: the text of a page is unaffected, its nesting may be.
 
 from __future__ import annotations
 
+import gc
 import re
 from html import unescape
 
@@ -479,6 +480,15 @@ def parse_batches(batches, flush_chars: int = 4_000_000):
     Pages are wide, so a batch is cut again once it holds ``flush_chars``
     characters; this bounds the worker's memory whatever the batch size.
     """
+    # Trees hold no reference cycles; the collector would only walk them.
+    gc.disable()
+    try:
+        yield from _parsed(batches, flush_chars)
+    finally:
+        gc.enable()
+
+
+def _parsed(batches, flush_chars):
     for batch in batches:
         names = batch.schema.names
         html = batch.column(names.index("html"))

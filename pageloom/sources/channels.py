@@ -16,3 +16,12 @@ def with_base_url(df: DataFrame, name_column: str) -> DataFrame:
     it is broadcast and the other side is not moved."""
     dim = F.broadcast(channels(df.sparkSession).withColumnRenamed("name", name_column))
     return df.join(dim, name_column, "left")
+
+
+def channel_pages(pages: DataFrame, name: str) -> DataFrame:
+    """Listing pages of one channel, later pages of the listing included.
+
+    The address is a literal prefix, so the filter reaches the scan.
+    """
+    base = dict(CHANNELS)[name]
+    return pages.where((F.col("url") == base) | F.col("url").startswith(base + "?"))

@@ -12,9 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pageloom import fixed
 from pageloom.operators.frontier import distinct_links, index_union, without_known
 from pageloom.operators.sized import is_small
-from pageloom.plans.listing_a import index_a
-from pageloom.plans.listing_b import index_b
-from pageloom.plans.trees import page_trees
+from pageloom.plans.sites import listing_items
 from pageloom.schema import FRONTIER, FRONTIER_COLUMNS
 from pageloom.sources.pages import spread
 from pageloom.sources.store import read_store
@@ -25,9 +23,11 @@ LISTING_PAGE = "page_id BIGINT, source STRING, url STRING, html STRING"
 
 def listed(pages: DataFrame) -> DataFrame:
     """Listing items of both sites; each page is parsed once, by its own site."""
-    a = page_trees(pages.where(F.col("source") == fixed.SOURCE_A), "page_id")
-    b = page_trees(pages.where(F.col("source") == fixed.SOURCE_B), "page_id")
-    return index_union(index_a(a), index_b(b))
+
+    def items(source: str) -> DataFrame:
+        return listing_items(pages.where(F.col("source") == source), source)
+
+    return index_union(items(fixed.SOURCE_A), items(fixed.SOURCE_B))
 
 
 def _stored_among(found: DataFrame, store: DataFrame) -> DataFrame:

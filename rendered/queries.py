@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pageloom import fixed
 from pageloom.operators import articles as art, frontier as fr, tree as t
-from pageloom.plans.article_a import article_a, parts_a
-from pageloom.plans.article_b import CONTENT_RULES, article_b, is_page_item, parts_b
-from pageloom.plans.listing_a import index_a
-from pageloom.plans.listing_b import index_b
+from pageloom.plans import sites
+from pageloom.plans.article_b import CONTENT_RULES, is_page_item, parts_b
 from pageloom.plans.trees import node_table, page_trees
 from pageloom.schema import FRONTIER
 from pageloom.session import shared_dir, stored
@@ -49,19 +47,19 @@ trees_a, trees_b = _trees(render.articles_a), _trees(render.articles_b)
 
 
 def articles_of_a(spark, sf):
-    return article_a(trees_a(spark, sf))
+    return sites.articles(_rendered(render.articles_a)(spark, sf), fixed.SOURCE_A)
 
 
 def articles_of_b(spark, sf):
-    return article_b(trees_b(spark, sf))
+    return sites.articles(_rendered(render.articles_b)(spark, sf), fixed.SOURCE_B)
 
 
 def items_a(spark, sf):
-    return index_a(page_trees(_rendered(render.listing_a)(spark, sf), "page_id"))
+    return sites.listing_items(_rendered(render.listing_a)(spark, sf), fixed.SOURCE_A)
 
 
 def items_b(spark, sf):
-    return index_b(page_trees(_rendered(render.listing_b)(spark, sf), "page_id"))
+    return sites.listing_items(_rendered(render.listing_b)(spark, sf), fixed.SOURCE_B)
 
 
 def listed(spark, sf):
@@ -186,9 +184,10 @@ def snk_articles(spark, sf):
         stored = known_links(spark, store)
         fresh_a = art.pending_pages(_rendered(render.articles_a)(spark, sf), stored)
         fresh_b = art.pending_pages(_rendered(render.articles_b)(spark, sf), stored)
-        write_articles(
-            art.canonical(article_a(page_trees(fresh_a)), article_b(page_trees(fresh_b))), store
+        articles = sites.canonical_articles(fresh_a, fixed.SOURCE_A).unionByName(
+            sites.canonical_articles(fresh_b, fixed.SOURCE_B)
         )
+        write_articles(articles, store)
     return _canonical_row(read_store(spark, store))
 
 
@@ -373,8 +372,8 @@ def rel_frontier_take(spark, sf):
 
 def rel_hydrate(spark, sf):
     pages = _rendered(render.articles_b)(spark, sf)
-    hydrated = art.hydrate(items_b(spark, sf), pages)
-    return article_b(page_trees(hydrated)).select("page_id", "link", "kind", "headline")
+    found = sites.articles_of(items_b(spark, sf), pages, fixed.SOURCE_B)
+    return found.select("page_id", "link", "kind", "headline")
 
 
 def _flat_blocks(spark, sf):

@@ -12,8 +12,9 @@ from pageloom.plans.article_b import article_b
 from pageloom.plans.trees import page_trees
 from pageloom.schema import ARTICLE, FRONTIER
 from pageloom.session import shared_dir
-from pageloom.sources.channels import channels, with_base_url
-from pageloom.sources.pages import status_gate
+from pageloom.plans.sites import articles_of
+from pageloom.sources.channels import channel_pages, channels, with_base_url
+from pageloom.sources.pages import PAGE_MIN, read_pages, spread, status_gate
 from pageloom.sources.store import known_links, read_store, write_articles
 from tests.test_extract import news, page_b, single
 
@@ -166,3 +167,28 @@ def test_hot_link_shrinks_before_the_shuffle(spark):
     assert got.count() == 1 + len(range(0, n, 3))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "partial_max" in plan
+
+
+def test_channel_pages(spark):
+    urls = ["https://news.detik.com/indeks", "https://news.detik.com/indeks?page=2", "https://news.detik.com/indeksx"]
+    pages = spark.createDataFrame([(u,) for u in urls], "url STRING")
+    assert [r.url for r in channel_pages(pages, "News").collect()] == urls[:2]
+
+
+def test_articles_behind_items(spark):
+    pages = spark.createDataFrame([(0, "a0", single("<p>x</p>"))], PAGE_MIN)
+    items = spark.createDataFrame([("a0",), ("a0",), ("b",)], "article_link STRING")
+    got = articles_of(items, pages, A).collect()
+    assert [(r.link, r.contents[0].text) for r in got] == [("a0", "x")]
+
+
+def test_compressed_text_pages(spark):
+    path = shared_dir(spark, "gz")
+    spark.createDataFrame([(1, "u", "<p>é</p>")], PAGE_MIN).write.option("compression", "gzip").json(path)
+    assert [tuple(r) for r in read_pages(spark, path, fmt="json").collect()] == [(1, "u", "<p>é</p>")]
+
+
+def test_spread_only_touches_small_inputs(spark):
+    few, many = spark.range(100, numPartitions=2), spark.range(100, numPartitions=64)
+    assert spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(many, "id") is many
