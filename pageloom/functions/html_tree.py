@@ -58,7 +58,10 @@ _SPECIAL = _CLOSES_P | _TABLE | _SCOPE | _HEAD | frozenset(
     "area body br button embed frame frameset head iframe img input param select source "
     "textarea track wbr".split()
 )
-_IMPLIED = frozenset("dd dt li optgroup option p rb rp rt rtc".split())
+_BUTTON_SCOPE = _SCOPE | {"button"}
+_LIST_SCOPE = _SCOPE | {"ol", "ul"}
+_TABLE_SCOPE = frozenset(("html", "table", "template"))
+_FRAME = frozenset(("html", "head", "body"))
 _BREAKOUT = frozenset(
     "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img "
     "li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul "
@@ -68,6 +71,8 @@ _HTML_INSIDE = frozenset("foreignobject desc title mi mo mn ms mtext annotation-
 # Elements ended by the start of a sibling, and where the search for one stops.
 _SIBLING = {"li": ({"li"}, {"address", "div", "p"}), "dd": ({"dd", "dt"}, {"address", "div", "p"})}
 _SIBLING["dt"] = _SIBLING["dd"]
+_CAREFUL = _TABLE | frozenset("a button dd dt form image li optgroup option rb rp rt rtc".split())
+_EATS = frozenset(_RAW_END) | {"pre", "listing"}
 
 
 def _attr_text(value: str) -> str:
@@ -77,6 +82,7 @@ def _attr_text(value: str) -> str:
 
 
 def _attributes(raw: str) -> dict[str, str]:
+    """Attributes of a start tag, the first of a name counting."""
     found: dict[str, str] = {}
     for name, dq, sq, bare in _ATTR_PARTS.findall(raw):
         name = name.lower()
@@ -85,40 +91,51 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
+_NONE: dict[str, str] = {}
+
+
 class PageTree:
-    """Node lists of one page; index in each list = pre-order position."""
-
-    def __init__(self) -> None:
-        self.kind, self.tag, self.ns = ["document"], [None], [None]
-        self.parent, self.depth = [-1], [0]
-        self.attrs: list[dict | None] = [None]
-        self.text: list[str | None] = [None]
-        self.stack = [0]  # open nodes
+    """Nodes of one page; place in ``rows`` = pre-order position."""
+
+    FIELDS = ("kind", "parent", "tag", "attrs", "text", "ns", "depth")
+
+    def __init__(self, seen: dict[str, dict] | None = None) -> None:
+        # The same few tags fill most pages: attributes by their source text,
+        # shared between nodes and pages and never changed.
+        self.seen = {} if seen is None else seen
+        self.rows: list[tuple] = [("document", -1, None, None, None, None, 0)]
+        self.stack = [0]  # open nodes, and their tags and name spaces
+        self.names: list[str | None] = [None]
+        self.spaces = [""]
         self.open: dict[str, int] = {}  # open elements per tag
         self.html = self.head = self.body = None
         self.head_done = False
         self.between: list[tuple[str, str]] = []  # blanks and comments between head and body
         self.tail: list[tuple[int, str]] = []  # comments after the body
 
-    # -- growing the lists ------------------------------------------------
-    def add(self, kind, parent, tag=None, attrs=None, text=None, ns=None) -> int:
-        self.kind.append(kind)
-        self.tag.append(tag)
-        self.ns.append(ns)
-        self.attrs.append(attrs)
-        self.text.append(text)
-        self.parent.append(parent)
-        self.depth.append(self.depth[parent] + 1)
-        return len(self.kind) - 1
+    # -- growing the tree ----------------------------------------------------
+    def add(self, kind, tag=None, attrs=None, text=None, ns=None, parent=None) -> int:
+        at = len(self.rows)
+        if parent is None:
+            parent = self.stack[-1]
+        self.rows.append((kind, parent, tag, attrs, text, ns, self.rows[parent][6] + 1))
+        return at
 
     def push(self, tag, attrs, ns="") -> int:
-        at = self.add("element", self.stack[-1], tag, attrs, None, ns)
-        self.stack.append(at)
+        stack, rows = self.stack, self.rows
+        at = len(rows)
+        parent = stack[-1]
+        rows.append(("element", parent, tag, attrs, None, ns, rows[parent][6] + 1))
+        stack.append(at)
+        self.names.append(tag)
+        self.spaces.append(ns)
         self.open[tag] = self.open.get(tag, 0) + 1
         return at
 
     def pop(self) -> str:
-        tag = self.tag[self.stack.pop()]
+        self.stack.pop()
+        self.spaces.pop()
+        tag = self.names.pop()
         self.open[tag] -= 1
         return tag
 
@@ -126,33 +143,32 @@ class PageTree:
         while self.pop() not in tags:
             pass
 
-    def top(self) -> str | None:
-        return self.tag[self.stack[-1]]
+    def merge_attrs(self, at, attrs) -> None:
+        row = self.rows[at]
+        self.rows[at] = row[:3] + ({**attrs, **row[3]},) + row[4:]
 
     def in_scope(self, tags, stop=_SCOPE) -> bool:
-        if not any(self.open.get(t) for t in tags):
-            return False
-        for at in reversed(self.stack):
-            tag = self.tag[at]
+        """Is one of ``tags`` open with no boundary above it?"""
+        for tag in reversed(self.names):
             if tag in tags:
                 return True
-            if tag in stop or tag is None:
+            if tag in stop:
                 return False
         return False
 
     def close_p(self) -> None:
-        if self.open.get("p") and self.in_scope(("p",), _SCOPE | {"button"}):
+        if self.open.get("p") and self.in_scope(("p",), _BUTTON_SCOPE):
             self.pop_to(("p",))
 
     # -- implied html, head, body ------------------------------------------
-    def need_html(self, attrs=None) -> None:
+    def need_html(self, attrs=_NONE) -> None:
         if self.html is None:
-            self.html = self.push("html", attrs if attrs is not None else {})
+            self.html = self.push("html", attrs)
 
-    def need_head(self, attrs=None) -> None:
+    def need_head(self, attrs=_NONE) -> None:
         self.need_html()
         if self.head is None:
-            self.head = self.push("head", attrs if attrs is not None else {})
+            self.head = self.push("head", attrs)
 
     def end_head(self) -> None:
         self.need_head()
@@ -160,23 +176,24 @@ class PageTree:
             self.head_done = True
             self.pop_to(("head",))
 
-    def need_body(self, attrs=None) -> None:
+    def need_body(self, attrs=_NONE) -> None:
         if self.body is None:
             self.end_head()
             for kind, text in self.between:
                 if kind == "text":
                     self.put_text(text)
                 else:
-                    self.add(kind, self.stack[-1], text=text)
-            self.body = self.push("body", attrs if attrs is not None else {})
+                    self.add(kind, text=text)
+            self.body = self.push("body", attrs)
 
     # -- tokens ------------------------------------------------------------
     def put_text(self, text: str) -> None:
-        at = self.stack[-1]
-        if self.kind[-1] == "text" and self.parent[-1] == at:
-            self.text[-1] += text
+        rows, parent = self.rows, self.stack[-1]
+        last = rows[-1]
+        if last[0] == "text" and last[1] == parent:
+            rows[-1] = last[:4] + (last[4] + text,) + last[5:]
         else:
-            self.add("text", at, text=text)
+            rows.append(("text", parent, None, None, text, None, rows[parent][6] + 1))
 
     def on_text(self, text: str) -> None:
         if self.body is None:
@@ -199,47 +216,57 @@ class PageTree:
         elif self.head_done and self.body is None:
             self.between.append(("comment", text))
         else:
-            self.add("comment", self.stack[-1], text=text)
+            self.add("comment", text=text)
 
     def on_start(self, tag: str, raw: str) -> int | None:
-        attrs = _attributes(raw) if raw else {}
-        if tag == "image":
-            tag = "img"
-        for name, at in (("html", self.html), ("body", self.body)):
-            if tag == name and at is not None:
-                self.attrs[at] = {**attrs, **self.attrs[at]}
-                return None
-        if tag == "html":
+        attrs = _NONE
+        if raw:
+            attrs = self.seen.get(raw)
+            if attrs is None:
+                attrs = _attributes(raw)
+                if len(self.seen) < 4096:
+                    self.seen[raw] = attrs
+        if self.body is None or tag in _FRAME:
+            return self.outside_body(tag, attrs, raw)
+        space = self.spaces[-1]
+        if space and self.names[-1] not in _HTML_INSIDE:
+            if tag not in _BREAKOUT:
+                return self.foreign(tag, attrs, raw, space)
+            while self.spaces[-1] and self.names[-1] not in _HTML_INSIDE:
+                self.pop()
+        if tag in ("svg", "math"):
+            return self.foreign(tag, attrs, raw, tag)
+        return self.in_body(tag, attrs)
+
+    def outside_body(self, tag, attrs, raw) -> int | None:
+        """Tags of the page frame, and everything before the body opens."""
+        at = {"html": self.html, "body": self.body}.get(tag)
+        if at is not None:
+            self.merge_attrs(at, attrs)
+        elif tag == "html":
             self.need_html(attrs)
-            return None
-        if tag == "head":
+        elif tag == "head":
             if self.head is None:
                 self.need_head(attrs)
-            return None
-        if tag == "body":
+        elif tag == "body":
             self.need_body(attrs)
-            return None
-        if self.body is None and tag in _HEAD:
+        elif tag in _HEAD:
             self.need_head()
             if self.head_done:  # late head element: still belongs to head
                 return self.late_head(tag, attrs)
             return self.leaf_or_push(tag, attrs)
-        self.need_body()
-        ns = self.ns[self.stack[-1]] or ""
-        if ns and self.top().lower() not in _HTML_INSIDE:
-            if tag not in _BREAKOUT:
-                return self.foreign(tag, attrs, raw, ns)
-            while self.ns[self.stack[-1]] and self.top().lower() not in _HTML_INSIDE:
-                self.pop()
-        if tag in ("svg", "math"):
-            return self.foreign(tag, attrs, raw, tag)
-        return self.in_body(tag, attrs)
+        else:
+            self.need_body()
+            return self.on_start(tag, raw)
+        return None
 
     def late_head(self, tag, attrs) -> int:
         self.stack.append(self.head)
+        self.names.append("head")
+        self.spaces.append("")
         self.open["head"] += 1
         at = self.leaf_or_push(tag, attrs)
-        if self.stack[-1] == self.head:
+        if self.names[-1] == "head":
             self.pop()
         return at
 
@@ -251,32 +278,39 @@ class PageTree:
 
     def leaf_or_push(self, tag, attrs) -> int:
         if tag in VOID:
-            return self.add("element", self.stack[-1], tag, attrs, None, "")
+            return self.add("element", tag, attrs, None, "")
         return self.push(tag, attrs)
 
     def in_body(self, tag, attrs) -> int | None:
-        if tag in _TABLE:
-            if not self.open.get("table"):
-                return None
-            self.open_table_part(tag)
-        elif tag == "form" and self.open.get("form"):
-            return None
-        elif tag in _SIBLING:
-            self.end_sibling(tag)
-        elif tag in ("option", "optgroup"):
-            if self.top() == "option":
-                self.pop()
-            if tag == "optgroup" and self.top() == "optgroup":
+        names = self.names
+        if tag in _CAREFUL:
+            if tag == "image":
+                tag = "img"
+            elif tag in _TABLE:
+                if not self.open.get("table"):
+                    return None
+                self.open_table_part(tag)
+            elif tag == "form":
+                if self.open.get("form"):
+                    return None
+            elif tag in _SIBLING:
+                self.end_sibling(tag)
+            elif tag in ("option", "optgroup"):
+                if names[-1] == "option":
+                    self.pop()
+                if tag == "optgroup" and names[-1] == "optgroup":
+                    self.pop()
+            elif tag == "button":
+                if self.open.get("button") and self.in_scope(("button",)):
+                    self.pop_to(("button",))
+            elif tag == "a":
+                if self.open.get("a"):
+                    self.end_plain("a")
+            elif names[-1] in ("rb", "rp", "rt"):  # ruby parts
                 self.pop()
-        elif tag in ("rb", "rp", "rt", "rtc") and self.top() in ("rb", "rp", "rt"):
-            self.pop()
-        elif tag == "button" and self.in_scope(("button",)):
-            self.pop_to(("button",))
-        elif tag == "a" and self.open.get("a"):
-            self.end_plain("a")
         if tag in _CLOSES_P:
             self.close_p()
-            if tag in _HEADING and self.top() in _HEADING:
+            if tag in _HEADING and names[-1] in _HEADING:
                 self.pop()
         return self.leaf_or_push(tag, attrs)
 
@@ -284,8 +318,7 @@ class PageTree:
         tags, passable = _SIBLING[tag]
         if not any(self.open.get(t) for t in tags):
             return
-        for at in reversed(self.stack):
-            name = self.tag[at]
+        for name in reversed(self.names):
             if name in tags:
                 self.pop_to((name,))
                 return
@@ -299,14 +332,14 @@ class PageTree:
             stops = _ROWS | {"table"}
         else:
             stops = {"table", "colgroup"} if tag == "col" else {"table"}
-        while self.top() not in stops:
+        while self.names[-1] not in stops:
             self.pop()
-        if tag == "col" and self.top() == "table":
-            self.push("colgroup", {})
-        if tag in ("td", "th", "tr") and self.top() == "table":
-            self.push("tbody", {})
-        if tag in ("td", "th") and self.top() != "tr":
-            self.push("tr", {})
+        if tag == "col" and self.names[-1] == "table":
+            self.push("colgroup", _NONE)
+        if tag in ("td", "th", "tr") and self.names[-1] == "table":
+            self.push("tbody", _NONE)
+        if tag in ("td", "th") and self.names[-1] != "tr":
+            self.push("tr", _NONE)
 
     def on_end(self, tag: str) -> None:
         if self.body is None:
@@ -315,41 +348,39 @@ class PageTree:
             elif tag in ("title", "script", "style", "noscript", "noframes", "template"):
                 if self.open.get(tag):
                     self.pop_to((tag,))
-                if self.head_done and self.top() == "head":
+                if self.head_done and self.names[-1] == "head":
                     self.pop()
             elif tag in ("br", "p"):
                 self.need_body()
                 self.on_end(tag)
         elif tag == "p":
-            if not self.in_scope(("p",), _SCOPE | {"button"}):
-                self.push("p", {})
+            if not (self.open.get("p") and self.in_scope(("p",), _BUTTON_SCOPE)):
+                self.push("p", _NONE)
             self.pop_to(("p",))
         elif tag == "br":
-            self.leaf_or_push("br", {})
+            self.leaf_or_push("br", _NONE)
         elif tag in _HEADING:
             if self.in_scope(_HEADING):
                 self.pop_to(_HEADING)
-        elif tag == "table" or (tag in _TABLE and tag != "col"):
-            if self.in_scope((tag,), {"html", "table", "template"}):
+        elif not self.open.get(tag):
+            pass
+        elif tag == "table" or tag in _TABLE:
+            if self.in_scope((tag,), _TABLE_SCOPE):
                 self.pop_to((tag,))
-        elif tag == "li":
-            if self.in_scope(("li",), _SCOPE | {"ol", "ul"}):
-                self.pop_to(("li",))
         elif tag in _CLOSES_P or tag == "button":
-            if self.in_scope((tag,)):
+            if self.in_scope((tag,), _LIST_SCOPE if tag == "li" else _SCOPE):
                 self.pop_to((tag,))
         else:
             self.end_plain(tag)
 
     def end_plain(self, tag) -> None:
-        if not self.open.get(tag):
-            return
-        for at in reversed(self.stack):
-            name = self.tag[at]
+        """End of an inline element: closes it unless a block lies in between."""
+        for i in range(len(self.names) - 1, 0, -1):
+            name = self.names[i]
             if name == tag:
                 self.pop_to((tag,))
                 return
-            if name is None or (name in _SPECIAL and not self.ns[at]):
+            if name in _SPECIAL and not self.spaces[i]:
                 return
 
     # -- whole page ----------------------------------------------------------
@@ -370,10 +401,10 @@ class PageTree:
             which = m.lastgroup
             if which in ("start", "attrs"):
                 tag, raw = m.group("start").lower(), m.group("attrs")
-                node = self.on_start(tag, raw)
-                ended = ended if node is None else ""
-                if node is not None and not self.ns[node]:
-                    at = self.after_start(html, at, tag)
+                if self.on_start(tag, raw) is not None:
+                    ended = ""
+                    if tag in _EATS and not self.spaces[-1]:
+                        at = self.after_start(html, at, tag)
             elif which == "end":
                 tag = m.group("end").lower()
                 if tag in ("body", "html"):
@@ -385,14 +416,16 @@ class PageTree:
             elif which == "doctype":
                 if self.html is None:
                     name = m.group("doctype")[7:].split()
-                    self.add("doctype", 0, tag=name[0].lower() if name else "")
+                    self.add("doctype", name[0].lower() if name else "")
             elif which == "comment" or html.startswith("<!--", m.start()):
                 self.on_comment(m.group("comment") or "", ended)
             elif which == "bogus":
                 self.on_comment(m.group("bogus"), ended)
         self.need_body()
         for parent, text in sorted(self.tail, key=lambda t: -t[0]):
-            self.add("comment", parent, text=text)
+            self.add("comment", text=text, parent=parent)
+        for field, values in zip(self.FIELDS, zip(*self.rows)):
+            setattr(self, field, list(values))
         return self
 
     def after_start(self, html: str, at: int, tag: str) -> int:
@@ -413,9 +446,10 @@ class PageTree:
         return at
 
     def last_descendants(self) -> list[int]:
-        fin = list(range(len(self.kind)))
+        fin = list(range(len(self.rows)))
+        parent = self.parent
         for at in range(len(fin) - 1, 0, -1):
-            up = self.parent[at]
+            up = parent[at]
             if fin[at] > fin[up]:
                 fin[up] = fin[at]
         return fin
@@ -428,7 +462,7 @@ def _node_array(pages: list[PageTree], nodes_type: pa.DataType) -> pa.Array:
     cols: dict[str, list] = {k: [] for k in ("parent", "depth", "kind", "tag", "ns", "text")}
     attrs: list[dict | None] = []
     for page in pages:
-        size = len(page.kind)
+        size = len(page.rows)
         offsets.append(offsets[-1] + size)
         pre.extend(range(size))
         fin.extend(page.last_descendants())
@@ -489,6 +523,7 @@ def parse_batches(batches, flush_chars: int = 4_000_000):
 
 
 def _parsed(batches, flush_chars):
+    seen: dict[str, dict] = {}
     for batch in batches:
         names = batch.schema.names
         html = batch.column(names.index("html"))
@@ -496,7 +531,7 @@ def _parsed(batches, flush_chars):
         start, size, pages = 0, 0, []
         for row in range(batch.num_rows):
             page = html[row].as_py() or ""
-            pages.append(PageTree().feed(page))
+            pages.append(PageTree(seen).feed(page))
             size += len(page)
             if size >= flush_chars or row == batch.num_rows - 1:
                 cut = [c.slice(start, row + 1 - start) for _, c in rest]
