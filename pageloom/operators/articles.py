@@ -16,8 +16,11 @@ def pending_pages(pages: DataFrame, known: DataFrame) -> DataFrame:
     Known links of a proven size are broadcast and html stays where it is.
     Beyond that the urls left to do are found on narrow columns, and html is
     matched against those: broadcast again if they are few, as in a daily run
-    over a large store, shuffled only if both sides are large.
+    over a large store, shuffled only if both sides are large (where a url with
+    very many snapshots is split by the adaptive skew join).  A page without a
+    url cannot be stored and is left out.
     """
+    pages = pages.where("url IS NOT NULL")
     links = known.select(F.col("link").alias("url"))
     if is_small(links):
         return pages.join(F.broadcast(links), "url", "left_anti")
@@ -29,8 +32,8 @@ def hydrate(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Listing items joined to the page behind their link.
 
     ``items`` needs ``link`` (and may carry ``type``, the kind the listing
-    gave); ``pages`` needs ``page_id, url, html``.  Each link is fetched once
-    and the latest snapshot answers it, so neither a link listed many times nor
+    gave); ``pages`` needs ``page_id, url, html``, a ``page_id`` naming one
+    snapshot.  Each link is fetched once and the latest snapshot answers it, so neither a link listed many times nor
     a page stored many times multiplies rows.  Both choices are made on narrow
     columns; html moves in the final join only.
     """
@@ -147,9 +150,8 @@ def block_variant(blocks: DataFrame) -> DataFrame:
 
 def related_links(articles: DataFrame) -> DataFrame:
     """Page -> page edges in listed order."""
-    return (
-        unnested(articles, "related", "id", "link")
-        .select("id", "link", "pos", "item.title", "item.article_link", "item.thumbnail")
+    return unnested(articles, "related", "id", "link").select(
+        "id", "link", "pos", "item.title", "item.article_link", "item.thumbnail"
     )
 
 

@@ -82,7 +82,6 @@ _REF = "' <a href=\"https://x.example/' || i || '?a=1&amp;b=2\">ref &amp; more</
 _PAR, _SEC, _IMG, _VID, _LNK = (
     "paragraph-text", "section-title", "image", "video", "referenced-article-link",
 )
-_JSON = "has_json AND "
 
 
 def _json(x: str) -> str:

@@ -131,7 +131,8 @@ def test_pending_and_hydrate_on_both_join_ways(spark, monkeypatch, limit):
     monkeypatch.setattr(art, "is_small", lambda df: sized.narrow_bytes(df) <= limit)
     monkeypatch.setattr(sized, "is_small", lambda df: sized.narrow_bytes(df) <= limit)
     pages = spark.createDataFrame(
-        [(1, "u", "old", datetime(2024, 1, 1)), (2, "u", "new", datetime(2024, 1, 2)), (3, "v", "h", None), (4, "w", "h", None)],
+        [(1, "u", "old", datetime(2024, 1, 1)), (2, "u", "new", datetime(2024, 1, 2)), (3, "v", "h", None), (4, "w", "h", None),
+         (5, None, "h", None)],
         "page_id BIGINT, url STRING, html STRING, fetched_at TIMESTAMP",
     )
     known = spark.createDataFrame([("v",)], "link STRING")
