@@ -113,8 +113,9 @@ def sample_by_class(rows: DataFrame, label: str, key: str, per_class: int) -> Da
     return rows.where(chosen).limit(2 * per_class * len(counts))
 
 
-def running_total(df: DataFrame, order: list, amount: str, name: str) -> DataFrame:
-    """``df`` with ``name``: the sum of ``amount`` over all rows before this one.
+def running_totals(df: DataFrame, order: list, amounts: dict[str, str]) -> DataFrame:
+    """``df`` with, for each ``name: amount``, the sum of the column ``amount``
+    over all rows before this one.
 
     Rows are laid out in ranges of ``order``, each range is summed on its own,
     and only the sums of the ranges, one per task, are added up in one place.
@@ -124,13 +125,17 @@ def running_total(df: DataFrame, order: list, amount: str, name: str) -> DataFra
     ranged = df.repartitionByRange(tasks(spark), *order).withColumn("_run", F.spark_partition_id())
     ranged = stored(ranged, "ranges")
     inside = Window.partitionBy("_run").orderBy(*order)
-    sums = ranged.groupBy("_run").agg(F.sum(amount).alias("_sum"))
+    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
     over = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_run", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_start"))
-    before = F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    zero = F.lit(0).cast("bigint")
+    sums = ranged.groupBy("_run").agg(*[F.sum(a).alias(f"_sum_{n}") for n, a in amounts.items()])
+    starts = sums.select(
+        "_run", *[F.coalesce(F.sum(f"_sum_{n}").over(over), zero).alias(f"_at_{n}") for n in amounts]
+    )
+    before = {f"_in_{n}": F.coalesce(F.sum(a).over(inside), zero) for n, a in amounts.items()}
     return (
-        ranged.withColumn("_before", F.coalesce(before, F.lit(0)))
+        ranged.withColumns(before)
         .join(F.broadcast(starts), "_run")  # one row per task of the range exchange
-        .withColumn(name, F.col("_start") + F.col("_before"))
-        .drop("_run", "_before", "_start")
+        .withColumns({n: F.col(f"_at_{n}") + F.col(f"_in_{n}") for n in amounts})
+        .drop("_run", *before, *[f"_at_{n}" for n in amounts])
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pageloom.llm import simhash
+from pageloom.llm import bitpack, packing, simhash
 
 QUERIES = {
+    "op5_cutting_stock_packing": packing.query,
+    "op9_fixed_width_bit_packing": bitpack.query,
     "op8_simhash_near_dedup": simhash.query,
 }
 
