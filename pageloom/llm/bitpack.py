@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pageloom.llm.common import read, shared_dir, tasks, text_slices
+from pageloom.llm.common import WORD_SLICE_CHARS, read, shared_dir, tasks, text_slices
 from pageloom.llm.tokens import default_tokenizer, encoder
 
 BLOCK_IDS = 1 << 16
@@ -93,7 +93,7 @@ def _blocks(path: str, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator[
         labels = [x.split()[0] for x in LAYOUT.split(", ")]
         return pa.RecordBatch.from_arrays(columns, names=labels)
 
-    for slice_, texts in text_slices(batches):
+    for slice_, texts in text_slices(batches, WORD_SLICE_CHARS):
         ids, counts = encode.encode(texts)
         stops = np.cumsum(counts)
         for name, stop, count in zip(slice_.column(0).to_pylist(), stops, counts, strict=True):

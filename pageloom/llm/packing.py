@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pageloom.llm.common import empty_as, per_text, read, running_totals, stored
+from pageloom.llm.common import WORD_SLICE_CHARS, empty_as, per_text, read, running_totals, stored
 from pageloom.llm.tokens import default_tokenizer, encoder
 
 LENGTH = 2048
@@ -92,6 +92,24 @@ def first_fit(demand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return patterns, amounts
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots.
+
+    A few hundred rows at most.  The LAPACK call for this can wait for ever in a
+    process that has forked, which a Spark driver has.
+    """
+    m = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(m)])
+    for i in range(m):
+        top = i + int(np.abs(work[i:, i]).argmax())
+        work[[i, top]] = work[[top, i]]
+        work[i] /= work[i, i]
+        others = np.flatnonzero(work[:, i])
+        others = others[others != i]
+        work[others] -= np.outer(work[others, i], work[i])
+    return work[:, m:]
+
+
 def generate_columns(demand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(patterns, amounts)``: a basic solution of the covering program.
 
@@ -102,7 +120,7 @@ def generate_columns(demand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     used = np.flatnonzero(demand)
     m = len(used)
     patterns, amounts = first_fit(demand)
-    inverse = np.linalg.inv(patterns[:, used].T.astype(float))
+    inverse = inverted(patterns[:, used].T)
     for _ in range(MAX_PIVOTS):
         prices = np.zeros(room)
         prices[used] = inverse.sum(0)  # every pattern costs one sequence
@@ -185,7 +203,7 @@ def measured(
         return {"doc_tokens": pa.array(counts + 1), "crcs": crcs}
 
     keyed = docs.select("doc_id", F.xxhash64(empty_as()).alias("key"), "text")
-    return per_text(keyed, ["doc_id", "key"], "doc_tokens BIGINT, crcs ARRAY<BIGINT>", fn)
+    return per_text(keyed, ["doc_id", "key"], "doc_tokens BIGINT, crcs ARRAY<BIGINT>", fn, WORD_SLICE_CHARS)
 
 
 def pack(
@@ -198,7 +216,8 @@ def pack(
         raise ValueError("length has to be a multiple of unit")
     room = length // unit
     rest = F.col("doc_tokens") % length
-    table = measured(docs, tokenizer, length, end).withColumns({
+    # stored, as the range exchange reads its input twice
+    table = stored(measured(docs, tokenizer, length, end), "measured").withColumns({
         "full": F.floor(F.col("doc_tokens") / length).cast("bigint"),
         "class": F.ceil(rest / unit).cast("int"),
         "one": F.lit(1).cast("bigint"),
