@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pageloom.llm import bitpack, packing, simhash
+from pageloom.llm import bitpack, packing, prefix_hash, simhash
 
 QUERIES = {
+    "op3_prefix_hashes": prefix_hash.query,
     "op5_cutting_stock_packing": packing.query,
     "op9_fixed_width_bit_packing": bitpack.query,
     "op8_simhash_near_dedup": simhash.query,
