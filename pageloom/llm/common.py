@@ -13,9 +13,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pageloom.session import shared_dir
 
 #: Characters of text that a Python worker handles at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 #: The same where distinct words are looked up, which larger slices repeat less.
-WORD_SLICE_CHARS = 12_000_000
+WORD_SLICE_CHARS = 4_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -24,7 +24,7 @@ from pageloom.llm.common import worker_cache
 VISIBLE = re.compile("[^\\s\\u180e\\x00-\\x1f\\x7f-\\xa0]").match
 #: Distinct pieces a worker keeps before it starts afresh, and those used at
 #: least so often are kept over.
-KEPT, KEPT_OVER = 900_000, 3
+KEPT, KEPT_OVER = 500_000, 3
 TOGETHER = 32
 
 
