@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pageloom.llm import bitpack, packing, prefix_hash, simhash
+from pageloom.llm import bitpack, packing, prefix_hash, simhash, toxicity
 
 QUERIES = {
+    "op4_convolutional_toxicity": toxicity.query,
     "op3_prefix_hashes": prefix_hash.query,
     "op5_cutting_stock_packing": packing.query,
     "op9_fixed_width_bit_packing": bitpack.query,
