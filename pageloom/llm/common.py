@@ -115,6 +115,14 @@ def sample_by_class(rows: DataFrame, label: str, key: str, per_class: int) -> Da
     return rows.where(chosen).limit(2 * per_class * len(counts))
 
 
+def run_of(text: str, chars: int) -> Column:
+    """At most ``chars`` code points of a text, from a place its hash decides: what a
+    classifier is fitted to, where texts of any length have to fit the driver."""
+    length = F.length(text)
+    at = F.pmod(F.xxhash64(text), F.greatest(F.lit(1), length - chars + 1)).cast("int")
+    return F.substring(F.col(text), at + 1, F.lit(chars))
+
+
 def running_totals(df: DataFrame, order: list, amounts: dict[str, str]) -> DataFrame:
     """``df`` with, for each ``name: amount``, the sum of the column ``amount``
     over all rows before this one.
