@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pageloom.llm import bitpack, crf, packing, prefix_hash, simhash, toxicity
+from pageloom.llm import bitpack, crf, mcd, packing, prefix_hash, simhash, toxicity
 
 QUERIES = {
+    "op2_mcd_outliers": mcd.query,
     "op1_crf_language_id": crf.query,
     "op4_convolutional_toxicity": toxicity.query,
     "op3_prefix_hashes": prefix_hash.query,
