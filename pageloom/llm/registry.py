@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pageloom.llm import bitpack, crf, mcd, packing, prefix_hash, simhash, toxicity
+from pageloom.llm import bitpack, crf, hilbert, mcd, packing, prefix_hash, simhash, toxicity
 
 QUERIES = {
+    "op6_hilbert_shards": hilbert.query,
     "op2_mcd_outliers": mcd.query,
     "op1_crf_language_id": crf.query,
     "op4_convolutional_toxicity": toxicity.query,
@@ -14,4 +15,6 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_hilbert_shards": hilbert.oracle(),
+}
