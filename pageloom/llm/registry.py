@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pageloom.llm import bitpack, crf, hilbert, mcd, packing, prefix_hash, simhash, toxicity
+from pageloom.llm import bitpack, crf, hilbert, mcd, packing, prefix_hash, simhash, templates, toxicity
 
 QUERIES = {
+    "op10_template_line_dedup": templates.query,
     "op6_hilbert_shards": hilbert.query,
     "op2_mcd_outliers": mcd.query,
     "op1_crf_language_id": crf.query,
@@ -17,4 +18,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op6_hilbert_shards": hilbert.oracle(),
+    "op10_template_line_dedup": templates.oracle(),
 }
