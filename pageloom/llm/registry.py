@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pageloom.llm import bitpack, crf, hilbert, mcd, packing, prefix_hash, simhash, templates, toxicity
+from pageloom.llm import bitpack, crf, hilbert, mcd, mixing, packing, prefix_hash, simhash, templates, toxicity
 
 QUERIES = {
+    "op7_soft_membership_mixing": mixing.query,
     "op10_template_line_dedup": templates.query,
     "op6_hilbert_shards": hilbert.query,
     "op2_mcd_outliers": mcd.query,
