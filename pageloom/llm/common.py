@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from pageloom.operators.sized import is_small
 from pageloom.session import shared_dir
 
 #: Characters of text that a Python worker handles at once.
@@ -36,6 +37,11 @@ def stored(df: DataFrame, purpose: str, parts_by: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame) -> DataFrame:
+    """A stored narrow table, marked for a broadcast if its measured size allows."""
+    return F.broadcast(df) if is_small(df) else df
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_CHARS):
     """``(batch slice, texts)`` of at most ``limit`` characters, or one row.
 
