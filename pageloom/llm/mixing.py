@@ -14,9 +14,9 @@ is at most 1, so projected gradient steps of full length go
 
     r_i <- max(least, r_i - sum_d p_id (S_d - T_d) / N_d).
 
-A step needs only the domains' present totals ``S_d``; a document's rate follows
-from the list of steps, so no rate is stored between steps and each step is one
-sum over a narrow table.  ``copies`` rounds a rate up or down by a hash of the
+A step needs only the domains' present totals ``S_d``: one sum over a narrow table.
+A document's rate follows from the list of steps; it is stored every ``STORED``
+steps, so that the expression stays short.  ``copies`` rounds a rate up or down by a hash of the
 document, which keeps expected totals.
 
 DataFrame operations only.
@@ -45,7 +45,7 @@ BUCKETS, SMOOTHING, MOST_DOMAINS = 1 << 13, 1.0, 64
 #: domains of poor texts are worth this share of others.
 POWER, POOR = 0.7, 0.25
 #: Steps at most, and the largest relative miss of a target that ends them.
-STEPS, CLOSE = 30, 1e-3
+STEPS, STORED, CLOSE = 60, 15, 1e-3
 
 
 def _words(docs: DataFrame, *keep: str) -> DataFrame:
@@ -136,8 +136,8 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
 
 
 def rate(steps: list[list[float]], least: float) -> Column:
-    """A document's rate after the given steps (a number per domain each)."""
-    r = F.lit(1.0)
+    """``rate`` after further steps (a number per domain each)."""
+    r = F.col("rate")
     for step in steps:
         move = sum((F.col(f"p{i}") * s for i, s in enumerate(step)), F.lit(0.0))
         r = F.greatest(F.lit(float(least)), r - move)
@@ -166,25 +166,28 @@ def at_least_natural(natural: dict[str, float], power: float = POWER) -> dict[st
 
 
 def solve(members: DataFrame, domains: list[str], targets: dict[str, float] | None = None,
-          least: float = 0.0, choose=by_power) -> list[list[float]]:
-    """Steps of the projected gradient; ``choose`` makes targets of natural totals."""
-    natural = totals(members, len(domains), F.lit(1.0))
+          least: float = 0.0, choose=by_power) -> DataFrame:
+    """``members`` with ``rate``; ``choose`` makes targets of natural totals."""
+    members = members.withColumn("rate", F.lit(1.0))
+    natural = now = totals(members, len(domains), F.col("rate"))
     wanted = targets or choose(dict(zip(domains, natural, strict=True)))
     wanted = [wanted[d] for d in domains]
     steps: list[list[float]] = []
-    now = natural
     for _ in range(STEPS):
         miss = [abs(s - t) / t if t > 0 else 0.0 for s, t in zip(now, wanted, strict=True)]
         if max(miss) <= CLOSE:
             break
+        if len(steps) == STORED:
+            members = stored(members.withColumn("rate", rate(steps, least)), "rates")
+            steps = []
         steps.append([
             (s - t) / n if n > 0 else 0.0
             for s, t, n in zip(now, wanted, natural, strict=True)
         ])
         before, now = now, totals(members, len(domains), rate(steps, least))
         if all(abs(a - b) <= CLOSE / 10 * max(a, b) for a, b in zip(before, now, strict=True)):
-            break  # the bounds leave nothing to gain
-    return steps
+            break  # the bounds leave little to gain
+    return members.withColumn("rate", rate(steps, least))
 
 
 def rated(docs: DataFrame, rows: DataFrame, least: float = 0.0, choose=by_power,
@@ -193,12 +196,12 @@ def rated(docs: DataFrame, rows: DataFrame, least: float = 0.0, choose=by_power,
     ``docs``; ``rows`` is the labelled ``(domain, text)``.  ``domain`` is the likeliest."""
     model = learn(rows)
     members = stored(memberships(docs, model), "members")
-    steps = solve(members, model.domains, targets, least, choose)
+    members = solve(members, model.domains, targets, least, choose)
     d = range(len(model.domains))
     best = F.array_max(F.array(*[F.struct(F.col(f"p{i}").alias("p"), F.lit(-i).alias("at")) for i in d]))
     names = F.array(*[F.lit(x) for x in model.domains])
     drawn = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(1 << 30)) / (1 << 30)
-    return members.withColumns({"best": best, "rate": rate(steps, least)}).select(
+    return members.withColumn("best", best).select(
         "doc_id", "text_key", "tokens", F.get(names, -F.col("best.at")).alias("domain"),
         F.col("best.p").alias("posterior"), "rate",
         F.floor(F.col("rate") + drawn).cast("bigint").alias("copies"),
