@@ -172,7 +172,7 @@ def test_recurring_templates_are_dropped(spark):
         (5, f"{passage}\n{passage}"),
     ]
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
-    got = {r.doc_id: (r.text, r._dropped) for r in templates.dedup(docs).collect()}
+    got = {r.doc_id: (r.text, r._llm_dropped) for r in templates.dedup(docs).collect()}
     assert got[1] == (rows[0][1], 0)
     assert got[2] == ("second own line here", 2)
     assert got[3] == ("third own line here\nshort one", 1)
@@ -183,17 +183,17 @@ def test_recurring_templates_are_dropped(spark):
 def test_short_lines_need_many_documents(spark):
     rows = [(i, f"all rights reserved\nown {'x' * i} line of the document with number") for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
-    got = {r.doc_id: r._dropped for r in templates.dedup(docs).collect()}
+    got = {r.doc_id: r._llm_dropped for r in templates.dedup(docs).collect()}
     assert got[0] == 0 and all(got[i] >= 1 for i in range(1, 12))
     few = templates.dedup(docs.where("doc_id < 9").select("doc_id", F.lit("all rights reserved").alias("text")))
-    assert all(r._dropped == 0 for r in few.collect())
+    assert all(r._llm_dropped == 0 for r in few.collect())
 
 
 def test_lines_of_odd_rows(odd, clashing, none, odd_rows):
     for docs in (odd, clashing):
         got = templates.dedup(docs)
-        assert got.columns == [*docs.columns, "_lines", "_dropped"]
-        rows = got.select("doc_id", "text", got[got.columns.index("_lines")]).collect() if docs is odd else got.collect()
+        assert got.columns == [*docs.columns, "_llm_lines", "_llm_dropped"]
+        rows = got.collect()
         assert len(rows) == len(odd_rows)
         assert sorted(str(r.doc_id) for r in rows) == sorted(str(r[0]) for r in odd_rows)
         assert sum(r.text is None for r in rows) == 2
