@@ -38,7 +38,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pageloom.llm.common import empty_as, read, stored
+from pageloom.llm.common import empty_as, if_small, read, stored
 
 BUCKETS, SMOOTHING, MOST_DOMAINS = 1 << 13, 1.0, 64
 #: Targets are natural totals to this power, so rare domains are used more, and
@@ -61,6 +61,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(domain, text)`` of the documents that ``labels`` covers: their language
     and whether they were marked good."""
     marks = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    marks = if_small(stored(marks, "marks"))  # else the labelled texts are moved
     known = docs.where("lang IS NOT NULL").select("doc_id", "lang", "text").join(marks, "doc_id")
     name = F.concat("lang", F.when(F.col("q") > 0, "/good").otherwise("/poor"))
     return known.select(name.alias("domain"), "text")
