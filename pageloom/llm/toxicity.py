@@ -222,7 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[], F.Column] | Non
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = sample_by_class(known, "toxic", "doc_id", PER_CLASS)
     rows = (
-        docs.select("doc_id", run_of("text", CHARS).alias("text"), "lang").join(chosen, "doc_id")  # AQE measures the sample
+        docs.select("doc_id", run_of("text", CHARS).alias("text"), "lang")
+        .join(F.broadcast(chosen), "doc_id")  # at most 4 * PER_CLASS rows
         .limit(4 * PER_CLASS).orderBy("doc_id").collect()
     )
     y = np.array([r.toxic for r in rows], float)
