@@ -10,6 +10,9 @@ SOURCE_B = "Liputan6.com"
 
 # Channels of site A and their listing pages.  Two channels share
 # one address, so the name is the key.
+# Address of site B's listing.
+INDEX_B = "https://www.liputan6.com/indeks"
+
 CHANNELS = [
     ("News", "https://news.detik.com/indeks"),
     ("Edu", "https://www.detik.com/edu/indeks"),

@@ -45,10 +45,21 @@ def _item(seg: str) -> str:
 
         return after(image, lambda n: f"{_TITLE(n)} AND NOT {taken(n)}")
 
+    def read_as_text(n: str, image: str) -> str:
+        """Whether a subtitle heading is used up as the text of the one before it."""
+
+        def heading(k: int) -> str:
+            before = let(at(f"{n}.pre - {k}"), lambda b: f"{_SUBTITLE(b)} AND {b}.pre > {image}")
+            return f"coalesce({before}, false)"
+
+        return f"({heading(1)} AND NOT {heading(2)})"
+
     def record(e) -> str:
         subtitle = t.last_of(
             t.find_all(
-                seg, lambda n: f"{_SUBTITLE(n)} AND {n}.pre BETWEEN {e.image}.pre AND {e.title}.pre"
+                seg,
+                lambda n: f"{_SUBTITLE(n)} AND {n}.pre BETWEEN {e.image}.pre AND {e.title}.pre "
+                f"AND NOT {read_as_text(n, f'{e.image}.pre')}",
             ),
             following,
         )

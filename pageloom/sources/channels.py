@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageloom.fixed import CHANNELS
+from pageloom.fixed import CHANNELS, INDEX_B
 
 
 def channels(spark: SparkSession) -> DataFrame:
@@ -23,5 +23,13 @@ def channel_pages(pages: DataFrame, name: str) -> DataFrame:
 
     The address is a literal prefix, so the filter reaches the scan.
     """
-    base = dict(CHANNELS)[name]
+    return _below(pages, dict(CHANNELS)[name])
+
+
+def index_pages(pages: DataFrame) -> DataFrame:
+    """Pages of site B's one listing."""
+    return _below(pages, INDEX_B)
+
+
+def _below(pages: DataFrame, base: str) -> DataFrame:
     return pages.where((F.col("url") == base) | F.col("url").startswith(base + "?"))

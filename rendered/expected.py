@@ -180,7 +180,7 @@ RELATED_B = """
 related_b AS (
   SELECT doc_id, 0::BIGINT AS pos, nullif(title, '') AS title, link_b || '/1' AS article_link,
          'https://r.example/' || doc_id AS thumb_url, 100 AS thumb_w, 50 AS thumb_h
-  FROM doc WHERE kind_b = 'Article'
+  FROM doc WHERE kind_b = 'Article' AND n_chars % 5 <> 1
 )"""
 
 ARTICLES_A = f"""
@@ -269,13 +269,14 @@ def statements() -> dict[str, str]:
         # sources
         "src_pages": "SELECT page_id, url, length(html) AS html_chars, md5(html) AS html_md5 FROM pages",
         "src_status_gate": f"""
-SELECT d.doc_id AS page_id, src.source, src.status, src.status = 200 AS accepted,
+SELECT d.doc_id AS page_id, src.source, src.status, coalesce(src.status = 200, false) AS accepted,
        CASE WHEN src.status = 200 THEN NULL
-            WHEN src.source = 'Liputan6.com' THEN 'error requesting resource: got ' || src.status || ' status code'
+            WHEN src.source = 'Liputan6.com' THEN 'error requesting resource: got ' || coalesce(src.status, 0) || ' status code'
             WHEN src.status = 404 THEN 'news not found' ELSE 'error fetching news items: ' || d.text END AS reason
 FROM documents d JOIN (
-  SELECT l.doc_id, 'Detik.com' AS source, {_STATUS} AS status FROM labels l
-  UNION ALL SELECT l.doc_id, 'Liputan6.com', {_STATUS} FROM labels l) src ON src.doc_id = d.doc_id""",
+  SELECT p.doc_id, site.source, CASE WHEN l.doc_id IS NOT NULL THEN {_STATUS} END AS status
+  FROM documents p CROSS JOIN (VALUES ('Detik.com'), ('Liputan6.com')) site(source)
+  LEFT JOIN labels l ON l.doc_id = p.doc_id) src ON src.doc_id = d.doc_id""",
         "src_channels": f"""
 SELECT c.name, c.base_url, count(*) AS n_documents, sum(d.n_chars)::BIGINT AS n_chars
 FROM documents d JOIN (VALUES {_CHANNEL_ROWS}) c(name, base_url, k) ON c.k = d.n_chars % 22 GROUP BY ALL""",
@@ -283,7 +284,8 @@ FROM documents d JOIN (VALUES {_CHANNEL_ROWS}) c(name, base_url, k) ON c.k = d.n
         "snk_articles": _with(_CANONICAL, *_ALL_A, *_ALL_B),
         # tree
         "htm_match": "SELECT page_id, len(regexp_extract_all(html, '<div class=\"ad\">'))::BIGINT AS n_ads FROM pages",
-        "htm_find_first": f"SELECT page_id, url, {unescape(_TITLE_RE)} AS title FROM pages",
+        "htm_find_first": f"SELECT page_id, url, {unescape(_TITLE_RE)} AS title, "
+        "regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS first_link FROM pages",
         "htm_find_all": """
 SELECT page_id, k::BIGINT AS k, href FROM (
   SELECT page_id, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS k
@@ -300,13 +302,15 @@ SELECT page_id, len(regexp_extract_all(split_part(html, '<h1>', 1), '<a href='))
             "SELECT page_id, count(*)::BIGINT AS n_items FROM doc GROUP BY page_id"
         ),
         "htm_rule_dispatch": _with(
-            """SELECT doc_id AS page_id, i::BIGINT AS line,
-       CASE i % 6 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'section' WHEN 3 THEN 'image' WHEN 4 THEN 'skip' END AS rule
-FROM line WHERE kind_b = 'Article' AND i % 6 < 5"""
+            """SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i, k) - 1 AS at, rule FROM (
+  SELECT doc_id AS page_id, i, unnest(rules) AS rule, generate_subscripts(rules, 1) AS k FROM (
+    SELECT doc_id, i, CASE i % 6 WHEN 2 THEN ['section'] WHEN 3 THEN ['image'] WHEN 4 THEN ['skip']
+      WHEN 5 THEN ['skip', 'skip', 'image'] ELSE ['paragraph'] END AS rules
+    FROM line WHERE kind_b = 'Article'))"""
         ),
         "htm_subtree": _with(
-            """SELECT doc_id AS page_id, count(*) FILTER (WHERE i % 6 IN (0, 1, 4, 5))::BIGINT AS n_paragraphs
-FROM line WHERE kind_b = 'Article' GROUP BY doc_id"""
+            """SELECT d.doc_id AS page_id, count(i) FILTER (WHERE i % 6 IN (0, 1, 4, 5))::BIGINT AS n_paragraphs
+FROM doc d LEFT JOIN line l ON l.doc_id = d.doc_id AND l.kind_b = 'Article' GROUP BY d.doc_id"""
         ),
         "htm_outer_html": _with(
             f"SELECT doc_id AS page_id, i::BIGINT AS line, '<a href=\"https://x.example/' || i || '?a=1&amp;b=2\">ref &amp; more</a>' AS html "
@@ -369,18 +373,20 @@ FROM block_a b JOIN doc d ON d.doc_id = b.doc_id WHERE d.kind_a = 'video'""",
         "lpt_kind": _with(plain.format("kind", "b"), ARTICLES_B),
         "lpt_author": _with(plain.format("author_name, author_url", "b"), ARTICLES_B),
         "lpt_main": _with(
-            "SELECT doc_id AS page_id, unnest(['related', 'content']) AS part FROM doc WHERE kind_b = 'Article'"
+            "SELECT doc_id AS page_id, unnest(CASE WHEN n_chars % 5 = 1 THEN ['content'] ELSE ['related', 'content'] END) AS part "
+            "FROM doc WHERE kind_b = 'Article'"
         ),
         "lpt_content": _with(
-            "SELECT doc_id AS page_id, unnest(['top', 'body']) AS part FROM doc WHERE kind_b = 'Article'"
+            "SELECT doc_id AS page_id, unnest(CASE WHEN n_chars % 8 = 4 THEN ['body'] ELSE ['top', 'body'] END) AS part "
+            "FROM doc WHERE kind_b = 'Article'"
         ),
         "lpt_top_image": _with(
             _member("block_b", _IMG, "b.img_url AS url, b.img_caption AS caption, b.img_w AS width, b.img_h AS height", "b.ord < 0"),
             BLOCKS_B,
         ),
         "lpt_body": _with(
-            "SELECT b.doc_id AS page_id, count(*)::BIGINT AS n_blocks FROM block_b b JOIN doc d ON d.doc_id = b.doc_id "
-            "WHERE d.kind_b = 'Article' AND b.ord >= 0 GROUP BY b.doc_id",
+            "SELECT d.doc_id AS page_id, count(b.doc_id)::BIGINT AS n_blocks FROM doc d "
+            "LEFT JOIN block_b b ON d.doc_id = b.doc_id AND b.ord >= 0 WHERE d.kind_b = 'Article' GROUP BY d.doc_id",
             BLOCKS_B,
         ),
         "lpt_page_item": _with(
@@ -437,8 +443,8 @@ FROM line WHERE kind_b = 'Article' GROUP BY doc_id"""
             BLOCKS_A, BLOCKS_B, _BLOCKS_BOTH,
         ),
         "rel_typed_block": _with(
-            """SELECT id, pos, img_url AS url, img_title AS title, img_caption AS caption, img_alt AS alt, img_w AS width, img_h AS height
-FROM site_blocks WHERE type = 'image'""",
+            """SELECT id, pos, type, text, img_url, img_title, img_caption, img_alt, img_w, img_h,
+       vid_url, vid_embed, vid_title, ref_headline, ref_link FROM site_blocks""",
             BLOCKS_A, BLOCKS_B, _BLOCKS_BOTH,
         ),
         "rel_block_json": _with(

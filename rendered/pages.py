@@ -97,7 +97,7 @@ ITEM_B = _html(
     '<article class="articles--rows--item" data-type="{kind}">{thumb}<aside><header>'
     '<h4 class="articles--rows--item__title"><a href="{link_b}" title="{t}">x</a></h4>'
     '<span><time datetime="{time}">x</time></span></header>'
-    '<div class="articles--rows--item__summary"> \n{s} <i>more</i> </div></aside></article>\n',
+    '<div class="articles--rows--item__summary"> \n{s} <i>more</i> </div></aside>{nested}</article>\n',
     kind="elt(CAST(n_chars % 3 AS INT) + 1, 'Article', 'Photo', 'Video')",
     thumb="if(n_chars % 4 = 0, '', "
     + _html(
@@ -110,6 +110,8 @@ ITEM_B = _html(
     t=f"replace({_esc('title')}, ' ', '&nbsp;')",
     time=f"if(n_chars % 7 = 0, '2024-01-01', {_iso('+07:00')})",
     s=_esc("second"),
+    # an item within an item, which does not count
+    nested="if(n_chars % 9 = 0, '<div><article class=\"articles--rows--item\"></article></div>', '')",
 )
 
 
@@ -142,7 +144,7 @@ def listing_b(docs: DataFrame) -> DataFrame:
         docs, ITEM_B,
         '<!DOCTYPE html><html><body><article class="main"><div class="articles--rows">\n',
         "</div></article></body></html>",
-        "https://www.liputan6.com/news/indeks?page=",
+        "https://www.liputan6.com/indeks?page=",
     )
 
 
@@ -260,21 +262,26 @@ _LINES_B = _per_line(
 )
 
 _TEXT_B = _html(
-    '<body class="articles show category-news immersive"><article class="hentry main"><div id="related-news">'
-    '<div class="relateds-slow--lattice--item" data-title="{t}"><figure><a href="{link_b}/1">'
-    '<img data-src="https://r.example/{doc_id}" width="100" height="50"></a></figure></div>'
-    '<div class="relateds-slow--lattice--item" data-title="no figure"></div></div>'
-    '<div class="read-page--content"><div class="read-page--top-media">{top}</div>'
+    '<body class="articles show category-news immersive"><article class="hentry main">{related}'
+    '<div class="read-page--content">{top}'
     '<div class="article-content-body article-content-body_with-aside">'
-    '<div class="article-content-body__item-page page-1">{lines}</div></div></div></article></body>',
-    t=_esc("title"),
-    top="if(n_chars % 4 = 0, '', "
+    '<div class="article-content-body__item-page page-1">{lines}</div></div></div><p>outside</p></article></body>',
+    related="if(n_chars % 5 = 1, '', "
     + _html(
-        '<figure class="read-page--photo-gallery--item"><a class="read-page--photo-gallery--item__link" href="#">'
-        '<img data-src="https://t.example/{doc_id}" width="640" height="abc" alt="{t}"></a></figure>',
+        '<div id="related-news"><div class="relateds-slow--lattice--item" data-title="{t}"><figure><a href="{link_b}/1">'
+        '<img data-src="https://r.example/{doc_id}" width="100" height="50"></a></figure></div>'
+        '<div class="relateds-slow--lattice--item" data-title="no figure"></div></div>',
         t=_esc("title"),
     )
     + ")",
+    top="CASE WHEN n_chars % 8 = 4 THEN '' WHEN n_chars % 8 = 0 THEN '<div class=\"read-page--top-media\"></div>' ELSE "
+    + _html(
+        '<div class="read-page--top-media"><figure class="read-page--photo-gallery--item">'
+        '<a class="read-page--photo-gallery--item__link" href="#">'
+        '<img data-src="https://t.example/{doc_id}" width="640" height="abc" alt="{t}"></a></figure></div>',
+        t=_esc("title"),
+    )
+    + " END",
     lines=_LINES_B,
 )
 

@@ -14,7 +14,7 @@ from pageloom.plans.trees import node_table, page_trees
 from pageloom.schema import FRONTIER
 from pageloom.session import shared_dir, stored
 from pageloom.sources.channels import with_base_url
-from pageloom.sources.pages import read_pages, reject_reason, spread
+from pageloom.sources.pages import read_pages, spread, status_gate
 from pageloom.sources.store import known_links, read_store, write_articles
 from pageloom.streaming.dedup import first_sightings
 from pageloom.streaming.poll import poll
@@ -55,11 +55,11 @@ def articles_of_b(spark, sf):
 
 
 def items_a(spark, sf):
-    return sites.listing_items(_rendered(render.listing_a)(spark, sf), fixed.SOURCE_A)
+    return sites.channel_items(_rendered(render.listing_a)(spark, sf), fixed.CHANNELS[0][0])
 
 
 def items_b(spark, sf):
-    return sites.listing_items(_rendered(render.listing_b)(spark, sf), fixed.SOURCE_B)
+    return sites.index_items(_rendered(render.listing_b)(spark, sf))
 
 
 def listed(spark, sf):
@@ -139,16 +139,20 @@ def src_pages(spark, sf):
 
 
 def src_status_gate(spark, sf):
-    """Labelled documents as fetched pages; the label plays the HTTP status."""
+    """All documents as fetched pages of both sites, from both halves of the gate.
+
+    The label plays the HTTP status; a document without a label has none, as a
+    page whose fetch never ended.
+    """
     docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text AS html")
     labels = spark.read.parquet(f"{sf}/labels.parquet").selectExpr(
         "doc_id", "CASE quality WHEN 0 THEN IF(toxic = 1, 404, 500) ELSE 200 END AS status"
     )
-    fetched = docs.join(labels, "doc_id")
+    fetched = docs.join(labels, "doc_id", "left")
     both = fetched.withColumn("source", F.explode(F.array(F.lit(fixed.SOURCE_A), F.lit(fixed.SOURCE_B))))
-    return both.select(
-        F.col("doc_id").alias("page_id"), "source", "status",
-        (F.col("status") == 200).alias("accepted"), reject_reason(F.col("source")).alias("reason"),
+    taken, left = status_gate(both)
+    return taken.withColumn("reason", F.lit(None).cast("string")).unionByName(left).select(
+        F.col("doc_id").alias("page_id"), "source", "status", F.col("reason").isNull().alias("accepted"), "reason",
     )
 
 
@@ -215,6 +219,7 @@ def _size(array: str) -> str:
 
 
 _TITLE = t.find_first("nodes", t.match("title"))
+_LINK = t.find_first("nodes", t.match("a"))
 _H1 = t.find_first("nodes", t.match("h1"))
 
 
@@ -233,23 +238,19 @@ def htm_outermost(spark, sf):
 
 
 def htm_subtree(spark, sf):
-    """Paragraphs anywhere below the page item."""
+    """Paragraphs anywhere below the page item; none where a page has no item."""
     item = t.subtree("nodes", t.find_first("nodes", is_page_item))
-    return parts_b(trees_b(spark, sf)).where("kind = 'Article'").selectExpr(
-        "page_id", f"{_size(t.find_all(item, t.match('p')))} AS n_paragraphs"
+    return trees_b(spark, sf).selectExpr(
+        "page_id", f"greatest(coalesce({_size(t.find_all(item, t.match('p')))}, 0L), 0L) AS n_paragraphs"
     )
 
 
 def htm_rule_dispatch(spark, sf):
-    """Claimed block nodes, one per line but for the lines with two skipped parts."""
+    """Every claimed block node with its place and the rule that claimed it."""
     hits = parts_b(trees_b(spark, sf)).where("kind = 'Article'").select(
         "page_id", F.posexplode(F.expr("filter(claimed, h -> h.rule != 'top')")).alias("at", "hit")
     )
-    # Lines 5, 11, ... give three claimed nodes, every other line one.
-    numbered = hits.selectExpr("page_id", "CAST(at AS BIGINT) AS at", "hit.rule AS rule")
-    return numbered.where("at % 8 < 5").selectExpr(
-        "page_id", "at div 8 * 6 + at % 8 AS line", "rule"
-    )
+    return hits.selectExpr("page_id", "CAST(at AS BIGINT) AS at", "hit.rule AS rule")
 
 
 def htm_outer_html(spark, sf):
@@ -313,9 +314,7 @@ def lpt_content(spark, sf):
 def lpt_body(spark, sf):
     """Blocks of the body: those not made from the top image."""
     body = "CAST(size(contents) - if(get(contents, 0).image.url LIKE 'https://t.%', 1, 0) AS BIGINT)"
-    return articles_of_b(spark, sf).where("kind = 'Article'").selectExpr("page_id", f"{body} AS n_blocks").where(
-        "n_blocks > 0"
-    )
+    return articles_of_b(spark, sf).where("kind = 'Article'").selectExpr("page_id", f"{body} AS n_blocks")
 
 
 def _claimed_count(where: str, name: str) -> Query:
@@ -388,9 +387,12 @@ def rel_contents(spark, sf):
 
 
 def rel_typed_block(spark, sf):
-    return art.typed_blocks(_flat_blocks(spark, sf), fixed.IMAGE).selectExpr(
-        "id", "CAST(pos AS BIGINT) AS pos", "data.url", "data.title", "data.caption", "data.alt", "data.width",
-        "data.height",
+    """Every block through the strict accessor of its own type."""
+    return art.typed_payloads(_flat_blocks(spark, sf)).selectExpr(
+        "id", "CAST(pos AS BIGINT) AS pos", "type", "text", "image.url AS img_url", "image.title AS img_title",
+        "image.caption AS img_caption", "image.alt AS img_alt", "image.width AS img_w", "image.height AS img_h",
+        "video.url AS vid_url", "video.embedded_url AS vid_embed", "video.title AS vid_title",
+        "ref.headline AS ref_headline", "ref.article_link AS ref_link",
     )
 
 
@@ -463,7 +465,9 @@ def all_queries() -> dict[str, Query]:
         "snk_articles": snk_articles,
         "htm_nodes": htm_nodes,
         "htm_match": _on_pages(f"{_size(t.find_all('nodes', t.match('div', {'class': 'ad'})))} AS n_ads"),
-        "htm_find_first": _on_pages("url", f"{t.text('nodes', _TITLE)} AS title"),
+        "htm_find_first": _on_pages(
+            "url", f"{t.text('nodes', _TITLE)} AS title", f"{t.attr(_LINK, 'href')} AS first_link"
+        ),
         "htm_find_all": htm_find_all,
         "htm_walk_until": _on_pages(
             _size(t.find_all(t.walk_until("nodes", t.match("h1")), t.match("a"))) + " AS links_before_h1"
