@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pageloom.operators.sized import is_small
-from pageloom.session import shared_dir
+from pageloom.session import shared_dir as shared_dir, stored as stored
 
 #: Characters of text that a Python worker handles at once.
 SLICE_CHARS = 2_000_000
@@ -28,35 +28,34 @@ def empty_as(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def stored(df: DataFrame, purpose: str, parts_by: str | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives
-    lost executors.  ``parts_by`` lays it out in folders of that column."""
-    path = shared_dir(df.sparkSession, purpose)
-    writer = df.write if parts_by is None else df.write.partitionBy(parts_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def if_small(df: DataFrame) -> DataFrame:
     """A stored narrow table, marked for a broadcast if its measured size allows."""
     return F.broadcast(df) if is_small(df) else df
 
 
+def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """``texts`` in runs of at most ``limit`` characters, or one text."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > start and size + len(text) > limit:
+            yield texts[start:i]
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield texts[start:]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_CHARS):
     """``(batch slice, texts)`` of at most ``limit`` characters, or one row.
 
     The text is the last column; null comes as the empty string.
     """
     for batch in batches:
+        at = 0
         texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-        start, size = 0, 0
-        for i, text in enumerate(texts):
-            if i > start and size + len(text) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(text)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        for own in slices(texts, limit):
+            yield batch.slice(at, len(own)), own
+            at += len(own)
 
 
 def per_text(

@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageloom.llm.common import WORD_SLICE_CHARS, per_text, read, run_of, sample_by_class
+from pageloom.llm.common import WORD_SLICE_CHARS, per_text, read, run_of, sample_by_class, slices
 
 #: Rows of the embedding table and their width; filter widths and filters of each.
 ROWS, WIDTH, SPANS, FILTERS = 1 << 14, 12, (1, 2, 3), 8
@@ -275,11 +275,17 @@ def threshold(model: Model, language: str = "lang") -> F.Column:
 def clean(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows that reach the threshold of their language.
 
-    Columns may have any names; the row rides along as a struct.
+    Only texts go to Python and only scores come back.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col("lang"), F.col("text"))
-    scored = score(rows, model, ["row", "lang"])
-    return scored.where(F.col("score") < threshold(model)).select("row.*")
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        parts = [
+            model.scores(own) for own in slices([t or "" for t in texts], WORD_SLICE_CHARS)
+        ]
+        return pd.Series(np.concatenate([np.empty(0), *parts]))
+
+    return docs.where(scored("text") < threshold(model))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
