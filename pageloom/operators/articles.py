@@ -39,10 +39,13 @@ def hydrate(items: DataFrame, pages: DataFrame) -> DataFrame:
     """
     kind = F.min("type") if "type" in items.columns else F.lit(None).cast("string")
     wanted = items.where("link IS NOT NULL").groupBy("link").agg(kind.alias("item_kind"))
+    wanted = stored(wanted, "wanted")
     recency = [c for c in ("fetched_at", "page_id") if c in pages.columns]
-    latest = (
-        pages.groupBy("url").agg(F.max(F.struct(*recency)).alias("s")).select("url", "s.page_id")
-    )
+    # only snapshots of wanted links are compared
+    asked = build_side(wanted.select(F.col("link").alias("url")))
+    candidates = pages.select("url", *recency).join(asked, "url", "left_semi")
+    newest = F.max(F.struct(*recency))["page_id"] if len(recency) > 1 else F.max("page_id")
+    latest = candidates.groupBy("url").agg(newest.alias("page_id"))
     chosen = wanted.join(latest, wanted["link"] == latest["url"]).select(
         "page_id", "url", "item_kind"
     )

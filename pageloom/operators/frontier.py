@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pageloom import fixed
+from pageloom.operators.sized import build_side
+from pageloom.session import stored
 
 
 def index_union(items_a: DataFrame, items_b: DataFrame) -> DataFrame:
@@ -34,9 +36,35 @@ def without_known(items: DataFrame, known: DataFrame) -> DataFrame:
     return items.join(known.select("link"), "link", "left_anti")
 
 
+def stored_among(found: DataFrame, store: DataFrame) -> DataFrame:
+    """Links of ``found`` that the store holds.
+
+    The store grows for ever and a batch does not, so the store is scanned past
+    the batch and not shuffled, as long as the batch's measured size allows a
+    broadcast; beyond that Spark picks the join.  Give it a stored ``found``.
+    """
+    return store.select("link").join(build_side(found.select("link")), "link", "left_semi")
+
+
 def new_links(items: DataFrame, known: DataFrame) -> DataFrame:
-    """Listed links that are not stored, each once per source."""
-    return without_known(distinct_links(items), known).select("source", "link", "published_at")
+    """Listed links that are not stored, each once per source.
+
+    Grouped by link alone, with a latest time for each of the two sources, so that
+    one exchange serves the grouping and the existence test.
+    """
+    sources = (fixed.SOURCE_A, fixed.SOURCE_B)
+    own = [F.col("source") == s for s in sources]
+    found = items.where(F.col("link").isNotNull() & F.col("source").isin(*sources)).groupBy("link").agg(
+        *[F.max(F.when(o, F.col("published_at"))).alias(f"at{i}") for i, o in enumerate(own)],
+        *[F.max(o).alias(f"in{i}") for i, o in enumerate(own)],
+    )
+    found = stored(found, "listed")
+    fresh = without_known(found, stored_among(found, known))
+    rows = F.array(*[
+        F.struct(F.lit(s).alias("source"), F.col(f"at{i}").alias("published_at"), F.col(f"in{i}").alias("there"))
+        for i, s in enumerate(sources)
+    ])
+    return fresh.select("link", F.inline(rows)).where("there").select("source", "link", "published_at")
 
 
 def newest_first(frontier: DataFrame) -> DataFrame:
@@ -47,9 +75,8 @@ def newest_first(frontier: DataFrame) -> DataFrame:
 def take_next(frontier: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """``(next k links to fetch, the rest)``.
 
-    The head is a top-k (k rows per task, no full sort).  The rest is an anti
-    join against those k rows, which is why they may be broadcast.
+    The head is a top-k (k rows per task, no full sort), stored because both parts
+    use it.  The rest is an anti join; Spark broadcasts the head if it is small.
     """
-    head = newest_first(frontier).limit(k)
-    keys = F.broadcast(head.select("source", "link")) if k <= 100_000 else head.select("source", "link")
-    return head, frontier.join(keys, ["source", "link"], "left_anti")
+    head = stored(newest_first(frontier).limit(k), "head")
+    return head, frontier.join(head.select("source", "link"), ["source", "link"], "left_anti")

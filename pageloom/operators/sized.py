@@ -25,7 +25,7 @@ def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 def build_side(df: DataFrame) -> DataFrame:
     """A narrow table as the hashed side of a join with wide rows.
 
-    Broadcast if it is small, so the wide rows stay where they are; else hashed
-    per partition, so that they are moved but not sorted.
+    Broadcast if its measured size allows, so the wide rows stay where they are;
+    else left to Spark, whose sorted join can spill.
     """
-    return F.broadcast(df) if is_small(df) else df.hint("shuffle_hash")
+    return F.broadcast(df) if is_small(df) else df

@@ -18,6 +18,12 @@ SETTINGS = {
 }
 
 
+#: Working folder of local sessions that name none.
+LOCAL_SHARED = f"{tempfile.gettempdir()}/pageloom-shared"
+
+_made: list[str] = []
+
+
 def build(name: str = "pageloom", **extra: str) -> SparkSession:
     """Session with the engine's settings; ``extra`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(name)
@@ -29,8 +35,8 @@ def build(name: str = "pageloom", **extra: str) -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the place all executors see.
 
-    Where the setting is missing a temporary folder is made, but only in local
-    mode: on a cluster no machine's own folder will do.
+    A local session that names none uses ``LOCAL_SHARED``; on a cluster no machine's
+    own folder will do.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
@@ -38,16 +44,34 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="pageloom-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        base = LOCAL_SHARED
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     Cuts lineage in a way that outlives lost executors, and lets a table be
-    measured or used twice at the price of one scan.
+    measured or used twice at the price of one scan.  It stays until the caller
+    of the job calls ``drop_stored``.
     """
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Removes what this process has put below the shared folder; returns how many.
+
+    For the owner of a job, once its results are written: frames that were not
+    yet computed need these tables.
+    """
+    dropped = 0
+    for text in _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(text)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        dropped += bool(files.delete(path, True))
+    _made.clear()
+    return dropped

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pageloom import fixed
@@ -16,18 +17,35 @@ def read_pages(
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def _filled_splits(df: DataFrame) -> int | None:
+    """Splits of a file scan that hold rows; a row group cannot be cut, so a file
+    may be dealt out as many splits of which one has all rows.  Reads no column."""
+    try:
+        blocks = df.select("_metadata.file_path", "_metadata.file_block_start")
+    except AnalysisException:  # not a bare file scan
+        return None
+    return blocks.distinct().count()
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a small or badly split input a task per core before the parse.
 
-    A file with one row group is one task however many cores there are.  Inputs
-    with several splits per core, which is every large one, pass through
-    without a shuffle.  Hashing a key, unlike dealing rows out in turn, gives
-    the same partitions again when a lost task is re-run.
+    Only a scan is looked at: what has been exchanged already, and what has several
+    splits per core, as every large input has, passes through.  So does an input
+    with as many filled splits as there are cores.  The count of partitions is never
+    lowered.  Hashing a key, unlike dealing rows out in turn, gives the same
+    partitions again when a lost task is re-run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= 4 * cores:
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    splits = df.rdd.getNumPartitions()
+    if splits >= 4 * cores:
+        return df
+    filled = _filled_splits(df)
+    if (splits if filled is None else filled) >= cores:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(max(splits, cores), key)
 
 
 def accepted(pages: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageloom.operators.frontier import without_known
+from pageloom.operators.frontier import stored_among, without_known
+from pageloom.operators.sized import build_side
 from pageloom.schema import ARTICLE, ARTICLE_COLUMNS
+from pageloom.session import stored
 
 
 def read_store(spark: SparkSession, path: str, schema: str = ARTICLE) -> DataFrame:
@@ -29,17 +31,23 @@ def write_articles(articles: DataFrame, path: str) -> None:
 
     Running the same input again adds nothing.  A stored link is never replaced,
     so later changes of a page are not taken over; of several snapshots of one
-    link in the input the latest published (then updated) is kept.
+    link in the input the latest published (then updated) is kept, ties by a hash
+    of the record.
+
+    Records are written once to the shared folder; which of them go on is decided
+    on narrow columns, with the store scanned past the batch.  Contents are neither
+    sorted nor, while the choice is small enough to be broadcast, moved.
     """
-    rank = F.struct("published_at", "updated_at", "headline")
+    row = F.monotonically_increasing_id().alias("row")
+    parsed = stored(articles.where("link IS NOT NULL").select(*ARTICLE_COLUMNS, row), "parsed")
+    digest = F.xxhash64(*ARTICLE_COLUMNS).alias("digest")
+    rank = F.struct("published_at", "updated_at", "digest", "row")
     newest = (
-        articles.where("link IS NOT NULL")
-        .groupBy("link")
-        .agg(F.max_by(F.struct(*[c for c in ARTICLE_COLUMNS if c != "link"]), rank).alias("r"))
-        .select("link", "r.*")
+        parsed.select("link", "published_at", "updated_at", digest, "row")
+        .groupBy("link").agg(F.max(rank)["row"].alias("row"))
     )
-    # The aggregate leaves one row per link, placed by link: the test that
-    # follows moves only the store's links, and a link that fills a third of the
-    # input has shrunk to one row per task before anything is shuffled.
-    fresh = without_known(newest, known_links(articles.sparkSession, path))
-    fresh.select(*ARTICLE_COLUMNS).write.mode("append").partitionBy("source").parquet(path)
+    newest = stored(newest, "newest")
+    known = known_links(articles.sparkSession, path)
+    fresh = stored(without_known(newest, stored_among(newest, known)).select("row"), "fresh")
+    chosen = parsed.join(build_side(fresh), "row", "left_semi")
+    chosen.select(*ARTICLE_COLUMNS).write.mode("append").partitionBy("source").parquet(path)

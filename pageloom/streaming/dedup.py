@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
 
 def first_sightings(items: DataFrame, delay: str, time_column: str = "seen_at") -> DataFrame:
@@ -11,10 +12,22 @@ def first_sightings(items: DataFrame, delay: str, time_column: str = "seen_at")
     State is one entry per link and is dropped when the watermark passes, so it
     is bounded by the links seen within ``delay``; a link that comes back later
     is caught by the store, not here.
+
+    ``delay`` is also what may be lost: a row that arrives more than ``delay`` of
+    event time behind the newest one is left out.  ``late_rows`` counts those.
     """
     return items.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(["source", "link"])
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the query left out for being later than its delay, as far as its
+    kept progress goes (``spark.sql.streaming.numRecentProgressUpdates`` batches)."""
+    return sum(
+        state["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress for state in progress["stateOperators"]
+    )
+
+
 def without_stored(items: DataFrame, store: DataFrame) -> DataFrame:
     """Stream-static existence test against links already stored."""
     return items.join(store.select("link"), "link", "left_anti")

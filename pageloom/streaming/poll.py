@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pageloom import fixed
-from pageloom.operators.frontier import distinct_links, index_union, without_known
-from pageloom.operators.sized import is_small
+from pageloom.operators.frontier import distinct_links, index_union, stored_among, without_known
 from pageloom.plans.sites import listing_items
 from pageloom.schema import FRONTIER, FRONTIER_COLUMNS
 from pageloom.sources.pages import spread
@@ -30,17 +29,6 @@ def listed(pages: DataFrame) -> DataFrame:
     return index_union(items(fixed.SOURCE_A), items(fixed.SOURCE_B))
 
 
-def _stored_among(found: DataFrame, store: DataFrame) -> DataFrame:
-    """Links of ``found`` that the store holds.
-
-    The store grows for ever and a batch does not, so the store is scanned past
-    the batch and not shuffled, as long as the batch's measured size allows a
-    broadcast; beyond that Spark picks the join.
-    """
-    links = found.select("link")
-    return store.join(F.broadcast(links) if is_small(links) else links, "link", "left_semi")
-
-
 def append_new(pages: DataFrame, store_path: str) -> None:
     """One round: what a batch lists minus what is stored, appended.
 
@@ -50,7 +38,7 @@ def append_new(pages: DataFrame, store_path: str) -> None:
     found = distinct_links(listed(spread(pages, "page_id"))).persist()
     try:
         store = read_store(pages.sparkSession, store_path, FRONTIER).select("link")
-        fresh = without_known(found, _stored_among(found, store))
+        fresh = without_known(found, stored_among(found, store))
         fresh.select(*FRONTIER_COLUMNS).write.mode("append").parquet(store_path)
     finally:
         found.unpersist()

@@ -16,7 +16,7 @@ from pageloom.session import shared_dir, stored
 from pageloom.sources.channels import with_base_url
 from pageloom.sources.pages import read_pages, spread, status_gate
 from pageloom.sources.store import known_links, read_store, write_articles
-from pageloom.streaming.dedup import first_sightings
+from pageloom.streaming.dedup import first_sightings, late_rows
 from pageloom.streaming.poll import poll
 from rendered import pages as render
 
@@ -448,10 +448,13 @@ def str_dedup(spark, sf):
         )
     )
     out, checkpoint = shared_dir(spark, "sightings"), shared_dir(spark, "dedup")
-    (
+    query = (
         first_sightings(seen, "31 days").writeStream.outputMode("append").format("parquet")
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
     )
+    query.awaitTermination()
+    if late := late_rows(query):
+        raise ValueError(f"{late} sightings came later than the delay")
     return spark.read.schema("source STRING, link STRING, seen_at TIMESTAMP").parquet(out).select("source", "link")
 
 

@@ -12,7 +12,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    from pageloom.session import build
+    from pageloom.session import build, drop_stored
 
     session = build(
         "tests", spark__master="local[8]", spark__ui__enabled="false",
@@ -22,6 +22,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_stored(session)
     session.stop()
 
 

@@ -266,3 +266,11 @@ def test_strict_int(spark, text, value):
     from pageloom.functions.scalars import lit, strict_int
 
     assert spark.range(1).selectExpr(f"{strict_int(lit(text))} AS x").first().x == value
+
+
+def test_subtitle_right_after_a_subtitle_is_its_text(trees_of):
+    sub = '<h2 class="media__subtitle">{}</h2>'
+    pages = [sub.format("") + sub.format("two"), sub.format("one") + sub.format("two"),
+             sub.format("") + sub.format("") + sub.format("three")]
+    got = rows(index_a(trees_of(*[root(item(p + LINK)) for p in pages])))
+    assert [r["subtitle"] for r in got] == [None, "two", "three"]

@@ -12,7 +12,9 @@ from pageloom.plans.listing_a import index_a
 from pageloom.plans.listing_b import index_b
 from pageloom.plans.trees import node_table, page_trees
 from pageloom.schema import FRONTIER
-from pageloom.sources.pages import read_pages
+from pageloom.session import shared_dir
+from pageloom.sources import store
+from pageloom.sources.pages import read_pages, spread
 from tests.conftest import SF_DIR
 
 
@@ -69,8 +71,12 @@ def test_existence_test_is_one_anti_join(spark):
 
 
 def test_take_is_a_top_k(spark):
-    head, _ = fr.take_next(spark.createDataFrame([("s", "l", None)], FRONTIER), 5)
-    assert "TakeOrderedAndProject(limit=5" in plan_of(head)
+    queue = spark.createDataFrame([("s", "l", None), ("s", "m", None)], FRONTIER)
+    assert "TakeOrderedAndProject(limit=5" in plan_of(fr.newest_first(queue).limit(5))
+    for k in (0, 1, 200_000):
+        head, rest = fr.take_next(queue, k)
+        assert "BroadcastNestedLoop" not in plan_of(rest)
+        assert head.count() == min(k, 2) and rest.count() == 2 - min(k, 2)
 
 
 def test_html_is_not_sorted_or_aggregated_in_hydrate(spark):
@@ -100,3 +106,68 @@ def test_big_page_is_linear(spark):
 def test_text_expression_reads_one_subtree(spark):
     sql = t.text("nodes", "v1")
     assert "sequence(v1.pre, v1.fin)" in sql
+
+
+def test_spread_never_lowers_the_count(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(3000).selectExpr("id AS page_id", "CAST(id AS STRING) AS html")
+    df.repartition(3 * cores).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 * 1024 * 1024))  # a split a file
+    try:
+        splits = many.rdd.getNumPartitions()
+        assert splits >= cores and spread(many, "page_id") is many
+        assert "Exchange" not in plan_of(spread(many.where("page_id > 5"), "page_id"))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spread(spark.read.parquet(str(tmp_path / "one")), "page_id")
+    assert one.rdd.getNumPartitions() >= cores
+    moved = df.groupBy("page_id").count()
+    assert spread(moved, "page_id") is moved
+
+
+def test_contents_are_not_sorted_on_the_way_to_the_store(spark, monkeypatch):
+    """Records are neither aggregated nor sorted; the choice is made on narrow columns."""
+    plans = []
+    real = store.stored
+
+    def watched(df, purpose):
+        plans.append((purpose, plan_of(df)))
+        return real(df, purpose)
+
+    monkeypatch.setattr(store, "stored", watched)
+    articles = art.canonical(*[f(page_trees(pages(spark))) for f in (article_a, article_b)])
+    store_path = shared_dir(spark, "articles")
+    store.write_articles(articles, store_path)
+    by = dict(plans)
+    for purpose in ("parsed", "newest", "fresh"):
+        for line in by[purpose].splitlines():
+            if "Sort" in line or "Aggregate" in line:
+                assert "contents#" not in line, line
+    before = store.read_store(spark, store_path).count()
+    store.write_articles(articles, store_path)
+    assert store.read_store(spark, store_path).count() == before
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_links_are_exchanged_once(spark, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        rows = [(fixed.SOURCE_A, "a", None), (fixed.SOURCE_B, "a", None), (fixed.SOURCE_A, "b", None)]
+        items = spark.createDataFrame(rows, FRONTIER)
+        known = spark.createDataFrame([("b",), (None,)], "link STRING")
+        fresh = fr.new_links(items, known)
+        assert "HashAggregate" not in plan_of(fresh)  # grouped once, before
+        assert sorted((r.source, r.link) for r in fresh.collect()) == [
+            (fixed.SOURCE_A, "a"), (fixed.SOURCE_B, "a")
+        ]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_snapshots_of_wanted_links_only_are_compared(spark):
+    items = spark.createDataFrame([("l",)], "link STRING")
+    rows = [(1, "l", "old"), (2, "l", "new"), (3, "other", "x")]
+    df = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    assert [r.html for r in art.hydrate(items, df).collect()] == ["new"]

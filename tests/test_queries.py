@@ -1,12 +1,14 @@
-"""Every registered query against its SQL, as the driver does."""
+"""The library's own queries against their SQL, as the driver does."""
 
 import pytest
 
 import __spark_entry__ as entry
+from rendered.expected import statements
+from rendered.queries import all_queries
 from tests.check import compare, database
 from tests.conftest import SF_DIR
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), statements()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +18,7 @@ def con():
 
 def test_every_query_has_sql():
     assert sorted(QUERIES) == sorted(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -25,4 +28,4 @@ def test_query_equals_sql(spark, con, name):
 
 def test_entry(spark):
     got = entry.entry(spark)
-    assert got.columns == ["page_id", "url", "title"] and got.count() == 50
+    assert got.columns == ["page_id", "url", "title", "first_link"] and got.count() == 50

@@ -56,11 +56,11 @@ def test_status_gate_loses_no_row(spark):
     ok, out = status_gate(pages)
     assert [r.page_id for r in ok.collect()] == [1]
     assert {r.page_id: r.reason for r in out.collect()} == {
-        2: "news not found",
-        3: "error fetching news items: boom",
-        4: "error requesting resource: got 404 status code",
-        5: "error requesting resource: got 302 status code",
-        6: "error fetching news items: x",
+        2: fixed.NOT_FOUND_A,
+        3: fixed.FETCH_ERROR_A + "boom",
+        4: fixed.FETCH_ERROR_B.replace("{status}", "404"),
+        5: fixed.FETCH_ERROR_B.replace("{status}", "302"),
+        6: fixed.FETCH_ERROR_A + "x",
     }
 
 

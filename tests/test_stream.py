@@ -9,7 +9,7 @@ from pageloom.operators.frontier import new_links
 from pageloom.schema import FRONTIER
 from pageloom.session import shared_dir
 from pageloom.sources.store import read_store
-from pageloom.streaming.dedup import first_sightings, without_stored
+from pageloom.streaming.dedup import first_sightings, late_rows, without_stored
 from pageloom.streaming.poll import LISTING_PAGE, append_new, listed, poll
 from tests.test_extract import LINK, item, root
 
@@ -77,3 +77,22 @@ def test_stream_items_need_no_collect(spark):
     """The poll's batch function works lazily on whatever DataFrame it gets."""
     batch = spark.createDataFrame([(0, fixed.SOURCE_B, "u", "<p>")], LISTING_PAGE)
     assert listed(batch).agg(F.count("*")).first()[0] == 0
+
+
+def test_late_rows_are_counted(spark):
+    """Files out of time order: what the watermark leaves out is reported."""
+    items, out, checkpoint = (shared_dir(spark, n) for n in ("items", "out", "cp"))
+    schema = "source STRING, link STRING, seen_at TIMESTAMP"
+    now = datetime(2024, 3, 1)
+    found, late = set(), 0
+    for link, at in (("new", now), ("newer", now + timedelta(minutes=1)), ("old", now - timedelta(days=9)),
+                     ("late but in time", now - timedelta(hours=5))):
+        spark.createDataFrame([("s", link, at)], schema).coalesce(1).write.mode("append").parquet(items)
+        query = (
+            first_sightings(spark.readStream.schema(schema).parquet(items), "1 day").writeStream.format("parquet")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+        )
+        query.awaitTermination()
+        late += late_rows(query)
+    found = {r.link for r in spark.read.schema(schema).parquet(out).collect()}
+    assert found == {"new", "newer", "late but in time"} and late == 1
