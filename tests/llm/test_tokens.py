@@ -9,7 +9,7 @@ from pageloom.llm.tokens import Encoder, default_tokenizer
 from tests.conftest import SF_DIR
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-ODD = ["", " ", "  a", "a  b", "a\n b", " a b", "a b ", "foo\nbar baz\n", "x <|endoftext|> y z",
+ODD = ["", "a\nb\nc d e", "x \nBar y z", "x\n Bar y", "a\x01b c d", "a \x01b c", "q\n\nr s t u", "q\r\nr s t", " ", "  a", "a  b", "a\n b", " a b", "a b ", "foo\nbar baz\n", "x <|endoftext|> y z",
        "it's a 12 b's !! ?", "a \xa0 b", "a　 b c", "日本 語 x y", "a \x1c b", "tab\there is x",
        "a b\n c d e f g", "one", "\n\n", "a\x00 b c \x7f d"]
 
