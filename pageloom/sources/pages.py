@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pageloom import fixed
@@ -17,14 +16,11 @@ def read_pages(
     return spark.read.schema(schema).format(fmt).load(path)
 
 
-def _filled_splits(df: DataFrame) -> int | None:
-    """Splits of a file scan that hold rows; a row group cannot be cut, so a file
-    may be dealt out as many splits of which one has all rows.  Reads no column."""
-    try:
-        blocks = df.select("_metadata.file_path", "_metadata.file_block_start")
-    except AnalysisException:  # not a bare file scan
-        return None
-    return blocks.distinct().count()
+def _filled_splits(df: DataFrame) -> int:
+    """Splits that hold rows; a row group cannot be cut, so a file may be dealt out
+    as many splits of which one has all rows.  Reads no column."""
+    filled = df.select(F.spark_partition_id().alias("split"))
+    return filled.agg(F.size(F.collect_set("split"))).first()[0]
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -42,8 +38,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     splits = df.rdd.getNumPartitions()
     if splits >= 4 * cores:
         return df
-    filled = _filled_splits(df)
-    if (splits if filled is None else filled) >= cores:
+    if splits >= cores and _filled_splits(df) >= cores:
         return df
     return df.repartition(max(splits, cores), key)
 
