@@ -7,6 +7,7 @@ import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -46,16 +47,23 @@ def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[list[str]]:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_CHARS):
-    """``(batch slice, texts)`` of at most ``limit`` characters, or one row.
+    """``(batch slice, texts)`` of at most ``limit`` bytes, or one row.
 
-    The text is the last column; null comes as the empty string.
+    The text is the last column; null comes as the empty string.  Only the texts of
+    one slice are Python strings at a time.
     """
     for batch in batches:
-        at = 0
-        texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-        for own in slices(texts, limit):
-            yield batch.slice(at, len(own)), own
-            at += len(own)
+        column = batch.column(batch.num_columns - 1)
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+        start, size = 0, 0
+        for i, n in enumerate([*sizes, None]):
+            if n is None or (i > start and size + n > limit):
+                if i > start:
+                    yield batch.slice(start, i - start), [
+                        t or "" for t in column.slice(start, i - start).to_pylist()
+                    ]
+                start, size = i, 0
+            size += n or 0
 
 
 def per_text(

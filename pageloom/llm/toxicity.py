@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageloom.llm.common import WORD_SLICE_CHARS, per_text, read, run_of, sample_by_class, slices
+from pageloom.llm.common import SLICE_CHARS, per_text, read, run_of, sample_by_class, slices
 
 #: Rows of the embedding table and their width; filter widths and filters of each.
 ROWS, WIDTH, SPANS, FILTERS = 1 << 14, 12, (1, 2, 3), 8
@@ -260,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[], F.Column] | Non
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` and ``score`` for every row."""
     return per_text(
-        docs, keep, "score DOUBLE", lambda texts: {"score": model.scores(texts)}, WORD_SLICE_CHARS
+        docs, keep, "score DOUBLE", lambda texts: {"score": model.scores(texts)}, SLICE_CHARS
     )
 
 
@@ -281,7 +281,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         parts = [
-            model.scores(own) for own in slices([t or "" for t in texts], WORD_SLICE_CHARS)
+            model.scores(own) for own in slices([t or "" for t in texts], SLICE_CHARS)
         ]
         return pd.Series(np.concatenate([np.empty(0), *parts]))
 
