@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pageloom.llm import toxicity
+from pageloom.llm import mixing, toxicity
 from pageloom.llm.common import stored
 from tests.conftest import SF_DIR
 from tests.llm.test_simhash import fingerprint, roots
@@ -61,7 +61,9 @@ def test_stages_one_by_one(spark):
 
 
 @pytest.mark.parametrize("name", ["odd", "none", "clashing"])
-def test_stages_take_odd_tables(spark, name, request):
+def test_stages_take_odd_tables(spark, name, request, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 3)
+    monkeypatch.setattr(toxicity, "TRIES", 1)
     docs = request.getfixturevalue(name)
     for stage_name, stage in corpus_pipeline.STAGES[:-1]:
         columns = docs.columns

@@ -249,7 +249,8 @@ def test_memberships_match_plain_bayes(spark):
         assert np.allclose(got[i], e / e.sum())
 
 
-def test_mixing_of_the_tables(spark):
+def test_mixing_of_the_tables(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 12)
     got = mixing.query(spark, SF_DIR).collect()
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.collect())
@@ -260,7 +261,8 @@ def test_mixing_of_the_tables(spark):
     assert kept.select("doc_id").distinct().count() == docs.count()
 
 
-def test_mixing_of_odd_rows(spark, odd, clashing, none, odd_rows):
+def test_mixing_of_odd_rows(spark, odd, clashing, none, odd_rows, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 6)
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id BIGINT, quality INT")
     rows = mixing.labelled(odd, labels)
     for docs in (odd, clashing):
