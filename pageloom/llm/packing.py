@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pageloom.llm.common import WORD_SLICE_CHARS, empty_as, per_text, read, running_totals, stored
-from pageloom.llm.tokens import default_tokenizer, encoder
+from pageloom.llm.tokens import KEPT, default_tokenizer, encoder
 
 LENGTH = 2048
 UNIT = 8
@@ -189,12 +189,13 @@ def intervals(chosen: list[tuple[np.ndarray, int]], starts: np.ndarray) -> np.nd
 
 
 def measured(
-    docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
+    docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, kept: int = KEPT,
+    slice_chars: int = WORD_SLICE_CHARS,
 ) -> DataFrame:
     """``(doc_id, key, doc_tokens, crcs)``: a checksum for each cut of ``length``."""
 
     def fn(texts: list[str]) -> dict:
-        ids, counts = encoder(tokenizer).encode(texts)
+        ids, counts = encoder(tokenizer, kept).encode(texts)
         tail, crcs = np.array([end], np.uint32), []
         for stop, n in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True):
             own = np.concatenate([ids[stop - n : stop], tail]).astype("<u4").tobytes()
@@ -203,21 +204,23 @@ def measured(
         return {"doc_tokens": pa.array(counts + 1), "crcs": crcs}
 
     keyed = docs.select("doc_id", F.xxhash64(empty_as()).alias("key"), "text")
-    return per_text(keyed, ["doc_id", "key"], "doc_tokens BIGINT, crcs ARRAY<BIGINT>", fn, WORD_SLICE_CHARS)
+    return per_text(keyed, ["doc_id", "key"], "doc_tokens BIGINT, crcs ARRAY<BIGINT>", fn, slice_chars)
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, unit: int = UNIT
+    docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, unit: int = UNIT,
+    kept: int = KEPT, slice_chars: int = WORD_SLICE_CHARS,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset``.  The ids of a piece are those of its document from
-    ``start`` on (see ``ids``)."""
+    ``start`` on (see ``sequences``).  ``kept`` and ``slice_chars`` trade a worker's
+    memory for time: pieces of text it keeps the ids of, and characters at once."""
     if length % unit:
         raise ValueError("length has to be a multiple of unit")
     room = length // unit
     rest = F.col("doc_tokens") % length
     # stored, as the range exchange reads its input twice
-    table = stored(measured(docs, tokenizer, length, end), "measured").withColumns({
+    table = stored(measured(docs, tokenizer, length, end, kept, slice_chars), "measured").withColumns({
         "full": F.floor(F.col("doc_tokens") / length).cast("bigint"),
         "class": F.ceil(rest / unit).cast("int"),
         "one": F.lit(1).cast("bigint"),

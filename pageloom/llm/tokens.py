@@ -37,10 +37,11 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of texts by the tokenizer of one file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kept = kept
         size = self.tokenizer.get_vocab_size()
         self.vocabulary = size
         specials = self.tokenizer.get_added_tokens_decoder().values()
@@ -61,7 +62,7 @@ class Encoder:
     def _thin(self) -> None:
         """Forgets pieces that were seldom used."""
         keep = self.uses >= KEPT_OVER
-        if keep.sum() > KEPT // 2:
+        if keep.sum() > self.kept // 2:
             keep[:] = False
         sizes = np.diff(self.ends)
         self.flat = self.flat[np.repeat(keep, sizes)]
@@ -87,7 +88,7 @@ class Encoder:
         """``(ids, counts)``: the ids of all texts in one run, and how many each has."""
         if not texts:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
-        if len(self.place) > KEPT:
+        if len(self.place) > self.kept:
             self._thin()
         column = pa.array(texts, pa.large_string())
         split = pc.split_pattern(column, " ")
@@ -151,5 +152,5 @@ class Encoder:
         return ids, np.diff(np.append(before, total)[bounds])
 
 
-def encoder(path: str) -> Encoder:
-    return worker_cache(f"encoder:{path}", lambda: Encoder(path))
+def encoder(path: str, kept: int = KEPT) -> Encoder:
+    return worker_cache(f"encoder:{kept}:{path}", lambda: Encoder(path, kept))

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from pageloom.llm import bitpack, packing, tokens
+from pageloom.llm import bitpack, packing
 from pageloom.llm.tokens import Encoder, default_tokenizer
 from tests.conftest import SF_DIR
 
@@ -27,13 +27,13 @@ def split(pair):
     return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
 
 
-def test_encoder_equals_tokenizer(plain, monkeypatch):
+def test_encoder_equals_tokenizer(plain):
     rng = random.Random(1)
     parts = ["a", " ", "  ", "\n", "don't", "x1", "é", "\xa0", "!?", "日", "the", "\t", "᠎"]
     texts = ODD + ["".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(400)]
     e = Encoder(default_tokenizer())
     assert split(e.encode(texts)) == [plain(t) for t in texts]
-    monkeypatch.setattr(tokens, "KEPT", 10)  # pieces are forgotten between calls
+    e = Encoder(default_tokenizer(), kept=10)  # pieces are forgotten between calls
     for i in range(0, len(texts), 60):
         assert split(e.encode(texts[i : i + 60])) == [plain(t) for t in texts[i : i + 60]]
     assert [len(x) for x in e.encode([])] == [0, 0]
