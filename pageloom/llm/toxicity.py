@@ -10,8 +10,12 @@ place in the filter, so products are made once for each distinct word.
 
 The score never sees labels, language, source or ``doc_id``.  Scores are moved on
 the logistic scale so that 0.5 is the best cut over all languages; then for each
-language with enough labelled texts a threshold of its own is set on texts the
-network was not fitted to (``flagged`` uses it, ``predicted`` the common 0.5).
+language with enough labelled texts a threshold of its own is set (``flagged`` uses
+it, ``predicted`` the common 0.5).  All cuts are set on the whole texts of all
+labelled rows the network was not fitted to: Spark scores them and counts logits in
+steps of ``1 / STEPS`` by language and label, which bounds what the driver sees at
+any size.  The counts are weighted back to the shares of all labelled rows, as
+fitted rows are missing from one label more than from the other.
 
 Cases.  A null, empty or wordless text scores by the bias alone.  A null language
 has the common threshold.  Without labels of both kinds every score is the share
@@ -28,7 +32,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageloom.llm.common import SLICE_CHARS, per_text, read, run_of, sample_by_class, slices
+from pageloom.llm.common import (
+    SLICE_CHARS, per_text, read, run_of, sample_by_class, slices, stored
+)
+from pageloom.operators.sized import is_small
 
 #: Rows of the embedding table and their width; filter widths and filters of each.
 ROWS, WIDTH, SPANS, FILTERS = 1 << 14, 12, (1, 2, 3), 8
@@ -40,6 +47,8 @@ EPOCHS, BATCH, RATE, SEED = 8, 64, 0.015, 7
 TRIES = 4
 #: Labelled texts of both kinds a language needs for a threshold of its own.
 LEAST_LABELLED = 40
+#: Logits are counted in so many steps a unit; cuts are set between steps.
+STEPS = 64
 #: Bytes of punctuation and digits are breaks between words.
 BREAKS = bytes(
     b if b >= 128 or chr(b).isalpha() or chr(b) == "'" else 32 for b in range(256)
@@ -172,15 +181,16 @@ def ranking(scores: np.ndarray, labels: np.ndarray) -> float:
     return (ranks[ones].sum() - n * (n + 1) / 2) / max(1, n * m)
 
 
-def best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The cut between two neighbouring scores with the best F1 of label 1."""
-    order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], labels[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1  # no cut between equal scores
+def best_cut(high: np.ndarray, low: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> float:
+    """The cut between two neighbouring steps with the best F1 of label 1.
+
+    Of each step the greatest and the least logit and the weights of both labels.
+    """
+    order = np.argsort(-high, kind="stable")
+    high, low, ones, zeros = (x[order] for x in (high, low, ones, zeros))
+    f1 = 2 * np.cumsum(ones) / (np.cumsum(ones + zeros) + ones.sum())
     i = int(f1.argmax())
-    return float((s[i] + (s[i + 1] if i + 1 < len(s) else s[i] - 1)) / 2)
+    return float((low[i] + (high[i + 1] if i + 1 < len(high) else low[i] - 1)) / 2)
 
 
 class Model:
@@ -189,9 +199,9 @@ class Model:
     def __init__(self, network: Network | None, cut: float, by_language: dict[str, float]):
         self.network, self.cut, self.by_language = network, cut, by_language
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def logits(self, texts: list[str]) -> np.ndarray:
         if self.network is None:
-            return np.full(len(texts), 1 / (1 + np.exp(self.cut)))
+            return np.zeros(len(texts))
         lists = [words_of(t) for t in texts]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         words = np.empty(sizes.sum(), object)
@@ -200,7 +210,10 @@ class Model:
         rows = buckets(list(distinct))
         starts = np.cumsum(sizes) - sizes
         values, _ = self.network.pooled(rows, starts, sizes, codes)
-        return 1 / (1 + np.exp(self.cut - self.network.logits(values).astype(float)))
+        return self.network.logits(values).astype(float)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(self.cut - self.logits(texts)))
 
     def threshold(self, language: str | None) -> float:
         """On the scale of scores."""
@@ -211,15 +224,70 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
+def step_counts(docs: DataFrame, known: DataFrame, network: Network) -> pd.DataFrame:
+    """``(lang, toxic, n, high, low)`` of every filled step of the logits of ``known``.
+
+    Languages without ``LEAST_LABELLED / 2`` rows of both labels come as one, "".
+    """
+    model = Model(network, 0.0, {})
+
+    def logits(rows: DataFrame, keep: list[str]) -> DataFrame:
+        return per_text(
+            rows, keep, "logit DOUBLE", lambda texts: {"logit": model.logits(texts)}, SLICE_CHARS
+        )
+
+    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    if is_small(known):
+        judged = logits(rows.join(F.broadcast(known), "doc_id"), ["lang", "toxic"])
+    else:  # texts stay where they are, all of them are scored
+        judged = logits(rows, ["doc_id", "lang"]).join(known, "doc_id")
+    steps = judged.groupBy("lang", "toxic", F.floor(F.col("logit") * STEPS).alias("step")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("logit").alias("high"), F.min("logit").alias("low")
+    )
+    steps = stored(steps, "steps")
+    ones, zeros = (F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)) for t in (1, 0))
+    large = steps.groupBy("lang").agg(ones.alias("ones"), zeros.alias("zeros"))
+    large = large.where((F.least("ones", "zeros") >= LEAST_LABELLED / 2) & (F.col("lang") != ""))
+    named = F.col("lang").isin([r.lang for r in large.select("lang").collect()])
+    few = steps.withColumn("lang", F.when(named, F.col("lang")).otherwise(""))
+    few = few.groupBy("lang", "toxic", "step").agg(
+        F.sum("n").alias("n"), F.max("high").alias("high"), F.min("low").alias("low")
+    )
+    return few.toArrow().to_pandas()
+
+
+def cuts_of(steps: pd.DataFrame, fitted: pd.DataFrame) -> tuple[float, dict[str, float]]:
+    """The common cut and those by language.
+
+    ``fitted`` is ``(lang, toxic)`` of the rows that are missing from ``steps``:
+    each language and label weighs as much as all its rows.
+    """
+    names = {*steps.lang} - {""}
+    fitted = fitted.assign(lang=fitted.lang.where(fitted.lang.isin(names), ""))
+    missing = fitted.groupby(["lang", "toxic"]).size()
+    there = steps.groupby(["lang", "toxic"]).n.sum()
+    weight = 1 + missing.reindex(there.index, fill_value=0) / there
+    n = steps.n * weight.reindex(pd.MultiIndex.from_frame(steps[["lang", "toxic"]])).to_numpy()
+    steps = steps.assign(step=np.floor(steps.low * STEPS), one=n * steps.toxic, zero=n - n * steps.toxic)
+
+    def cut(own: pd.DataFrame) -> float:
+        by = own.groupby("step").agg({"high": "max", "low": "min", "one": "sum", "zero": "sum"})
+        return best_cut(*(by[c].to_numpy() for c in by.columns))
+
+    return cut(steps), {name: cut(steps[steps.lang == name]) for name in sorted(names)}
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[], F.Column] | None = None) -> Model:
     """Trains on a bounded sample of labelled rows (``usable`` ones, if given).
 
-    Three of four sampled texts are fitted, the others set the cuts.
+    Three of four sampled texts are fitted, the others choose the network; all
+    labelled rows that are not fitted set the cuts.
     """
+    spark = docs.sparkSession
     known = labels.where("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int"))
     if usable:
         known = known.where(usable())
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = stored(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "known")
     chosen = sample_by_class(known, "toxic", "doc_id", PER_CLASS)
     rows = (
         docs.select("doc_id", run_of("text", CHARS).alias("text"), "lang")
@@ -244,17 +312,15 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[], F.Column] | Non
         logits = net.logits(net.pooled(*own)[0]).astype(float)
         quality = ranking(logits, y[checked])
         if best is None or quality > best[0]:
-            best = quality, net, logits
-    _, net, logits = best
-    y = y[checked]
-    languages = np.array([r.lang or "" for r, c in zip(rows, checked, strict=True) if c])
-    cut = best_cut(logits, y)
-    cuts = {}
-    for name in sorted({*languages.tolist()} - {""}):
-        mine = languages == name
-        if y[mine].sum() >= LEAST_LABELLED / 2 and (1 - y[mine]).sum() >= LEAST_LABELLED / 2:
-            cuts[name] = best_cut(logits[mine], y[mine])
-    return Model(net, cut, cuts)
+            best = quality, net
+    _, net = best
+    gone = pd.DataFrame({"lang": [r.lang or "" for r in rows], "toxic": y.astype(int)})
+    if fitted.all():  # too few rows to leave any out
+        return Model(net, *cuts_of(step_counts(docs, known, net), gone[:0]))
+    ids = sorted({r.doc_id for r, f in zip(rows, fitted, strict=True) if f})
+    seen = spark.createDataFrame([(i,) for i in ids], known.select("doc_id").schema)
+    left = stored(known.join(F.broadcast(seen), "doc_id", "left_anti"), "left")
+    return Model(net, *cuts_of(step_counts(docs, left, net), gone[fitted]))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 
 from pageloom.llm import crf, toxicity
 from tests.conftest import SF_DIR
@@ -172,3 +173,43 @@ def test_query_on_the_tables(spark):
     assert len(got) == spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
     assert all(r.predicted == int(r.score >= 0.5) for r in got)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def uneven_tables(spark):
+    """Of 3500 texts 100 are toxic by a word of their own, and 100 of 400 by another."""
+    rng = random.Random(6)
+    words = ["blue", "tree", "walk", "river", "stone", "quiet", "paper", "light"]
+    rows, labels = [], []
+    for i in range(3500):
+        own = rng.choices(words, k=rng.randint(5, 20))
+        kind = "vileword" if i % 35 == 0 else "mildword" if i % 35 in (3, 11, 19, 27) else None
+        if kind:
+            own.insert(rng.randrange(len(own)), kind)
+        toxic = int(kind == "vileword" or (kind == "mildword" and i % 35 == 11))
+        rows.append((i, " ".join(own), "en"))
+        labels.append((i, 1, toxic))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    return docs, spark.createDataFrame(labels, "doc_id BIGINT, quality INT, toxic INT"), rows
+
+
+def test_cut_follows_the_shares_of_all_labels(spark, monkeypatch):
+    docs, labels, rows = uneven_tables(spark)
+    # the sample has all 200 toxic texts and as many of 3300 clean ones
+    monkeypatch.setattr(toxicity, "PER_CLASS", 200)
+    model = toxicity.fit(docs, labels)
+    scores = model.scores([t for _, t, _ in rows])
+    flagged = {w: [s >= 0.5 for s, r in zip(scores, rows, strict=True) if w in r[1]] for w in ("vileword", "mildword")}
+    assert np.mean(flagged["vileword"]) > 0.95
+    assert np.mean(flagged["mildword"]) < 0.1  # three in four are clean
+
+
+def test_cuts_weigh_languages_and_labels_as_all_rows():
+    steps = pd.DataFrame(
+        [("", 1, 2, 3.0, 3.0), ("", 1, 2, 1.0, 1.0), ("", 0, 9, 1.0, 1.0), ("", 0, 99, -1.0, -1.0)],
+        columns=["lang", "toxic", "n", "high", "low"],
+    )
+    none = pd.DataFrame({"lang": [], "toxic": []})
+    assert toxicity.cuts_of(steps, none) == (2.0, {})
+    # twelve times as many toxic rows: clean rows between them matter less
+    fitted = pd.DataFrame({"lang": [""] * 44, "toxic": [1] * 44})
+    assert toxicity.cuts_of(steps, fitted) == (0.0, {})
