@@ -45,7 +45,8 @@ PER_CLASS, CHARS = 4000, 8000
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.015, 7
 #: Networks trained from different starts; the best on the texts left out is kept.
 TRIES = 4
-#: Labelled texts of both kinds a language needs for a threshold of its own.
+#: Labelled texts of both kinds a language needs for a threshold of its own, half of
+#: them left out of the fit.
 LEAST_LABELLED = 40
 #: Logits are counted in so many steps a unit; cuts are set between steps.
 STEPS = 64
@@ -277,11 +278,24 @@ def cuts_of(steps: pd.DataFrame, fitted: pd.DataFrame) -> tuple[float, dict[str,
     return cut(steps), {name: cut(steps[steps.lang == name]) for name in sorted(names)}
 
 
+def left_out(rows: pd.DataFrame) -> np.ndarray:
+    """Which rows ``(doc_id, lang, toxic)`` of the sample are not fitted.
+
+    A quarter of each language and label, by a hash of ``doc_id``; of
+    ``LEAST_LABELLED`` rows or more so many as a threshold needs.
+    """
+    drawn = rows.assign(at=[zlib.crc32(f"cut {i}".encode()) for i in rows.doc_id])
+    groups = drawn.groupby(["lang", "toxic"]).at
+    size = groups.transform("size")
+    count = np.where(size >= LEAST_LABELLED, np.maximum(size // 4, LEAST_LABELLED // 2), size // 4)
+    return (groups.rank(method="max") <= count).to_numpy()
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[], F.Column] | None = None) -> Model:
     """Trains on a bounded sample of labelled rows (``usable`` ones, if given).
 
-    Three of four sampled texts are fitted, the others choose the network; all
-    labelled rows that are not fitted set the cuts.
+    About three of four sampled texts are fitted, the others choose the network;
+    all labelled rows that are not fitted set the cuts.
     """
     spark = docs.sparkSession
     known = labels.where("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int"))
@@ -300,7 +314,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[], F.Column] | Non
         share = min(max(share, 1e-12), 1 - 1e-12)
         return Model(None, -float(np.log(share / (1 - share))), {})
     texts = [buckets(words_of(r.text or "")) for r in rows]
-    fitted = np.array([zlib.crc32(f"cut {r.doc_id}".encode()) % 4 > 0 for r in rows])
+    gone = pd.DataFrame({
+        "doc_id": [r.doc_id for r in rows], "lang": [r.lang or "" for r in rows],
+        "toxic": y.astype(int),
+    })
+    fitted = ~left_out(gone)
     if len({*y[fitted]}) < 2 or len({*y[~fitted]}) < 2:
         fitted[:] = True
     checked = ~fitted if not fitted.all() else fitted
@@ -314,7 +332,6 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[], F.Column] | Non
         if best is None or quality > best[0]:
             best = quality, net
     _, net = best
-    gone = pd.DataFrame({"lang": [r.lang or "" for r in rows], "toxic": y.astype(int)})
     if fitted.all():  # too few rows to leave any out
         return Model(net, *cuts_of(step_counts(docs, known, net), gone[:0]))
     ids = sorted({r.doc_id for r, f in zip(rows, fitted, strict=True) if f})

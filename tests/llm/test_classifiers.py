@@ -213,3 +213,29 @@ def test_cuts_weigh_languages_and_labels_as_all_rows():
     # twelve times as many toxic rows: clean rows between them matter less
     fitted = pd.DataFrame({"lang": [""] * 44, "toxic": [1] * 44})
     assert toxicity.cuts_of(steps, fitted) == (0.0, {})
+
+
+def test_languages_with_enough_labels_have_thresholds(spark):
+    """Of each label 50 texts of one language and 30 of another, among many of a third."""
+    rng = random.Random(8)
+    words = ["blue", "tree", "walk", "river", "stone", "quiet", "paper", "light"]
+    rows, labels = [], []
+    for lang, n in (("aa", 50), ("bb", 30), ("cc", 300)):
+        for toxic in (0, 1):
+            for _ in range(n):
+                own = rng.choices(words, k=rng.randint(5, 20)) + ["nastyword"] * toxic
+                rows.append((len(rows), " ".join(own), lang))
+                labels.append((len(labels), 1, toxic))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    known = spark.createDataFrame(labels, "doc_id BIGINT, quality INT, toxic INT")
+    assert sorted(toxicity.fit(docs, known).by_language) == ["aa", "cc"]
+
+
+def test_cuts_are_set_on_whole_texts(spark):
+    net = toxicity.Network(3)
+    text = "blue tree " * 3000 + "river stone"
+    docs = spark.createDataFrame([(1, text, "en"), (2, None, "en")], "doc_id BIGINT, text STRING, lang STRING")
+    known = spark.createDataFrame([(1, 1), (2, 0)], "doc_id BIGINT, toxic INT")
+    got = toxicity.step_counts(docs, known, net)
+    want = toxicity.Model(net, 0.0, {}).logits([text, ""])
+    assert np.allclose(sorted(got.high), sorted(want), atol=1e-5) and got.n.tolist() == [1, 1]
