@@ -189,6 +189,36 @@ def test_short_lines_need_many_documents(spark):
     assert all(r._llm_dropped == 0 for r in few.collect())
 
 
+def greedy(rows):
+    """Anchors of one leaf, one after the other."""
+    left, out = sorted(rows, key=lambda r: (-r[1], r[0])), {}
+    while left:
+        model = left[0][0].split(" ")
+        alike = [r[0] for r in left if sum(map(str.__eq__, r[0].split(" "), model)) >= 0.8 * len(model)]
+        out |= {m: left[0][0] for m in alike[1:]}
+        left = [r for r in left if r[0] not in alike]
+    return out
+
+
+@pytest.mark.parametrize("pairs", [0, templates.PAIRS])
+def test_anchors_are_found_to_the_last(spark, monkeypatch, pairs):
+    monkeypatch.setattr(templates, "PAIRS", pairs)  # by rounds alone, or by pairs
+    rng = random.Random(3)
+    lines = {"we all know " + " ".join(rng.choices("abc", k=9 if k % 2 else 7)) for k in range(60)}
+    rows = [(i, line) for line in sorted(lines) for i in rng.sample(range(50), rng.randint(1, 4))]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    docs = docs.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    counts = templates.counted(templates.parsed(docs)).cache()
+    got = templates.generalised(docs, counts).collect()
+    name = {r.h: r.value for r in spark.createDataFrame([(x,) for x in lines], "value STRING").select("value", F.xxhash64("value").alias("h")).collect()}
+    times = collections.Counter(line for _, line in rows)
+    want = {}
+    for n in (10, 12):
+        want |= greedy([(x, times[x]) for x in lines if len(x.split()) == n])
+    assert {name[r.template]: name[r.anchor] for r in got} == want
+    assert len(got) == len(want) and len({*want.values()}) > 2 * templates.ROUNDS
+
+
 def test_lines_of_odd_rows(odd, clashing, none, odd_rows):
     for docs in (odd, clashing):
         got = templates.dedup(docs)
