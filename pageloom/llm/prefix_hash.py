@@ -6,11 +6,14 @@ span, so any two spans are compared in constant time and the longest common
 extension of two places is found by binary search.
 
 A fingerprint holds the hashes at up to ``MARKS`` evenly spaced places, read from
-the front and from the back, and the length.  Spacings are powers of two, so
-texts of any lengths have marks in common.  Equality of prefixes is monotone in
-their length, so the likeness of two fingerprints is found by binary search over
-the common marks: the equal part from the front plus the equal part from the
-back, over the longer length.
+the front and from the back, the length, and the least ``MARKS`` hashes of inner
+spans.  Spans are cut where a window of the text says so, so an insertion moves no
+cut but the ones next to it.
+
+The likeness of two texts is the share of the longer one that lies in spans they
+have in common: the common prefix and suffix, and every equal inner span, extended
+to both sides by binary search.  A place counts once in either text.  Both whole
+texts are compared, with all their spans.
 
 Size.  Documents are dealt out by ranges of ``doc_id`` in one exchange; the first
 document of a range is also sent to the range before it, so every document meets
@@ -26,7 +29,6 @@ empty result.  Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,9 @@ from pageloom.llm.common import empty_as, read, tasks, text_slices
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 1299721)
 MARKS = 32
+#: Code points that decide a cut, about how many lie between cuts, and the shortest
+#: span looked up (texts share shorter ones by chance).
+WINDOW, BETWEEN, LEAST_SPAN = 12, 32, 16
 OUT = (
     "doc_id BIGINT, n_chars BIGINT, edited_sha256 STRING, fingerprint STRING, "
     "edited_fingerprint STRING, near_edited DOUBLE, near_next DOUBLE"
@@ -48,18 +53,20 @@ OUT = (
 class Powers:
     """Powers of the bases, as far as they were asked for."""
 
-    def __init__(self) -> None:
+    def __init__(self, bases: tuple[int, ...] = BASES) -> None:
+        self.bases = bases
         self.known = [np.ones(1, np.int64) for _ in PRIMES]
 
     def up_to(self, n: int) -> list[np.ndarray]:
         while len(self.known[0]) < n:
-            for i, (p, b) in enumerate(zip(PRIMES, BASES, strict=True)):
+            for i, (p, b) in enumerate(zip(PRIMES, self.bases, strict=True)):
                 old = self.known[i]
                 self.known[i] = np.concatenate([old, old * pow(b, len(old), p) % p])
         return [k[:n] for k in self.known]
 
 
 POWERS = Powers()
+INVERSES = Powers(tuple(pow(b, -1, p) for b, p in zip(BASES, PRIMES, strict=True)))
 
 
 def code_points(text: str) -> np.ndarray:
@@ -78,8 +85,16 @@ class PrefixHash:
     """Span equality and longest common extensions over whole texts."""
 
     def __init__(self, text: str):
-        self.n = len(text)
-        self.sums = prefixes(code_points(text))
+        self._set(code_points(text))
+
+    @classmethod
+    def of(cls, codes: np.ndarray) -> PrefixHash:
+        made = cls.__new__(cls)
+        made._set(codes)
+        return made
+
+    def _set(self, codes: np.ndarray) -> None:
+        self.n, self.sums = len(codes), prefixes(codes)
 
     def same(self, i: int, other: PrefixHash, j: int, length: int) -> bool:
         """Whether ``length`` code points from ``i`` here and ``j`` there are equal."""
@@ -102,6 +117,38 @@ class PrefixHash:
         return low
 
 
+    def before(self, i: int, other: PrefixHash, j: int, most: int) -> int:
+        """Length of the longest common extension to the left, up to ``most``."""
+        low, high = 0, most
+        while low < high:
+            mid = (low + high + 1) // 2
+            if self.same(i - mid, other, j - mid, mid):
+                low = mid
+            else:
+                high = mid - 1
+        return low
+
+
+def inner_spans(codes: np.ndarray, sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the spans between cuts; a hash does not tell the place."""
+    n = len(codes)
+    if n < WINDOW:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    window = np.zeros(n - WINDOW + 1, np.uint64)
+    for k in range(WINDOW):
+        window = window * np.uint64(0x9E3779B97F4A7C15) + codes[k : n - WINDOW + 1 + k].astype(np.uint64)
+    mixed = (window ^ (window >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    cuts = np.flatnonzero((mixed >> np.uint64(40)) % np.uint64(BETWEEN) == 0) + WINDOW
+    cuts = np.concatenate([[0], cuts[cuts < n], [n]])
+    long = np.diff(cuts) >= LEAST_SPAN
+    starts, ends = cuts[:-1][long], cuts[1:][long]
+    one, two = (
+        (s[ends] - s[starts]) % p * back[starts] % p
+        for s, p, back in zip(sums, PRIMES, INVERSES.up_to(n), strict=True)
+    )
+    return starts, (one << 31) | two
+
+
 def spacing(n: int) -> int:
     """The least power of two that cuts ``n`` places into at most ``MARKS`` parts."""
     step = 1
@@ -112,40 +159,67 @@ def spacing(n: int) -> int:
 
 class Fingerprint:
     """Marks of one text: ``front[k]`` is the hash of its first ``(k + 1) step``
-    code points (the last of all of them), ``back[k]`` the same from the end."""
+    code points (the last of all of them), ``back[k]`` the same from the end; with
+    the prefix hashes of the text and the hashes of its inner spans."""
 
     def __init__(self, codes: np.ndarray):
         self.n, self.step = len(codes), spacing(len(codes))
-        self.front, self.back = (self._marks(c) for c in (codes, codes[::-1]))
+        self.text = PrefixHash.of(codes)
+        self.front = self._marks(self.text.sums)
+        self.back = self._marks(prefixes(codes[::-1]))
+        self.starts, self.spans = inner_spans(codes, self.text.sums)
 
-    def _marks(self, codes: np.ndarray) -> list[int]:
+    def _marks(self, sums: list[np.ndarray]) -> list[int]:
         if not self.n:
             return []
         places = np.append(np.arange(self.step, self.n, self.step), self.n)
-        one, two = (s[places] for s in prefixes(codes))
+        one, two = (s[places] for s in sums)
         return ((one << 31) | two).tolist()
 
     def __str__(self) -> str:
-        front, back = ("".join(f"{m:016x}" for m in x) for x in (self.front, self.back))
-        return f"{self.n}.{self.step}.{front}.{back}"
-
-    def _equal(self, mine: list[int], other: Fingerprint, theirs: list[int]) -> int:
-        """Length of the common prefix, to the last common mark."""
-        step = max(self.step, other.step)
-        count = min(self.n, other.n) // step
-        a, b = step // self.step, step // other.step
-        marks = range(1, count + 1)
-        at = bisect_right(marks, 0, key=lambda k: mine[k * a - 1] != theirs[k * b - 1])
-        return at * step
+        inner = np.unique(self.spans)[:MARKS].tolist()
+        parts = ("".join(f"{m:016x}" for m in x) for x in (self.front, self.back, inner))
+        return f"{self.n}.{self.step}.{'.'.join(parts)}"
 
     def likeness(self, other: Fingerprint) -> float:
         if self.n == other.n and self.front[-1:] == other.front[-1:]:
             return 1.0
         if not self.n or not other.n:
             return 0.0
-        front = self._equal(self.front, other, other.front)
-        back = self._equal(self.back, other, other.back)
-        return min(front + back, self.n, other.n) / max(self.n, other.n)
+        one, two = sorted((self, other), key=lambda f: (f.n, f.front[-1]))
+        return one._shared(two) / max(self.n, other.n)
+
+    def _shared(self, other: Fingerprint) -> int:
+        """Code points in common spans; ``other`` is not shorter."""
+        a, b = self.text, other.text
+        at = front = a.common(0, b, 0)
+        back = a.before(a.n, b, b.n, a.n - front)
+        end = a.n - back
+        used = np.zeros(b.n + 1, bool)  # places of ``other`` that are counted
+        used[:front] = used[b.n - back :] = True
+        places: dict[int, list[int]] = {}
+        for j in np.flatnonzero(np.isin(other.spans, self.spans))[::-1]:
+            places.setdefault(int(other.spans[j]), []).append(int(other.starts[j]))
+        total = front + back
+        for k in np.flatnonzero(np.isin(self.spans, other.spans)):
+            i, own = int(self.starts[k]), places[int(self.spans[k])]
+            if i < at:
+                continue
+            while own and used[own[-1]]:
+                own.pop()  # the first place left
+            if i >= end or not own:
+                continue
+            j = own[-1]
+            right = min(a.common(i, b, j), end - i)
+            taken = used[j : j + right]
+            right = int(taken.argmax()) if taken.any() else right
+            left = a.before(i, b, j, min(i - at, j))
+            taken = used[j - left : j][::-1]
+            left = int(taken.argmax()) if taken.any() else left
+            used[j - left : j + right] = True
+            total += left + right
+            at = i + right
+        return total
 
 
 def row(doc_id: int | None, text: str, own: Fingerprint, after: str, following: Fingerprint):

@@ -40,6 +40,16 @@ def test_likeness_follows_the_common_part():
     assert likeness(a, a[:1500]) > 0.45
 
 
+def test_likeness_counts_inner_spans():
+    rng = random.Random(7)
+    a = "".join(rng.choices("abcdefgh", k=3000))
+    near = a[:40] + "XY" + a[42:1500] + "inserted" + a[1500:2950] + a[2960:2980] + "Z" + a[2981:]
+    assert likeness(a, near) > 0.9
+    assert likeness(a, "Q" + a[1500:-1] + a[1:1500] + "R") > 0.9  # moved halves
+    part = a[1000:1500]
+    assert likeness(part * 3 + "S", "T" + part + a[2000:2999]) < 0.4  # each place counts once
+
+
 def expected(rows):
     out = []
     for k, (doc_id, text) in enumerate(rows):
