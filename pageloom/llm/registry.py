@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pageloom.llm import bitpack, crf, hilbert, mcd, mixing, packing, prefix_hash, simhash, templates, toxicity
+from pageloom.llm import (
+    bitpack, crf, hilbert, mcd, mixing, negatives, neighbours, packing, prefix_hash, simhash, templates,
+    toxicity, whitening,
+)
 
 QUERIES = {
     "op7_soft_membership_mixing": mixing.query,
@@ -15,9 +18,13 @@ QUERIES = {
     "op5_cutting_stock_packing": packing.query,
     "op9_fixed_width_bit_packing": bitpack.query,
     "op8_simhash_near_dedup": simhash.query,
+    "op11_segment_summary_negatives": negatives.query,
+    "op12_adaptive_dimension_scan": neighbours.query,
+    "op13_block_matrix_whitening": whitening.query,
 }
 
 ORACLES: dict[str, str] = {
     "op6_hilbert_shards": hilbert.oracle(),
     "op10_template_line_dedup": templates.oracle(),
+    "op11_segment_summary_negatives": negatives.oracle(),
 }
