@@ -24,6 +24,7 @@ columns are not read.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -89,6 +90,11 @@ def scatter(spark: SparkSession, blocks: BlockMatrix) -> np.ndarray:
     return BlockMatrix(product, turned.rowsPerBlock, blocks.colsPerBlock).toLocalMatrix().toArray()
 
 
+def released(blocks: BlockMatrix) -> None:
+    """Frees the kept blocks; what still needs them computes them again."""
+    blocks._java_matrix_wrapper._java_model.blocks().unpersist(False)
+
+
 def projected(spark: SparkSession, blocks: BlockMatrix, by: np.ndarray) -> DataFrame:
     """``(row, w)``: every row times the matrix ``by``, through block products."""
     dim, k = by.shape
@@ -129,7 +135,7 @@ def whitened(table: DataFrame, components: int = COMPONENTS) -> DataFrame:
     counted = rows.withColumns({"n": F.lit(n).cast("bigint"), "rest": _longs(rest)}).select(
         "row", "vec_id", "n", exact.try_cast("bigint").alias("deviation"),
     )
-    blocks = block_matrix(rows, centred, n, dim)
+    blocks = block_matrix(rows, centred, n, dim).persist(StorageLevel.MEMORY_AND_DISK)
     values, vectors = np.linalg.eigh(scatter(spark, blocks) / n)
     values, vectors = values[::-1], vectors[:, ::-1]
     k = min(components, dim)
@@ -138,10 +144,13 @@ def whitened(table: DataFrame, components: int = COMPONENTS) -> DataFrame:
     roots = np.sqrt(np.where(spread, values[:k], 1))
     by = np.where(spread, vectors[:, :k] / roots, 0)
     made = projected(spark, blocks, by)
+    released(blocks)
 
     means = made.agg(*[F.avg(F.col("w")[i]) for i in range(k)]).first()
     again = F.zip_with("w", F.array(*[F.lit(float(m)) for m in means]), lambda w, m: w - m)
-    covariance = scatter(spark, block_matrix(made, again, n, k)) / n
+    again = block_matrix(made, again, n, k).persist(StorageLevel.MEMORY_AND_DISK)
+    covariance = scatter(spark, again) / n
+    released(again)
     chosen = np.flatnonzero(spread)
     error = np.abs(covariance - np.eye(k))[np.ix_(chosen, chosen)].max() if len(chosen) else None
     trace = float(values.sum())
