@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom import fixed
-from pageloom.operators.sized import build_side, is_small
+from pageloom.operators.sized import is_small, stored_side
 from pageloom.schema import ARTICLE_COLUMNS, AUTHOR_DDL, IMAGE_DDL
-from pageloom.session import stored
 
 
 def pending_pages(pages: DataFrame, known: DataFrame) -> DataFrame:
@@ -24,8 +23,8 @@ def pending_pages(pages: DataFrame, known: DataFrame) -> DataFrame:
     links = known.select(F.col("link").alias("url"))
     if is_small(links):
         return pages.join(F.broadcast(links), "url", "left_anti")
-    todo = stored(pages.select("url").distinct().join(links, "url", "left_anti"), "todo")
-    return pages.join(build_side(todo), "url", "left_semi")
+    todo = stored_side(pages.select("url").distinct().join(links, "url", "left_anti"), "todo")
+    return pages.join(todo, "url", "left_semi")
 
 
 def hydrate(items: DataFrame, pages: DataFrame) -> DataFrame:
@@ -39,17 +38,17 @@ def hydrate(items: DataFrame, pages: DataFrame) -> DataFrame:
     """
     kind = F.min("type") if "type" in items.columns else F.lit(None).cast("string")
     wanted = items.where("link IS NOT NULL").groupBy("link").agg(kind.alias("item_kind"))
-    wanted = stored(wanted, "wanted")
+    wanted = stored_side(wanted, "wanted")
     recency = [c for c in ("fetched_at", "page_id") if c in pages.columns]
     # only snapshots of wanted links are compared
-    asked = build_side(wanted.select(F.col("link").alias("url")))
+    asked = wanted.select(F.col("link").alias("url"))
     candidates = pages.select("url", *recency).join(asked, "url", "left_semi")
     newest = F.max(F.struct(*recency))["page_id"] if len(recency) > 1 else F.max("page_id")
     latest = candidates.groupBy("url").agg(newest.alias("page_id"))
     chosen = wanted.join(latest, wanted["link"] == latest["url"]).select(
         "page_id", "url", "item_kind"
     )
-    chosen = build_side(stored(chosen, "chosen"))
+    chosen = stored_side(chosen, "chosen")
     return pages.join(chosen, ["page_id", "url"]).select("page_id", "url", "item_kind", "html")
 
 

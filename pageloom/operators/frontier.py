@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pageloom import fixed
-from pageloom.operators.sized import build_side
-from pageloom.session import stored
+from pageloom.operators.sized import stored_side
 
 
 def index_union(items_a: DataFrame, items_b: DataFrame) -> DataFrame:
@@ -41,30 +40,20 @@ def stored_among(found: DataFrame, store: DataFrame) -> DataFrame:
 
     The store grows for ever and a batch does not, so the store is scanned past
     the batch and not shuffled, as long as the batch's measured size allows a
-    broadcast; beyond that Spark picks the join.  Give it a stored ``found``.
+    broadcast; beyond that Spark picks the join.  Give it a ``stored_side``, or any
+    stored table.
     """
-    return store.select("link").join(build_side(found.select("link")), "link", "left_semi")
+    return store.select("link").join(found.select("link"), "link", "left_semi")
 
 
 def new_links(items: DataFrame, known: DataFrame) -> DataFrame:
-    """Listed links that are not stored, each once per source.
+    """Listed links that are not stored, each once per source, whatever the source.
 
-    Grouped by link alone, with a latest time for each of the two sources, so that
-    one exchange serves the grouping and the existence test.
+    What is listed is reduced before it moves and stored, with its size measured on
+    the way; beyond a broadcast the existence test moves narrow rows once more.
     """
-    sources = (fixed.SOURCE_A, fixed.SOURCE_B)
-    own = [F.col("source") == s for s in sources]
-    found = items.where(F.col("link").isNotNull() & F.col("source").isin(*sources)).groupBy("link").agg(
-        *[F.max(F.when(o, F.col("published_at"))).alias(f"at{i}") for i, o in enumerate(own)],
-        *[F.max(o).alias(f"in{i}") for i, o in enumerate(own)],
-    )
-    found = stored(found, "listed")
-    fresh = without_known(found, stored_among(found, known))
-    rows = F.array(*[
-        F.struct(F.lit(s).alias("source"), F.col(f"at{i}").alias("published_at"), F.col(f"in{i}").alias("there"))
-        for i, s in enumerate(sources)
-    ])
-    return fresh.select("link", F.inline(rows)).where("there").select("source", "link", "published_at")
+    found = stored_side(distinct_links(items), "listed")
+    return without_known(found, stored_among(found, known)).select("source", "link", "published_at")
 
 
 def newest_first(frontier: DataFrame) -> DataFrame:
@@ -78,5 +67,7 @@ def take_next(frontier: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     The head is a top-k (k rows per task, no full sort), stored because both parts
     use it.  The rest is an anti join; Spark broadcasts the head if it is small.
     """
-    head = stored(newest_first(frontier).limit(k), "head")
-    return head, frontier.join(head.select("source", "link"), ["source", "link"], "left_anti")
+    head = stored_side(newest_first(frontier).limit(k), "head")
+    taken = head.select(F.col("source").alias("_source"), F.col("link").alias("_link"))
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("link") == F.col("_link"))
+    return head, frontier.join(taken, same, "left_anti")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +24,8 @@ SETTINGS = {
 #: Working folder of local sessions that name none.
 LOCAL_SHARED = f"{tempfile.gettempdir()}/pageloom-shared"
 
-_made: list[str] = []
+_made: dict[str, list[str]] = {}
+_owner: ContextVar[str] = ContextVar("owner", default="")
 
 
 def build(name: str = "pageloom", **extra: str) -> SparkSession:
@@ -46,10 +50,21 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = LOCAL_SHARED
     path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.setdefault(_owner.get(), []).append(path)
     return path
 
 
+@contextlib.contextmanager
+def owned_by(owner: str) -> Iterator[None]:
+    """Folders made within belong to ``owner``, so that several jobs of one process
+    can each drop their own."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
@@ -62,16 +77,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Removes what this process has put below the shared folder; returns how many.
+def drop_stored(spark: SparkSession, owner: str = "") -> int:
+    """Removes what ``owner`` has put below the shared folder; returns how many.
 
     For the owner of a job, once its results are written: frames that were not
     yet computed need these tables.
     """
     dropped = 0
-    for text in _made:
+    for text in _made.pop(owner, []):
         path = spark._jvm.org.apache.hadoop.fs.Path(text)
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())
         dropped += bool(files.delete(path, True))
-    _made.clear()
     return dropped

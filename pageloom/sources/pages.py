@@ -16,29 +16,29 @@ def read_pages(
     return spark.read.schema(schema).format(fmt).load(path)
 
 
-def _filled_splits(df: DataFrame) -> int:
-    """Splits that hold rows; a row group cannot be cut, so a file may be dealt out
-    as many splits of which one has all rows.  Reads no column."""
-    filled = df.select(F.spark_partition_id().alias("split"))
-    return filled.agg(F.size(F.collect_set("split"))).first()[0]
+def _nodes(plan) -> list[str]:
+    """Names of the nodes of a physical plan, before it runs."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.initialPlan()
+    below = plan.children()
+    return [plan.nodeName(), *(n for i in range(below.size()) for n in _nodes(below.apply(i)))]
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a small or badly split input a task per core before the parse.
 
     Only a scan is looked at: what has been exchanged already, and what has several
-    splits per core, as every large input has, passes through.  So does an input
-    with as many filled splits as there are cores.  The count of partitions is never
+    splits per core, as every large input has, passes through.  So does an input of
+    as many files as cores; with fewer, a row group that cannot be cut may be dealt
+    out as several splits of which one has all rows.  The count of partitions is never
     lowered.  Hashing a key, unlike dealing rows out in turn, gives the same
     partitions again when a lost task is re-run.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    splits = df.rdd.getNumPartitions()
-    if splits >= 4 * cores:
+    if df.isStreaming or "Exchange" in _nodes(df._jdf.queryExecution().executedPlan()):
         return df
-    if splits >= cores and _filled_splits(df) >= cores:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits, files = df.rdd.getNumPartitions(), len(df.inputFiles())
+    if splits >= 4 * cores or (splits >= cores and (files >= cores or not files)):
         return df
     return df.repartition(max(splits, cores), key)
 

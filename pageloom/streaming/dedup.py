@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 
 def first_sightings(items: DataFrame, delay: str, time_column: str = "seen_at") -> DataFrame:
@@ -31,3 +34,54 @@ def late_rows(query: StreamingQuery) -> int:
 def without_stored(items: DataFrame, store: DataFrame) -> DataFrame:
     """Stream-static existence test against links already stored."""
     return items.join(store.select("link"), "link", "left_anti")
+
+
+class _Sighted(StatefulProcessor):
+    """One timestamp for each link, cleared by a timer ``keep`` of event time later."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "at TIMESTAMP")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        first = None
+        for row in rows:
+            if row.ms < mark:
+                yield Row(source=key[0], link=key[1], seen_at=row.seen_at, late=True)
+            elif first is None or row.ms < first.ms:
+                first = row
+        if first is not None and not self.seen.exists():
+            self.seen.update((first.seen_at,))
+            self.handle.registerTimer(first.ms + self.keep_ms)
+            yield Row(source=key[0], link=key[1], seen_at=first.seen_at, late=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def sightings(items: DataFrame, keep: timedelta, delay: str, time_column: str = "seen_at") -> DataFrame:
+    """``(source, link, seen_at, late)``: each link once per ``keep`` of event time, and
+    every row that came later than ``delay`` as a row of its own.
+
+    State is one time for each link, cleared by a timer when the watermark passes the
+    link's end.  Spark leaves late rows out where it sees the watermarked column; here
+    the grouped rows carry a copy of the time, so they arrive, are told by the
+    watermark of their batch and come out marked.  A row without a time is left out.
+    """
+    timed = items.where(F.col(time_column).isNotNull()).withWatermark(time_column, delay)
+    plain = timed.select(
+        "source", "link", F.unix_millis(time_column).alias("ms"),
+        F.timestamp_micros(F.unix_micros(time_column)).alias("seen_at"),
+    )
+    return plain.groupBy("source", "link").transformWithState(
+        _Sighted(int(keep / timedelta(milliseconds=1))), "source STRING, link STRING, seen_at TIMESTAMP, late BOOLEAN",
+        "append", "eventTime",
+    )

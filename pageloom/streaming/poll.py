@@ -1,20 +1,27 @@
 """Endless poll of listings as a stream of page files.
 
-Each trigger parses the pages that arrived, keeps the links the store lacks and
-appends them.  A page is one row, so every micro-batch holds whole pages.
+Each trigger parses the pages that arrived and keeps the links that were never seen.
+What was seen is the query's state, one entry for each link, seeded once from what
+the store held when the query first started: no trigger reads the store.  A page is
+one row, so every micro-batch holds whole pages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from pageloom import fixed
 from pageloom.operators.frontier import distinct_links, index_union, stored_among, without_known
+from pageloom.operators.sized import stored_side
 from pageloom.plans.sites import listing_items
 from pageloom.schema import FRONTIER, FRONTIER_COLUMNS
+from pageloom.sources import files
 from pageloom.sources.pages import spread
-from pageloom.sources.store import read_store
 
 # Listing pages as they arrive; ``source`` tells the site.
 LISTING_PAGE = "page_id BIGINT, source STRING, url STRING, html STRING"
@@ -29,19 +36,72 @@ def listed(pages: DataFrame) -> DataFrame:
     return index_union(items(fixed.SOURCE_A), items(fixed.SOURCE_B))
 
 
+def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each source and link of a batch, with the latest time: a link that
+    every page lists moves once a batch."""
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch]).group_by(["source", "link"]).aggregate([("published_at", "max")])
+            table = table.rename_columns({"published_at_max": "published_at"}).select(FRONTIER_COLUMNS)
+            yield from table.combine_chunks().to_batches()
+
+
+class _Unseen(StatefulProcessor):
+    """A flag for each link; rows come out the first time only, one for each source."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "there BOOLEAN")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((True,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.seen.exists():
+            return
+        latest: dict = {}
+        for row in rows:
+            before = latest.get(row.source)
+            at = row.published_at
+            latest[row.source] = at if before is None else before if at is None else max(before, at)
+        self.seen.update((True,))
+        for source, at in latest.items():
+            yield Row(source=source, link=key[0], published_at=at)
+
+    def close(self) -> None:
+        pass
+
+
+def unseen(items: DataFrame, known: DataFrame) -> DataFrame:
+    """Links of a stream of ``source, link, published_at`` the first time they are seen.
+
+    ``known`` is read by the first batch alone and becomes state.
+    """
+    links = items.where("link IS NOT NULL").select(*FRONTIER_COLUMNS).mapInArrow(_reduced, FRONTIER)
+    seeds = known.select("link").where("link IS NOT NULL").distinct()
+    return links.groupBy("link").transformWithState(
+        _Unseen(), FRONTIER, "append", "none", initialState=seeds.groupBy("link")
+    )
+
+
+def frontier_rows(spark: SparkSession, store_path: str, but: str = "") -> DataFrame:
+    """Everything the polls of a store have found, or all but what one has; empty if
+    there was none yet."""
+    folders = [f"{store_path}/{n}" for n in files.names(spark, store_path) if n != but and n[0] not in "._"]
+    if not folders:
+        return spark.createDataFrame([], FRONTIER)
+    return spark.read.schema(FRONTIER).option("recursiveFileLookup", "true").parquet(*folders)
+
+
 def append_new(pages: DataFrame, store_path: str) -> None:
-    """One round: what a batch lists minus what is stored, appended.
+    """One round without a stream: what a batch lists minus what is stored, appended.
 
     Running a batch again finds all of its links stored and adds nothing, so a
     replay after a failure is harmless.
     """
-    found = distinct_links(listed(spread(pages, "page_id"))).persist()
-    try:
-        store = read_store(pages.sparkSession, store_path, FRONTIER).select("link")
-        fresh = without_known(found, stored_among(found, store))
-        fresh.select(*FRONTIER_COLUMNS).write.mode("append").parquet(store_path)
-    finally:
-        found.unpersist()
+    found = stored_side(distinct_links(listed(spread(pages, "page_id"))), "found")
+    store = frontier_rows(pages.sparkSession, store_path)
+    fresh = without_known(found, stored_among(found, store))
+    fresh.select(*FRONTIER_COLUMNS).write.mode("append").parquet(f"{store_path}/rounds")
 
 
 def poll(
@@ -51,13 +111,28 @@ def poll(
     checkpoint: str,
     every: str | None = None,
     max_files: int = 1000,
+    parts: int | None = None,
 ) -> StreamingQuery:
-    """Start the poll: once over what is there, or ``every`` interval for good."""
+    """Start the poll: once over what is there, or ``every`` interval for good.
+
+    Batch ``n`` of a query writes its own folder and nothing else, so a batch that is
+    run again after a failure replaces what it had written.  ``parts`` deals the pages
+    of a trigger out to so many tasks, for page files that cannot be split.
+    """
     arriving = (
         spark.readStream.schema(LISTING_PAGE).option("maxFilesPerTrigger", max_files).parquet(pages_path)
     )
-    writer = arriving.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _: append_new(batch, store_path)
-    )
+    if parts:
+        arriving = arriving.repartition(parts, "page_id")
+    # the query's own name, which outlives restarts but not its checkpoint
+    files.create(spark, f"{checkpoint}/owner", uuid.uuid4().hex)
+    owner = files.text(spark, f"{checkpoint}/owner")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store_path}/{owner}/{number}")
+
+    # its own rows are in its state; a first batch run again must not find them stored
+    fresh = unseen(listed(arriving), frontier_rows(spark, store_path, owner))
+    writer = fresh.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()

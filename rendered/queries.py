@@ -11,13 +11,12 @@ from pageloom.operators import articles as art, frontier as fr, tree as t
 from pageloom.plans import sites
 from pageloom.plans.article_b import CONTENT_RULES, is_page_item, parts_b
 from pageloom.plans.trees import node_table, page_trees
-from pageloom.schema import FRONTIER
 from pageloom.session import shared_dir, stored
 from pageloom.sources.channels import with_base_url
 from pageloom.sources.pages import read_pages, spread, status_gate
 from pageloom.sources.store import known_links, read_store, write_articles
 from pageloom.streaming.dedup import first_sightings, late_rows
-from pageloom.streaming.poll import poll
+from pageloom.streaming.poll import frontier_rows, poll
 from rendered import pages as render
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -432,8 +431,8 @@ def str_poll(spark, sf):
             make(shown).select("page_id", F.lit(source).alias("source"), "url", "html").write.mode(
                 "append"
             ).parquet(drops)
-        poll(spark, drops, store, checkpoint).awaitTermination()
-    return _frontier_row(read_store(spark, store, FRONTIER))
+        poll(spark, drops, store, checkpoint, parts=spark.sparkContext.defaultParallelism).awaitTermination()
+    return _frontier_row(frontier_rows(spark, store))
 
 
 def str_dedup(spark, sf):

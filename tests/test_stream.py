@@ -6,11 +6,9 @@ from pyspark.sql import functions as F
 
 from pageloom import fixed
 from pageloom.operators.frontier import new_links
-from pageloom.schema import FRONTIER
 from pageloom.session import shared_dir
-from pageloom.sources.store import read_store
 from pageloom.streaming.dedup import first_sightings, late_rows, without_stored
-from pageloom.streaming.poll import LISTING_PAGE, append_new, listed, poll
+from pageloom.streaming.poll import LISTING_PAGE, append_new, frontier_rows, listed, poll
 from tests.test_extract import LINK, item, root
 
 
@@ -24,7 +22,7 @@ def drop(spark, path, *pages):
 
 
 def links(spark, store):
-    return sorted(r.link for r in read_store(spark, store, FRONTIER).collect())
+    return sorted(r.link for r in frontier_rows(spark, store).collect())
 
 
 def test_poll_rounds_and_replay(spark):
