@@ -1,4 +1,6 @@
 import collections
+import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -191,7 +193,7 @@ def test_short_lines_need_many_documents(spark):
 
 def greedy(rows):
     """Anchors of one leaf, one after the other."""
-    left, out = sorted(rows, key=lambda r: (-r[1], r[0])), {}
+    left, out = sorted(rows, key=lambda r: (-r[1].bit_length(), hashlib.md5(r[0].encode()).hexdigest())), {}
     while left:
         model = left[0][0].split(" ")
         alike = [r[0] for r in left if sum(map(str.__eq__, r[0].split(" "), model)) >= 0.8 * len(model)]
@@ -200,11 +202,21 @@ def greedy(rows):
     return out
 
 
-@pytest.mark.parametrize("pairs", [0, templates.PAIRS])
-def test_anchors_are_found_to_the_last(spark, monkeypatch, pairs):
-    monkeypatch.setattr(templates, "PAIRS", pairs)  # by rounds alone, or by pairs
+def anchors_of(spark, lines):
+    """``{line: anchor}`` of a list of lines, one document each."""
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id BIGINT, text STRING").cache()
+    got = templates.generalised(docs, templates.counted(templates.parsed(docs))).collect()
+    hashed = docs.select("text", F.xxhash64(templates._masked(F.col("text"))).alias("h")).collect()
+    name = {r.h: r.text for r in hashed}
+    return {name[r.template]: name[r.anchor] for r in got}
+
+
+@pytest.mark.parametrize("paired", [1, 4, templates.PAIRED])
+def test_anchors_are_those_of_one_after_the_other(spark, monkeypatch, paired):
+    monkeypatch.setattr(templates, "PAIRED", paired)  # by groups alone, or by pairs
     rng = random.Random(3)
-    lines = {"we all know " + " ".join(rng.choices("abc", k=9 if k % 2 else 7)) for k in range(60)}
+    sizes = {5: "abcd", 7: "abc", 8: "abcdef", 10: "abc", 12: "abc", 23: "ab"}
+    lines = {"we all know " + " ".join(rng.choices(sizes[n], k=n - 3)) for n in sizes for _ in range(40)}
     rows = [(i, line) for line in sorted(lines) for i in rng.sample(range(50), rng.randint(1, 4))]
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
     docs = docs.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
@@ -213,10 +225,51 @@ def test_anchors_are_found_to_the_last(spark, monkeypatch, pairs):
     name = {r.h: r.value for r in spark.createDataFrame([(x,) for x in lines], "value STRING").select("value", F.xxhash64("value").alias("h")).collect()}
     times = collections.Counter(line for _, line in rows)
     want = {}
-    for n in (10, 12):
+    for n in sizes:
         want |= greedy([(x, times[x]) for x in lines if len(x.split()) == n])
     assert {name[r.template]: name[r.anchor] for r in got} == want
-    assert len(got) == len(want) and len({*want.values()}) > 2 * templates.ROUNDS
+    assert len(got) == len(want) > 40 and len({*want.values()}) > 12
+
+
+def jobs_of(spark, work):
+    group = f"counted-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_common_opening_ends_soon(spark):
+    """5,000 lines that share a leaf and a block and are not alike, in as many jobs as 500;
+    with lines that are alike among them."""
+    other = [f"breaking news from {a} {b} of the house" for a, b in (("rome", "sun"), ("rome", "rain"), ("oslo", "rain"))]
+
+    def lines(n):
+        word = lambda i, c: c * 3 + "".join(chr(97 + int(d)) for d in str(i))  # noqa: E731  digits would be masked
+        return [f"breaking news from {word(i, 'x')} {word(i, 'y')} of the house" for i in range(n)] + other
+
+    few, jobs_few = jobs_of(spark, lambda: anchors_of(spark, lines(500)))
+    many, jobs_many = jobs_of(spark, lambda: anchors_of(spark, lines(5000)))
+    assert few == many == greedy([(x, 1) for x in other])
+    assert jobs_many <= jobs_few + 4 and jobs_many < 120
+
+
+def test_lines_of_one_variable_field_are_no_pairs(spark):
+    """A field with thousands of values: one template, found without comparing pairs."""
+    words = ["".join(p) for p in itertools.product("abcdefgh", repeat=4)]
+    got, jobs = jobs_of(spark, lambda: anchors_of(spark, [f"the user is called {w} here and now" for w in words]))
+    assert len(got) == len(words) - 1 and len({*got.values()}) == 1 and jobs < 120
+
+
+def test_short_lines_with_a_field_recur(spark):
+    words = ["".join(p) for p in itertools.product("abcd", repeat=2)][:12]
+    rows = [(i, f"please log in now {w}\nown {w} line of document {w * 3} with {w * 2} words") for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r.text for r in templates.dedup(docs).collect()}
+    assert "log in" in got[0] and all("log in" not in got[i] for i in range(1, 12))
+    few = templates.dedup(docs.where("doc_id < 9")).collect()
+    assert all("log in" in r.text for r in few)
 
 
 def test_lines_of_odd_rows(odd, clashing, none, odd_rows):
