@@ -114,7 +114,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = END, path: str | None = No
     spark = docs.sparkSession
     path = path or shared_dir(spark, "ids")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    ranged = keyed.repartitionByRange(tasks(spark), "doc_id").sortWithinPartitions("doc_id", "key")
+    ranged = keyed.repartitionByRange(tasks(spark), "doc_id", "key").sortWithinPartitions("doc_id", "key")
     blocks = ranged.select("doc_id", "text").mapInArrow(
         lambda batches: _blocks(tokenizer, end, batches), LAYOUT
     )

@@ -6,6 +6,9 @@ follow each other by learned transitions, so a word that could be of several
 languages is read in its context and a text may switch.  Forward-backward gives
 each word's posterior; a text's language is the one with the largest sum.
 
+A word without blanks of any length, as in scripts that use none, is cut into pieces of
+``PIECE`` characters, all of which are read and labelled.
+
 The field is fitted in numpy on the driver, by AdaGrad on the exact likelihood,
 to a bounded sample of labelled texts.  As labels are of whole texts, training
 sequences are joined from runs of different texts, which shows switches.
@@ -33,8 +36,8 @@ from pageloom.llm.common import (
 )
 
 UNKNOWN = "und"
-#: Rows of the feature table and features of a word.
-ROWS, SLOTS = 1 << 15, 20
+#: Rows of the feature table, and characters of a piece of a word.
+ROWS, PIECE = 1 << 15, 24
 #: Bounds of the sample: texts of each language, code points taken of a text.
 PER_CLASS, CHARS = 500, 1500
 #: Words of a training sequence and least words of a run in it.
@@ -50,7 +53,16 @@ BREAKS = bytes(
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(BREAKS).split()
+    words = text.lower().encode("utf-8", "surrogatepass").translate(BREAKS).split()
+    if all(len(w) <= PIECE for w in words):
+        return words
+    return [p for w in words for p in (pieces(w) if len(w) > PIECE else (w,))]
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """A long word cut every ``PIECE`` characters."""
+    w = word.decode("utf-8", "surrogatepass")
+    return [w[i : i + PIECE].encode("utf-8", "surrogatepass") for i in range(0, len(w), PIECE)]
 
 
 def has_letter(word: bytes) -> bool:
@@ -58,16 +70,31 @@ def has_letter(word: bytes) -> bool:
 
 
 def features(word: bytes, lexicon: dict[bytes, int]) -> list[int]:
-    """Rows of the feature table, ``SLOTS`` of them; 0 stands for none."""
+    """Rows of the feature table: the word, its lexicon, its affixes and all n-grams."""
     w = word.decode("utf-8", "surrogatepass")
     n = len(w)
     names = [f"={w}", f"lexicon {lexicon.get(word, -1)}"]
     names += [f"<{w[:k]}" for k in (1, 2, 3, 4) if k <= n]
     names += [f"{w[-k:]}>" for k in (1, 2, 3, 4) if k <= n]
-    names += [w[i : i + 2] for i in range(min(n - 1, 5))]
-    names += [w[i : i + 3] for i in range(min(n - 2, 5))]
-    rows = [1 + zlib.crc32(x.encode("utf-8", "surrogatepass")) % (ROWS - 1) for x in names]
-    return (rows + [0] * SLOTS)[:SLOTS]
+    names += [w[i : i + 2] for i in range(n - 1)]
+    names += [w[i : i + 3] for i in range(n - 2)]
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % ROWS for x in names]
+
+
+class Rows:
+    """Feature rows of many words, one word after another."""
+
+    def __init__(self, lists: list[list[int]]):
+        self.sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.fromiter((r for x in lists for r in x), np.int64, int(self.sizes.sum()))
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, starts and sizes of the chosen words, in their order."""
+        sizes = self.sizes[words]
+        starts = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum())) + np.repeat(self.starts[words] - starts, sizes)
+        return self.flat[at], starts, sizes
 
 
 class Field:
@@ -80,9 +107,10 @@ class Field:
         self.moves = np.zeros((k, k))
         self.first = np.zeros(k)
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        """Log potentials of words given by their feature rows."""
-        return self.weights[rows].sum(1)
+    def scores(self, lists: list[list[int]]) -> np.ndarray:
+        """Log potentials of words given by their feature rows, one at least each."""
+        rows = Rows(lists)
+        return np.add.reduceat(self.weights[rows.flat], rows.starts, axis=0)
 
     def marginals(self, potentials: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Posterior of every word by forward-backward, over whole sequences.
@@ -115,19 +143,20 @@ class Field:
             after[:m] = back / back.sum(1, keepdims=True)
         return forward / forward.sum(1, keepdims=True)
 
-    def fit(self, rows: np.ndarray, labels: np.ndarray) -> None:
-        """One AdaGrad pass over sequences ``(sequence, place)`` of word rows.
+    def fit(self, table: Rows, words: np.ndarray, labels: np.ndarray) -> None:
+        """One AdaGrad pass over sequences ``(sequence, place)`` of words of ``table``.
 
         The gradient of the log likelihood is observed minus expected counts, of
         features and of moves, by forward-backward.
         """
         k = len(self.languages)
-        n = rows.shape[1]
+        n = words.shape[1]
         eye = np.eye(k)
-        for i in range(0, len(rows), BATCH):
-            own, gold = rows[i : i + BATCH], labels[i : i + BATCH]
+        for i in range(0, len(words), BATCH):
+            own, gold = words[i : i + BATCH], labels[i : i + BATCH]
             b = len(own)
-            scores = self.weights[own].sum(2)
+            rows, starts, sizes = table.of(own.ravel())
+            scores = np.add.reduceat(self.weights[rows], starts, axis=0).reshape(b, n, k)
             local = np.exp(scores - scores.max(2, keepdims=True))
             moves = np.exp(self.moves)
             a, z = np.empty((n, b, k)), np.empty((n, b, 1))
@@ -151,12 +180,9 @@ class Field:
             np.add.at(d_moves, (gold[:, :-1], gold[:, 1:]), 1)
             d_first = d_local[:, 0].sum(0)
             d_weights = np.zeros_like(self.weights)
-            flat_rows, flat_d = own.reshape(-1, SLOTS), d_local.reshape(-1, k)
+            flat_d = d_local.reshape(-1, k)
             for lang in range(k):
-                d_weights[:, lang] = np.bincount(
-                    flat_rows.ravel(), np.repeat(flat_d[:, lang], SLOTS), ROWS
-                )
-            d_weights[0] = 0
+                d_weights[:, lang] = np.bincount(rows, np.repeat(flat_d[:, lang], sizes), ROWS)
             steps = (d_weights, d_moves / b, d_first)
             for x, d, s in zip((self.weights, self.moves, self.first), steps, self.sums, strict=True):
                 s += d * d
@@ -167,10 +193,9 @@ class Field:
         self.sums = [np.zeros_like(x) for x in (self.weights, self.moves, self.first)]
         known: dict[bytes, int] = {}
         coded = [[known.setdefault(w, len(known)) for w in t] for t in texts]
-        table = np.array([features(w, self.lexicon) for w in known] or [[0] * SLOTS])
+        table = Rows([features(w, self.lexicon) for w in known])
         for _ in range(EPOCHS):
-            words, gold = joined_runs(coded, labels, rng)
-            self.fit(table[words], gold)
+            self.fit(table, *joined_runs(coded, labels, rng))
         del self.sums
 
 
@@ -229,8 +254,8 @@ class Potentials:
         )
         new = [words[i] for i in np.flatnonzero(at >= known).tolist()]
         if new:
-            rows = np.array([features(w, self.field.lexicon) for w in new])
-            self.table = np.concatenate([self.table, self.field.scores(rows)])
+            lists = [features(w, self.field.lexicon) for w in new]
+            self.table = np.concatenate([self.table, self.field.scores(lists)])
             letters = np.fromiter(map(has_letter, new), bool, len(new))
             self.letters = np.concatenate([self.letters, letters])
         return self.table[at], self.letters[at]
@@ -289,8 +314,8 @@ def label_words(field: Field, text: str) -> list[tuple[str, str, float]]:
     words = [w for w in words_of(text) if has_letter(w)]
     if not words or not field.languages:
         return []
-    rows = np.array([features(w, field.lexicon) for w in words])
-    post = field.marginals(field.scores(rows), np.array([len(words)]))
+    lists = [features(w, field.lexicon) for w in words]
+    post = field.marginals(field.scores(lists), np.array([len(words)]))
     best = post.argmax(1)
     return [
         (w.decode("utf-8", "surrogatepass"), field.languages[b], float(p[b]))

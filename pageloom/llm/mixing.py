@@ -15,16 +15,17 @@ is at most 1, so projected gradient steps of full length go
     r_i <- max(least, r_i - sum_d p_id (S_d - T_d) / N_d).
 
 A step needs only the domains' present totals ``S_d``: one sum over a narrow table.
-A document's rate follows from the list of steps; it is stored every ``STORED``
-steps, so that the expression stays short.  ``copies`` rounds a rate up or down by a hash of the
+A document's rate follows from the list of steps; it is stored whenever these hold
+``STORED`` numbers, so that the expression stays short.  ``copies`` rounds a rate up or down by a hash of the
 document, which keeps expected totals.
 
 DataFrame operations only.
 
 Size.  Words are counted in the task that reads them; a document's sums and a
 bucket's counts are what is shuffled.  The table of log likelihoods has ``BUCKETS``
-rows and a column per domain (at most ``MOST_DOMAINS``), which bounds the broadcast.
-The driver sees a number per domain and step.
+rows and a column per domain, however many there are: its size is known beforehand, it
+is broadcast up to ``WIDE`` domains and joined by bucket beyond.  The driver sees a
+number per domain and step.
 
 Cases.  Tokens are the runs between blanks that are not empty; a null or empty text
 has none and the prior as posterior.  Without labelled rows there is one domain
@@ -40,12 +41,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pageloom.llm.common import empty_as, if_small, read, stored
 
-BUCKETS, SMOOTHING, MOST_DOMAINS = 1 << 13, 1.0, 64
+BUCKETS, SMOOTHING = 1 << 13, 1.0
+#: Domains whose likelihoods are broadcast (8 bytes for each and bucket).
+WIDE = 512
 #: Targets are natural totals to this power, so rare domains are used more, and
 #: domains of poor texts are worth this share of others.
 POWER, POOR = 0.7, 0.25
 #: Steps at most, and the largest relative miss of a target that ends them.
-STEPS, STORED, CLOSE = 60, 15, 1e-3
+STEPS, STORED, CLOSE = 60, 120, 1e-3
 
 
 def _words(docs: DataFrame, *keep: str) -> DataFrame:
@@ -78,12 +81,7 @@ def learn(rows: DataFrame) -> Classifier:
     """From ``(domain, text)``: counts of hashed words over all rows."""
     counts = _words(rows, "domain").groupBy("domain", "bucket").agg(F.sum("token").alias("n"))
     counts = stored(counts, "counts")
-    totals = sorted(
-        (r[0], r[1]) for r in
-        counts.groupBy("domain").agg(F.sum("n")).limit(MOST_DOMAINS + 1).collect()
-    )
-    if len(totals) > MOST_DOMAINS:
-        raise ValueError(f"more than {MOST_DOMAINS} domains")
+    totals = sorted((r[0], r[1]) for r in counts.groupBy("domain").agg(F.sum("n")).collect())
     if not totals:
         return Classifier(["all"], [0.0], None)
     every = sum(t for _, t in totals) + len(totals)
@@ -113,7 +111,8 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     words = _words(rows, "row", "doc_id", "text_key")
     d = range(len(model.domains))
     if model.table is not None:
-        words = words.join(F.broadcast(model.table), "bucket")  # BUCKETS rows
+        table = F.broadcast(model.table) if len(d) <= WIDE else model.table  # BUCKETS rows
+        words = words.join(table, "bucket")
     sums = [
         F.sum(F.col("token") * (F.col(f"l{i}") if model.table is not None else F.lit(0.0)))
         for i in d
@@ -127,27 +126,35 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
         "doc_id", "text_key", "tokens", *[x.alias(f"g{i}") for i, x in enumerate(logs)]
     )
     top = F.greatest(*[F.col(f"g{i}") for i in d]) if len(d) > 1 else F.col("g0")
-    scored = scored.select(
-        "doc_id", "text_key", "tokens", *[F.exp(F.col(f"g{i}") - top).alias(f"e{i}") for i in d]
+    scored = scored.select("*", top.alias("top")).select(
+        "doc_id", "text_key", "tokens", *[F.exp(F.col(f"g{i}") - F.col("top")).alias(f"e{i}") for i in d]
     )
-    total = sum((F.col(f"e{i}") for i in d), F.lit(0.0))
-    return scored.select(
-        "doc_id", "text_key", "tokens", *[(F.col(f"e{i}") / total).alias(f"p{i}") for i in d]
+    total = added([F.col(f"e{i}") for i in d])
+    return scored.select("*", total.alias("total")).select(
+        "doc_id", "text_key", "tokens", *[(F.col(f"e{i}") / F.col("total")).alias(f"p{i}") for i in d]
     )
 
 
+def added(terms: list[Column]) -> Column:
+    """The sum of any number of terms, as a flat tree: a chain of hundreds is too deep."""
+    while len(terms) > 1:
+        terms = [sum(terms[i + 1 : i + 8], terms[i]) for i in range(0, len(terms), 8)]
+    return terms[0]
+
+
 def rate(steps: list[list[float]], least: float) -> Column:
     """``rate`` after further steps (a number per domain each)."""
     r = F.col("rate")
     for step in steps:
-        move = sum((F.col(f"p{i}") * s for i, s in enumerate(step)), F.lit(0.0))
+        move = added([F.col(f"p{i}") * s for i, s in enumerate(step)])
         r = F.greatest(F.lit(float(least)), r - move)
     return r
 
 
 def totals(members: DataFrame, n: int, r: Column) -> list[float]:
-    sums = [F.sum(F.col("tokens") * F.col(f"p{i}") * r) for i in range(n)]
-    return [float(x or 0) for x in members.agg(*sums).first()]
+    used = members.withColumn("used", F.col("tokens") * r)
+    sums = [F.sum(F.col(f"p{i}") * F.col("used")) for i in range(n)]
+    return [float(x or 0) for x in used.agg(*sums).first()]
 
 
 def by_power(natural: dict[str, float], power: float = POWER) -> dict[str, float]:
@@ -178,7 +185,7 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float] | No
         miss = [abs(s - t) / t if t > 0 else 0.0 for s, t in zip(now, wanted, strict=True)]
         if max(miss) <= CLOSE:
             break
-        if len(steps) == STORED:
+        if steps and (len(steps) + 1) * len(domains) > STORED:
             members = stored(members.withColumn("rate", rate(steps, least)), "rates")
             steps = []
         steps.append([

@@ -6,19 +6,23 @@ span, so any two spans are compared in constant time and the longest common
 extension of two places is found by binary search.
 
 A fingerprint holds the hashes at up to ``MARKS`` evenly spaced places, read from
-the front and from the back, the length, and the least ``MARKS`` hashes of inner
-spans.  Spans are cut where a window of the text says so, so an insertion moves no
-cut but the ones next to it.
+the front and from the back, the length, and the least ``INNER`` hashes of inner
+spans with their number.  Spans are cut where a window of the text says so, so an
+insertion moves no cut but the ones next to it.
 
-The likeness of two texts is the share of the longer one that lies in spans they
-have in common: the common prefix and suffix, and every equal inner span, extended
-to both sides by binary search.  A place counts once in either text.  Both whole
-texts are compared, with all their spans.
+The likeness of two texts follows from their fingerprints alone.  Binary search over
+the places that both mark gives the longest common extension from either end, as a
+share of the longer text; the least hashes of both give, as in any sketch by least
+values, the share of inner spans in common.  The larger counts.  Equal texts have 1.
+The error of the first is a mark's distance (a sixteenth of the text at most), that of
+the second about one in the root of ``INNER``.
 
 Size.  Documents are dealt out by ranges of ``doc_id`` in one exchange; the first
 document of a range is also sent to the range before it, so every document meets
-the next one and nothing is gathered.  The driver sees the bounds and the first
-id of each range.
+the next one and nothing is gathered.  Equal or null ids are one place in the order, and
+follow each other by text hash; the hash is part of the range.  The driver sees the
+bounds and the first row of each range.  A text takes some ten 8-byte numbers for each
+code point while its fingerprint is made, one text at a time.
 
 Cases.  A null text is the empty text; an empty text equals itself and is unlike
 any other.  Null ``doc_id`` come first.  Rows of one ``doc_id`` follow each other
@@ -40,7 +44,7 @@ from pageloom.llm.common import empty_as, read, tasks, text_slices
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 1299721)
-MARKS = 32
+MARKS, INNER = 32, 64
 #: Code points that decide a cut, about how many lie between cuts, and the shortest
 #: span looked up (texts share shorter ones by chance).
 WINDOW, BETWEEN, LEAST_SPAN = 12, 32, 16
@@ -157,76 +161,88 @@ def spacing(n: int) -> int:
     return step
 
 
+#: Bits of a mark and of an inner hash in a fingerprint.
+MARK_BITS, INNER_BITS = 32, 48
+
+
 class Fingerprint:
-    """Marks of one text: ``front[k]`` is the hash of its first ``(k + 1) step``
-    code points (the last of all of them), ``back[k]`` the same from the end; with
-    the prefix hashes of the text and the hashes of its inner spans."""
-
-    def __init__(self, codes: np.ndarray):
-        self.n, self.step = len(codes), spacing(len(codes))
-        self.text = PrefixHash.of(codes)
-        self.front = self._marks(self.text.sums)
-        self.back = self._marks(prefixes(codes[::-1]))
-        self.starts, self.spans = inner_spans(codes, self.text.sums)
-
-    def _marks(self, sums: list[np.ndarray]) -> list[int]:
-        if not self.n:
-            return []
-        places = np.append(np.arange(self.step, self.n, self.step), self.n)
-        one, two = (s[places] for s in sums)
-        return ((one << 31) | two).tolist()
+    """What is kept of one text.
+
+    ``front[k]`` is the hash of its first ``(k + 1) step`` code points (the last of all
+    of them), ``back[k]`` the same from the end; ``whole`` is all bits of the last,
+    ``spans`` the number of different inner spans and ``inner`` the least of their hashes.
+    """
+
+    def __init__(self, n: int, step: int, whole: int, spans: int, front: list[int], back: list[int], inner: list[int]):
+        self.n, self.step, self.whole, self.spans = n, step, whole, spans
+        self.front, self.back, self.inner = front, back, inner
+
+    @classmethod
+    def of(cls, codes: np.ndarray) -> Fingerprint:
+        n, step = len(codes), spacing(len(codes))
+        sums = prefixes(codes)
+        places = np.append(np.arange(step, n, step), n) if n else np.empty(0, np.int64)
+        front, back = (
+            (s[0][places] << 31) | s[1][places] for s in (sums, prefixes(codes[::-1]))
+        )
+        spans = np.unique(inner_spans(codes, sums)[1] & ((1 << INNER_BITS) - 1))
+        low = (1 << MARK_BITS) - 1
+        whole = int(front[-1]) if n else 0
+        return cls(n, step, whole, len(spans), (front & low).tolist(), (back & low).tolist(), spans[:INNER].tolist())
+
+    @classmethod
+    def parsed(cls, text: str) -> Fingerprint:
+        """Of the string that ``str`` gives."""
+        n, step, whole, spans, *parts = text.split(".")
+        sizes = [MARK_BITS // 4, MARK_BITS // 4, INNER_BITS // 4]
+        lists = [[int(x[i : i + k], 16) for i in range(0, len(x), k)] for x, k in zip(parts, sizes, strict=True)]
+        return cls(int(n), int(step), int(whole, 16), int(spans), *lists)
 
     def __str__(self) -> str:
-        inner = np.unique(self.spans)[:MARKS].tolist()
-        parts = ("".join(f"{m:016x}" for m in x) for x in (self.front, self.back, inner))
-        return f"{self.n}.{self.step}.{'.'.join(parts)}"
+        widths = (MARK_BITS // 4, MARK_BITS // 4, INNER_BITS // 4)
+        lists = zip((self.front, self.back, self.inner), widths, strict=True)
+        parts = ["".join(f"{m:0{w}x}" for m in x) for x, w in lists]
+        return ".".join([str(self.n), str(self.step), f"{self.whole:016x}", str(self.spans), *parts])
 
     def likeness(self, other: Fingerprint) -> float:
-        if self.n == other.n and self.front[-1:] == other.front[-1:]:
+        if self.n == other.n and self.whole == other.whole:
             return 1.0
         if not self.n or not other.n:
             return 0.0
-        one, two = sorted((self, other), key=lambda f: (f.n, f.front[-1]))
-        return one._shared(two) / max(self.n, other.n)
-
-    def _shared(self, other: Fingerprint) -> int:
-        """Code points in common spans; ``other`` is not shorter."""
-        a, b = self.text, other.text
-        at = front = a.common(0, b, 0)
-        back = a.before(a.n, b, b.n, a.n - front)
-        end = a.n - back
-        used = np.zeros(b.n + 1, bool)  # places of ``other`` that are counted
-        used[:front] = used[b.n - back :] = True
-        places: dict[int, list[int]] = {}
-        for j in np.flatnonzero(np.isin(other.spans, self.spans))[::-1]:
-            places.setdefault(int(other.spans[j]), []).append(int(other.starts[j]))
-        total = front + back
-        for k in np.flatnonzero(np.isin(self.spans, other.spans)):
-            i, own = int(self.starts[k]), places[int(self.spans[k])]
-            if i < at:
-                continue
-            while own and used[own[-1]]:
-                own.pop()  # the first place left
-            if i >= end or not own:
-                continue
-            j = own[-1]
-            right = min(a.common(i, b, j), end - i)
-            taken = used[j : j + right]
-            right = int(taken.argmax()) if taken.any() else right
-            left = a.before(i, b, j, min(i - at, j))
-            taken = used[j - left : j][::-1]
-            left = int(taken.argmax()) if taken.any() else left
-            used[j - left : j + right] = True
-            total += left + right
-            at = i + right
-        return total
+        longer = max(self.n, other.n)
+        ends = sum(self._extension(other, side) for side in ("front", "back"))
+        ends = min(ends, min(self.n, other.n), longer - 1)
+        return max(ends / longer, self._inner_share(other))
+
+    def _extension(self, other: Fingerprint, side: str) -> int:
+        """Longest common extension from one end, to the last place that both mark."""
+        mine, theirs, step = getattr(self, side), getattr(other, side), max(self.step, other.step)
+        a, b = step // self.step, step // other.step
+        low, high = 0, (min(self.n, other.n) - 1) // step
+        while low < high:
+            mid = (low + high + 1) // 2
+            if mine[mid * a - 1] == theirs[mid * b - 1]:
+                low = mid
+            else:
+                high = mid - 1
+        return low * step
+
+    def _inner_share(self, other: Fingerprint) -> float:
+        """Share of the inner spans of the text with more of them that the other has."""
+        mine, theirs = set(self.inner), set(other.inner)
+        both = sorted(mine | theirs)[:INNER]
+        if not both:
+            return 0.0
+        jaccard = sum(x in mine and x in theirs for x in both) / len(both)
+        common = jaccard * (self.spans + other.spans) / (1 + jaccard)
+        return min(common / max(self.spans, other.spans), 1.0)
 
 
 def row(doc_id: int | None, text: str, own: Fingerprint, after: str, following: Fingerprint):
     """The result row of one document, given the text of the next."""
     tail = len(text) // 4
     edited = text[: len(text) - tail] + after[:tail]
-    new = Fingerprint(code_points(edited))
+    new = Fingerprint.of(code_points(edited))
     digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
     near = own.likeness(new), own.likeness(following)
     return doc_id, len(text), digest, str(own), str(new), *near
@@ -248,7 +264,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, is_tail, text in zip(ids, tails, texts, strict=True):
             if closed:
                 break
-            own = Fingerprint(code_points(text))
+            own = Fingerprint.of(code_points(text))
             if held is not None:
                 out.append(row(*held, text, own))
             held, closed = (doc_id, text, own), is_tail
@@ -264,33 +280,34 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = tasks(spark)
     least = -(1 << 63)
     keyed = docs.select(
-        "doc_id", F.coalesce("doc_id", F.lit(least)).cast("bigint").alias("place"), "text"
+        "doc_id", F.coalesce("doc_id", F.lit(least)).cast("bigint").alias("place"),
+        F.xxhash64(empty_as()).alias("key"), "text",
     )
     shares = F.lit([i / n for i in range(1, n)] or [0.5])
     cuts = keyed.agg(F.percentile_approx("place", shares, max(10_000, 10 * n))).first()[0]
-    bounds = np.unique(np.array(cuts or [], np.int64))
-
-    @F.pandas_udf("int")
-    def range_of(place: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, place.to_numpy(), side="right"))
-
-    firsts = {
-        r[0]: r[1] for r in
-        keyed.groupBy(range_of("place").alias("r")).agg(F.min("place")).collect()
-    }
-    filled = sorted(firsts)
-    before = {firsts[r]: filled[i - 1] for i, r in enumerate(filled)}  # the first follows the last
+    bounds, times = np.unique(np.array(cuts or [], np.int64), return_counts=True)
+    # an id that is several bounds has as many ranges of its own, by text hash
+    parts = np.concatenate([[0], np.where(times > 1, times, 0)])
+    offsets = np.cumsum(parts + 1) - parts - 1
 
     @F.pandas_udf("int")
-    def tail_of(place: pd.Series) -> pd.Series:
-        return place.map(before).fillna(-1).astype("int32")
-
-    main = F.struct(range_of("place").alias("range"), F.lit(False).alias("is_tail"))
-    copy = F.struct(tail_of("place").alias("range"), F.lit(True).alias("is_tail"))
-    dealt = keyed.select("doc_id", "place", "text", F.inline(F.array(main, copy)))
-    dealt = dealt.where("range >= 0").withColumn("key", F.xxhash64(empty_as()))
-    ranged = dealt.repartitionById(len(bounds) + 1, F.col("range"))
-    return ranged.sortWithinPartitions("is_tail", "place", "key").select(
+    def range_of(place: pd.Series, key: pd.Series) -> pd.Series:
+        at = np.searchsorted(bounds, place.to_numpy(), side="right")
+        share = (key.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
+        hot = (at > 0) & (np.append(bounds, 0)[at - 1] == place.to_numpy()) & (parts[at] > 0)
+        inside = np.where(hot, np.minimum(share * parts[at], np.maximum(parts[at] - 1, 0)).astype(int), parts[at])
+        return pd.Series((offsets[at] + inside).astype(np.int32))
+
+    ranged = keyed.withColumn("range", range_of("place", "key"))
+    firsts = ranged.groupBy("range").agg(F.min(F.struct("place", "key")).alias("f")).collect()  # one for each task
+    filled = sorted((r.range, r.f.place, r.f.key) for r in firsts)
+    tails = [(filled[i - 1][0], place, key) for i, (_, place, key) in enumerate(filled)]  # the first follows the last
+    tails = F.broadcast(spark.createDataFrame(tails, "range INT, place BIGINT, key BIGINT"))
+    copies = keyed.join(tails, ["place", "key"]).withColumn("is_tail", F.lit(True))
+    columns = ["range", "is_tail", "place", "key", "doc_id", "text"]
+    both = ranged.withColumn("is_tail", F.lit(False)).select(*columns).unionByName(copies.select(*columns))
+    dealt = both.repartitionById(int(offsets[-1] + parts[-1]) + 1, F.col("range"))
+    return dealt.sortWithinPartitions("is_tail", "place", "key").select(
         "doc_id", "is_tail", "text"
     )
 

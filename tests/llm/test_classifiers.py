@@ -36,13 +36,15 @@ def test_marginals_match_all_paths():
 def test_step_is_the_gradient_of_the_likelihood(monkeypatch):
     field, rng = small_field(1)
     monkeypatch.setattr(crf, "RATE", 1.0)
-    rows = rng.integers(1, crf.ROWS, size=(2, 6, crf.SLOTS))
+    table = crf.Rows([rng.integers(0, crf.ROWS, size=rng.integers(2, 30)).tolist() for _ in range(9)])
+    words = rng.integers(0, 9, size=(2, 6))
+    rows = [[table.of(np.array([w]))[0] for w in own] for own in words]
     gold = rng.integers(0, 3, size=(2, 6))
 
     def loss(moves):
         total = 0.0
         for r, y in zip(rows, gold, strict=True):
-            local = field.weights[r].sum(1)
+            local = np.array([field.weights[x].sum(0) for x in r])
             a = field.first + local[0]
             for t in range(1, 6):
                 a = np.logaddexp.reduce(a[:, None] + moves, axis=0) + local[t]
@@ -57,7 +59,7 @@ def test_step_is_the_gradient_of_the_likelihood(monkeypatch):
         e[i, j] = 1e-5
         numeric[i, j] = (loss(before + e) - loss(before - e)) / 2e-5
     field.sums = [np.zeros_like(x) for x in (field.weights, field.moves, field.first)]
-    field.fit(rows, gold)
+    field.fit(table, words, gold)
     # AdaGrad's first step divides each entry by its own size
     assert np.allclose(field.moves - before, numeric / np.sqrt(numeric**2 + 1e-8), atol=1e-4)
 
@@ -73,6 +75,53 @@ def test_languages_are_found_on_texts_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def plain_prediction(field, text):
+    """One text, word by word: a sum over features, and all moves, without batches."""
+    words = [w for w in crf.words_of(text or "") if crf.has_letter(w)]
+    if not words:
+        return "und", 0.0
+    local = [sum(field.weights[r] for r in crf.features(w, field.lexicon)) for w in words]
+    forward = [field.first + local[0]]
+    for own in local[1:]:
+        forward.append(np.logaddexp.reduce(forward[-1][:, None] + field.moves, axis=0) + own)
+    back = [np.zeros(len(field.languages))]
+    for own in local[:0:-1]:
+        back.append(np.logaddexp.reduce(field.moves + own + back[-1], axis=1))
+    logs = np.array(forward) + np.array(back[::-1])
+    post = np.exp(logs - np.logaddexp.reduce(logs, axis=1)[:, None])
+    mean = post.mean(0)
+    return field.languages[int(mean.argmax())], float(mean.max())
+
+
+def test_languages_are_those_of_one_text_after_the_other(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    field = crf.fit(docs.where(~crf.held_out()))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in crf.identify(docs, field, ["doc_id"]).collect()}
+    for r in docs.collect():
+        lang, score = plain_prediction(field, r.text)
+        assert got[r.doc_id][0] == lang and abs(got[r.doc_id][1] - score) < 1e-6
+
+
+def test_every_character_of_a_word_counts():
+    word = "abcdefghijklmnop"
+    changed = [word[:i] + "z" + word[i + 1 :] for i in range(len(word))]
+    own = set(crf.features(word.encode(), {})[1:])  # without the word itself
+    assert all(set(crf.features(w.encode(), {})[1:]) - own for w in changed)
+    run = "\u0e01\u0e02\u0e03" * 4000
+    cut = crf.words_of("ab " + run + " cd")
+    assert b"".join(cut).decode() == "ab" + run + "cd" and max(len(w.decode()) for w in cut) == crf.PIECE
+
+
+def test_an_unbroken_text_is_labelled_whole(spark):
+    rows = [(i, "abcab" * 300 if i % 2 else "xyzxy" * 300, "aa" if i % 2 else "xx") for i in range(40)]
+    field = crf.fit(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"))
+    labels = crf.label_words(field, "abcab" * 800 + "xyzxy" * 1200)
+    text = "".join(w for w, _, _ in labels)
+    assert len(text) == 10_000
+    share = sum(len(w) for w, lang, _ in labels if lang == "xx") / 10_000
+    assert 0.58 < share < 0.62
+
+
 def test_switches_are_labelled_by_word(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     field = crf.fit(docs)

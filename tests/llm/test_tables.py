@@ -206,7 +206,7 @@ def variants_of(spark, lines):
     """The long lines of a list, one document each, that are alike to an anchor."""
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id BIGINT, text STRING").cache()
     left = templates.several(docs, templates.counted(templates.parsed(docs)))
-    got = templates.variants(left).join(left, "line").select("masked").collect()
+    got = templates.parsed_leaves(left)[0].join(left, "line").select("masked").collect()
     assert len({r.masked for r in got}) == len(got)
     return {r.masked for r in got}
 
@@ -231,10 +231,11 @@ def test_anchors_are_those_of_one_after_the_other(spark, monkeypatch, paired):
     want = {}
     for n in (*sizes, 30):
         want |= greedy([(x, times[x]) for x in lines if len(x.split()) == n])
-    gone = {r.masked for r in templates.variants(left).join(left, "line").select("masked").collect()}
+    variants, anchored = templates.parsed_leaves(left)
+    gone = {r.masked for r in variants.join(left, "line").select("masked").collect()}
     assert gone == {x for x in want if len(x.split()) >= 8} and len(gone) > 50
-    name = {r.template: r.masked for r in left.collect()}
-    short = {name[r.template]: name[r.group] for r in templates.short_templates(left).collect()}
+    name = {r.line: r.masked for r in left.collect()}
+    short = {name[r.line]: name[r.anchor] for r in anchored.collect()}
     assert {a: b for a, b in short.items() if a != b} == {a: b for a, b in want.items() if len(a.split()) < 8}
     assert len(short) > 20
 
