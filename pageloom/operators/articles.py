@@ -5,26 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom import fixed
-from pageloom.operators.sized import is_small, stored_side
+from pageloom.operators.sized import stored_side
 from pageloom.schema import ARTICLE_COLUMNS, AUTHOR_DDL, IMAGE_DDL
 
 
+def latest_pages(pages: DataFrame) -> DataFrame:
+    """``(url, page_id)`` of the latest snapshot of each url; reads narrow columns."""
+    recency = [c for c in ("fetched_at", "page_id") if c in pages.columns]
+    newest = F.max(F.struct(*recency))["page_id"] if len(recency) > 1 else F.max("page_id")
+    return pages.where("url IS NOT NULL").groupBy("url").agg(newest.alias("page_id"))
+
+
 def pending_pages(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """Pages whose url is not among the known links, chosen before any parse.
-
-    Known links of a proven size are broadcast and html stays where it is.
-    Beyond that the urls left to do are found on narrow columns, and html is
-    matched against those: broadcast again if they are few, as in a daily run
-    over a large store, shuffled only if both sides are large (where a url with
-    very many snapshots is split by the adaptive skew join).  A page without a
-    url cannot be stored and is left out.
+    """The latest snapshot of each url that is not among the known links, chosen before
+    any parse.
+
+    ``pages`` needs ``page_id, url, html``, a ``page_id`` naming one snapshot.  The
+    choice is made on narrow columns and stored; html is matched against it, broadcast
+    if it is small, as in a daily run over a large store.  The known links are scanned
+    past the batch.  A page without a url cannot be stored and is left out.
     """
-    pages = pages.where("url IS NOT NULL")
+    found = stored_side(latest_pages(pages), "found")
     links = known.select(F.col("link").alias("url"))
-    if is_small(links):
-        return pages.join(F.broadcast(links), "url", "left_anti")
-    todo = stored_side(pages.select("url").distinct().join(links, "url", "left_anti"), "todo")
-    return pages.join(todo, "url", "left_semi")
+    there = links.join(found.select("url"), "url", "left_semi")
+    todo = stored_side(found.join(there, "url", "left_anti"), "todo")
+    return pages.join(todo, ["url", "page_id"], "left_semi")
 
 
 def hydrate(items: DataFrame, pages: DataFrame) -> DataFrame:
@@ -39,12 +44,9 @@ def hydrate(items: DataFrame, pages: DataFrame) -> DataFrame:
     kind = F.min("type") if "type" in items.columns else F.lit(None).cast("string")
     wanted = items.where("link IS NOT NULL").groupBy("link").agg(kind.alias("item_kind"))
     wanted = stored_side(wanted, "wanted")
-    recency = [c for c in ("fetched_at", "page_id") if c in pages.columns]
     # only snapshots of wanted links are compared
     asked = wanted.select(F.col("link").alias("url"))
-    candidates = pages.select("url", *recency).join(asked, "url", "left_semi")
-    newest = F.max(F.struct(*recency))["page_id"] if len(recency) > 1 else F.max("page_id")
-    latest = candidates.groupBy("url").agg(newest.alias("page_id"))
+    latest = latest_pages(pages.join(asked, "url", "left_semi"))
     chosen = wanted.join(latest, wanted["link"] == latest["url"]).select(
         "page_id", "url", "item_kind"
     )

@@ -1,4 +1,4 @@
-"""The article store: known links, idempotent appends."""
+"""The article store: known links, appends that store a link once."""
 
 from __future__ import annotations
 
@@ -9,10 +9,19 @@ from pageloom.operators.frontier import stored_among, without_known
 from pageloom.operators.sized import build_side
 from pageloom.schema import ARTICLE, ARTICLE_COLUMNS
 from pageloom.session import stored
+from pageloom.sources import files
+from pageloom.sources.ledger import Ledger
+
+
+def articles_at(spark: SparkSession, path: str) -> Ledger:
+    return Ledger(spark, path, ARTICLE)
 
 
 def read_store(spark: SparkSession, path: str, schema: str = ARTICLE) -> DataFrame:
-    """The store's rows; a store that was never written is empty."""
+    """The store's rows; a store that was never written is empty.  Any other folder of
+    parquet files is read as it lies."""
+    if files.names(spark, f"{path}/ledger"):
+        return Ledger(spark, path, schema).rows()
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
@@ -26,7 +35,7 @@ def known_links(spark: SparkSession, path: str, schema: str = ARTICLE) -> DataFr
     return read_store(spark, path, schema).select("link")
 
 
-def write_articles(articles: DataFrame, path: str) -> None:
+def write_articles(articles: DataFrame, path: str, batch: str | None = None) -> None:
     """Append the articles whose link is not in the store yet.
 
     Running the same input again adds nothing.  A stored link is never replaced,
@@ -34,9 +43,11 @@ def write_articles(articles: DataFrame, path: str) -> None:
     link in the input the latest published (then updated) is kept, ties by a hash
     of the record.
 
-    Records are written once to the shared folder; which of them go on is decided
-    on narrow columns, with the store scanned past the batch.  Contents are neither
-    sorted nor, while the choice is small enough to be broadcast, moved.
+    For records from anywhere: they are written once to the shared folder; which of
+    them go on is decided on narrow columns, with the store scanned past the batch.
+    Contents are neither sorted nor, while the choice is small enough to be broadcast,
+    moved.  Pages that were chosen by ``pending_pages`` need none of that:
+    ``plans.ingest`` writes their records once.
     """
     row = F.monotonically_increasing_id().alias("row")
     parsed = stored(articles.where("link IS NOT NULL").select(*ARTICLE_COLUMNS, row), "parsed")
@@ -47,7 +58,10 @@ def write_articles(articles: DataFrame, path: str) -> None:
         .groupBy("link").agg(F.max(rank)["row"].alias("row"))
     )
     newest = stored(newest, "newest")
-    known = known_links(articles.sparkSession, path)
-    fresh = stored(without_known(newest, stored_among(newest, known)).select("row"), "fresh")
-    chosen = parsed.join(build_side(fresh), "row", "left_semi")
-    chosen.select(*ARTICLE_COLUMNS).write.mode("append").partitionBy("source").parquet(path)
+
+    def fresh(there: DataFrame) -> DataFrame:
+        known = there.select("link")
+        rows = stored(without_known(newest, stored_among(newest, known)).select("row"), "fresh")
+        return parsed.join(build_side(rows), "row", "left_semi").select(*ARTICLE_COLUMNS)
+
+    articles_at(articles.sparkSession, path).add(fresh, batch)

@@ -301,6 +301,19 @@ SELECT page_id, len(regexp_extract_all(split_part(html, '<h1>', 1), '<a href='))
         "htm_outermost": _with(
             "SELECT page_id, count(*)::BIGINT AS n_items FROM doc GROUP BY page_id"
         ),
+        "htm_outermost_rows": _with(
+            "SELECT page_id, count(*)::BIGINT AS n_items FROM doc GROUP BY page_id"
+        ),
+        "htm_subtree_rows": _with(
+            """SELECT page_id, (count(*) + count(*) FILTER (WHERE n_chars % 4 <> 0))::BIGINT AS n_links,
+       (count(*) + count(*) FILTER (WHERE n_chars % 9 = 0))::BIGINT AS n_articles,
+       (count(*) + 2 * count(*) FILTER (WHERE n_chars % 9 = 0))::BIGINT AS n_pairs FROM doc GROUP BY page_id"""
+        ),
+        "htm_outermost_until": _with(
+            """SELECT page_id, count(*)::BIGINT AS n_items FROM (SELECT page_id, coalesce(sum(CASE WHEN n_chars % 3 = 2 THEN 1 ELSE 0 END)
+       OVER (PARTITION BY page_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS videos FROM doc)
+WHERE videos = 0 GROUP BY page_id"""
+        ),
         "htm_rule_dispatch": _with(
             """SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i, k) - 1 AS at, rule FROM (
   SELECT doc_id AS page_id, i, unnest(rules) AS rule, generate_subscripts(rules, 1) AS k FROM (
@@ -431,6 +444,20 @@ FROM line WHERE kind_b = 'Article' GROUP BY doc_id"""
        THEN 'next' ELSE 'rest' END AS state FROM listed WHERE link NOT IN (SELECT link FROM known)""",
             *listing, KNOWN,
         ),
+        "rel_new_links_store": _with("SELECT * FROM listed WHERE link NOT IN (SELECT link FROM known)", *listing, KNOWN),
+        "rel_queue_rounds": _with(
+            """SELECT source, link, published_s, 1 AS taken FROM first UNION ALL SELECT source, link, published_s, 2 FROM second
+UNION ALL SELECT source, link, published_s, 3 FROM third
+UNION ALL SELECT source, link, published_s, 0 FROM turns WHERE (source, link) NOT IN (
+  SELECT (source, link) FROM first UNION ALL SELECT (source, link) FROM second UNION ALL SELECT (source, link) FROM third)""",
+            *listing,
+            "turns AS (SELECT *, coalesce(published_s // 60 % 3, 0) AS turn FROM listed)",
+            "first AS (SELECT * FROM turns WHERE turn = 0 ORDER BY published_s DESC NULLS LAST, link, source LIMIT 100)",
+            "second AS (SELECT * FROM turns WHERE turn <= 1 AND (source, link) NOT IN (SELECT (source, link) FROM first) "
+            "ORDER BY published_s DESC NULLS LAST, link, source LIMIT 100)",
+            "third AS (SELECT * FROM turns WHERE (source, link) NOT IN (SELECT (source, link) FROM first "
+            "UNION ALL SELECT (source, link) FROM second) ORDER BY published_s DESC NULLS LAST, link, source LIMIT 100)",
+        ),
         "rel_hydrate": _with(
             """SELECT doc_id AS page_id, link_b AS link, CASE n_chars % 3 WHEN 0 THEN 'Article' WHEN 1 THEN 'Photo' ELSE 'Video' END AS kind,
        trim(title || ' - Berita', ' ' || chr(9)) AS headline FROM doc"""
@@ -460,5 +487,15 @@ UNION ALL SELECT sha256(d.link_b), r.pos, r.title, r.article_link, r.thumb_url F
         # streaming
         "str_poll": _with("SELECT source, link, max(published_s) AS published_s FROM listed GROUP BY ALL", *listing),
         "str_dedup": "SELECT DISTINCT 'Detik.com' AS source, 'https://news.detik.com/berita/d-' || user_id AS link FROM events",
+        "str_sightings": """
+WITH shown AS (SELECT 'https://news.detik.com/berita/d-' || user_id AS link, epoch_us(ts) // 1000 AS ms, event_id % 3 = 0 AS last FROM events),
+mark AS (SELECT max(ms) - 86400000 AS low FROM shown WHERE NOT last),
+before AS (SELECT link, min(ms) AS ms FROM shown WHERE NOT last GROUP BY link)
+SELECT link, ms AS seen_ms, false AS late FROM before
+UNION ALL SELECT link, ms, true FROM shown, mark WHERE last AND ms < low
+UNION ALL SELECT link, min(ms), false FROM shown, mark WHERE last AND ms >= low AND link NOT IN (SELECT link FROM before) GROUP BY link""",
+        "str_without_stored": """
+SELECT event_id, 'https://news.detik.com/berita/d-' || user_id AS link FROM events
+WHERE user_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""",
     }
     return {name: sql.strip() for name, sql in out.items()}

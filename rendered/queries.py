@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pageloom import fixed
-from pageloom.operators import articles as art, frontier as fr, tree as t
+from pageloom.operators import articles as art, frontier as fr, rows, tree as t
+from pageloom.operators.queue import Queue
 from pageloom.plans import sites
 from pageloom.plans.article_b import CONTENT_RULES, is_page_item, parts_b
+from pageloom.plans.ingest import store_pages
 from pageloom.plans.trees import node_table, page_trees
 from pageloom.session import shared_dir, stored
 from pageloom.sources.channels import with_base_url
+from pageloom.sources.links import LinkStore
 from pageloom.sources.pages import read_pages, spread, status_gate
-from pageloom.sources.store import known_links, read_store, write_articles
-from pageloom.streaming.dedup import first_sightings, late_rows
+from pageloom.sources.store import known_links, read_store
+from pageloom.streaming.dedup import first_sightings, late_rows, sightings, without_stored
 from pageloom.streaming.poll import frontier_rows, poll
 from rendered import pages as render
 
@@ -181,16 +186,14 @@ def _canonical_row(df: DataFrame) -> DataFrame:
 
 
 def snk_articles(spark, sf):
-    """Stored twice, read back: the second write must add nothing."""
+    """Stored twice, read back: the second round must add nothing."""
     store = shared_dir(spark, "articles")
     for _ in range(2):
-        stored = known_links(spark, store)
-        fresh_a = art.pending_pages(_rendered(render.articles_a)(spark, sf), stored)
-        fresh_b = art.pending_pages(_rendered(render.articles_b)(spark, sf), stored)
-        articles = sites.canonical_articles(fresh_a, fixed.SOURCE_A).unionByName(
-            sites.canonical_articles(fresh_b, fixed.SOURCE_B)
-        )
-        write_articles(articles, store)
+        pages = {
+            fixed.SOURCE_A: _rendered(render.articles_a)(spark, sf),
+            fixed.SOURCE_B: _rendered(render.articles_b)(spark, sf),
+        }
+        store_pages(spark, store, pages)
     return _canonical_row(read_store(spark, store))
 
 
@@ -244,6 +247,45 @@ def htm_subtree(spark, sf):
     )
 
 
+def _listing_nodes(spark, sf):
+    return node_table(page_trees(_rendered(render.listing_b)(spark, sf), "page_id"))
+
+
+def _is(tag: str) -> Column:
+    return (F.col("kind") == "element") & (F.col("tag") == tag)
+
+
+def htm_outermost_rows(spark, sf):
+    """``htm_outermost`` on the node table."""
+    nodes = _listing_nodes(spark, sf).select("page_id", "pre", "fin", "kind", "attrs")
+    item = (F.col("kind") == "element") & (F.col("attrs")["class"] == fixed.B_LIST_ITEM)
+    found = rows.outermost(nodes.where(item)).groupBy("page_id").agg(F.count("*").alias("n_items"))
+    pages = nodes.where("pre = 0").select("page_id")
+    return pages.join(found, "page_id", "left").select("page_id", F.coalesce("n_items", F.lit(0)).alias("n_items"))
+
+
+def htm_subtree_rows(spark, sf):
+    """Links and articles inside listing items, on the node table: once each, and the
+    articles of every item, where those of nested items count for both."""
+    nodes = _listing_nodes(spark, sf).select("page_id", "pre", "fin", "kind", "tag", "attrs")
+    nodes = stored(nodes, "nodes")  # several uses of one parse
+    items = nodes.where((F.col("kind") == "element") & (F.col("attrs")["class"] == fixed.B_LIST_ITEM))
+    inside = rows.within(nodes.where(_is("a") | _is("article")), items).groupBy("page_id").agg(
+        F.count_if(F.col("tag") == "a").alias("n_links"), F.count_if(F.col("tag") == "article").alias("n_articles")
+    )
+    each = rows.subtrees(nodes.where(_is("article")), items).groupBy("page_id").agg(F.count("*").alias("n_pairs"))
+    return inside.join(each, "page_id")
+
+
+def htm_outermost_until(spark, sf):
+    """Listing items up to the first that is a video: the scan skips the inside of each
+    item and gives up there."""
+    is_item = t.match(attrs={"class": fixed.B_LIST_ITEM})
+    items = t.outermost_until("nodes", is_item, t.match(attrs={"data-type": "Video"}))
+    trees = page_trees(_rendered(render.listing_b)(spark, sf), "page_id")
+    return trees.selectExpr("page_id", f"{_size(items)} AS n_items")
+
+
 def htm_rule_dispatch(spark, sf):
     """Every claimed block node with its place and the rule that claimed it."""
     hits = parts_b(trees_b(spark, sf)).where("kind = 'Article'").select(
@@ -368,6 +410,27 @@ def rel_frontier_take(spark, sf):
     )
 
 
+def rel_new_links_store(spark, sf):
+    """Against a store in hash buckets behind its filters, filled in two appends."""
+    store, there = LinkStore(spark, shared_dir(spark, "links")), known(spark, sf)
+    for part in range(2):
+        rows_ = there.where(F.pmod(F.crc32(F.col("link").cast("binary")), F.lit(2)) == part)
+        store.add(rows_.selectExpr("'-' AS source", "link", "CAST(NULL AS TIMESTAMP) AS published_at"))
+    return _frontier_row(store.unseen(listed(spark, sf)))
+
+
+def rel_queue_rounds(spark, sf):
+    """Three rounds: a third of the links is added, then the next 100 are taken."""
+    items = stored(listed(spark, sf), "listed")
+    turn = F.coalesce(F.pmod(F.expr("unix_seconds(published_at) DIV 60"), F.lit(3)), F.lit(0))
+    queue, out = Queue(spark, shared_dir(spark, "queue")), []
+    for number in range(3):
+        queue.add(items.where(turn == number))
+        out.append(_frontier_row(queue.take(100), F.lit(number + 1).alias("taken")))
+    out.append(_frontier_row(queue.rest(), F.lit(0).alias("taken")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def rel_hydrate(spark, sf):
     pages = _rendered(render.articles_b)(spark, sf)
     found = sites.articles_of(items_b(spark, sf), pages, fixed.SOURCE_B)
@@ -457,6 +520,42 @@ def str_dedup(spark, sf):
     return spark.read.schema("source STRING, link STRING, seen_at TIMESTAMP").parquet(out).select("source", "link")
 
 
+def _link_of_user(name: str = "link") -> Column:
+    return F.concat(F.lit("https://news.detik.com/berita/d-"), F.col("user_id").cast("string")).alias(name)
+
+
+def str_sightings(spark, sf):
+    """Events in two drops, the second out of time: first sightings, and late rows as rows."""
+    shown, out, checkpoint = (shared_dir(spark, p) for p in ("shown", "sightings", "late"))
+    events = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.lit(fixed.SOURCE_A).alias("source"), _link_of_user(), F.col("ts").cast("timestamp").alias("seen_at"),
+        (F.col("event_id") % 3 == 0).alias("last"),
+    )
+    schema = "source STRING, link STRING, seen_at TIMESTAMP"
+    for part in ("NOT last", "last"):
+        events.where(part).drop("last").write.mode("append").parquet(shown)
+        found = sightings(spark.readStream.schema(schema).parquet(shown), timedelta(days=36_500), "1 day")
+        found.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(
+            availableNow=True
+        ).start(out).awaitTermination()
+    return spark.read.schema(f"{schema}, late BOOLEAN").parquet(out).select(
+        "link", F.unix_millis("seen_at").alias("seen_ms"), "late"
+    )
+
+
+def str_without_stored(spark, sf):
+    """Links of the event stream that are not stored, each as often as it is shown: a join
+    of the stream with a table.  Links of the labelled documents count as stored."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    there = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("user_id")).select(_link_of_user())
+    out, checkpoint = shared_dir(spark, "fresh"), shared_dir(spark, "without")
+    without_stored(stream.select("event_id", _link_of_user()), there).writeStream.format("parquet").option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("link STRING, event_id BIGINT").parquet(out).select("event_id", "link")
+
+
 def all_queries() -> dict[str, Query]:
     a, b = articles_of_a, articles_of_b
     return {
@@ -476,6 +575,9 @@ def all_queries() -> dict[str, Query]:
         ),
         "htm_outermost": htm_outermost,
         "htm_subtree": htm_subtree,
+        "htm_outermost_rows": htm_outermost_rows,
+        "htm_subtree_rows": htm_subtree_rows,
+        "htm_outermost_until": htm_outermost_until,
         "htm_rule_dispatch": htm_rule_dispatch,
         "htm_text": _on_pages(f"{t.text('nodes', _H1)} AS heading"),
         "htm_outer_html": htm_outer_html,
@@ -543,6 +645,8 @@ def all_queries() -> dict[str, Query]:
         "rel_new_links": rel_new_links,
         "rel_frontier_sort": rel_frontier_sort,
         "rel_frontier_take": rel_frontier_take,
+        "rel_new_links_store": rel_new_links_store,
+        "rel_queue_rounds": rel_queue_rounds,
         "rel_hydrate": rel_hydrate,
         "rel_canonical": lambda spark, sf: _canonical_row(canonical(spark, sf)),
         "rel_contents": rel_contents,
@@ -551,4 +655,6 @@ def all_queries() -> dict[str, Query]:
         "rel_related": rel_related,
         "str_poll": str_poll,
         "str_dedup": str_dedup,
+        "str_sightings": str_sightings,
+        "str_without_stored": str_without_stored,
     }

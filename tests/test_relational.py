@@ -128,15 +128,14 @@ def test_store_is_idempotent_and_keeps_the_first(spark, records):
 @pytest.mark.parametrize("limit", [sized.BROADCAST_BYTES, -1])
 def test_pending_and_hydrate_on_both_join_ways(spark, monkeypatch, limit):
     """Small sides are broadcast; past the limit the other way gives the same."""
-    monkeypatch.setattr(art, "is_small", lambda df: sized.narrow_bytes(df) <= limit)
-    monkeypatch.setattr(sized, "is_small", lambda df: sized.narrow_bytes(df) <= limit)
+    monkeypatch.setattr(sized, "BROADCAST_BYTES", limit)
     pages = spark.createDataFrame(
         [(1, "u", "old", datetime(2024, 1, 1)), (2, "u", "new", datetime(2024, 1, 2)), (3, "v", "h", None), (4, "w", "h", None),
          (5, None, "h", None)],
         "page_id BIGINT, url STRING, html STRING, fetched_at TIMESTAMP",
     )
     known = spark.createDataFrame([("v",)], "link STRING")
-    assert sorted(r.page_id for r in art.pending_pages(pages, known).collect()) == [1, 2, 4]
+    assert sorted(r.page_id for r in art.pending_pages(pages, known).collect()) == [2, 4]
     items = spark.createDataFrame(
         [("u", "Photo"), ("u", "Photo"), ("v", None), ("gone", "Article"), (None, "Article")], "link STRING, type STRING"
     )

@@ -1,0 +1,120 @@
+"""Tree operators on the node table against the array form and plain walks."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from pageloom.operators import rows, tree as t
+from pageloom.plans.trees import node_table
+from tests.test_plans import plan_of
+
+NODES = "page_id BIGINT, pre INT, fin INT, tag STRING"
+
+
+def random_tree(rng, size):
+    """``(pre, fin, tag)`` of a random tree in page order."""
+    out, stack = [], []
+    for pre in range(size):
+        while stack and rng.random() < 0.35:
+            out[stack.pop()][1] = pre - 1
+        stack.append(len(out))
+        out.append([pre, size - 1, rng.choice("abc")])
+    return [tuple(n) for n in out]
+
+
+@pytest.fixture(scope="module")
+def forest():
+    rng = random.Random(9)
+    return {p: random_tree(rng, rng.randint(1, 90)) for p in range(25)}
+
+
+@pytest.fixture(scope="module")
+def nodes(spark, forest):
+    flat = [(p, *n) for p, tree in forest.items() for n in tree]
+    random.Random(1).shuffle(flat)
+    return spark.createDataFrame(flat, NODES).repartition(5).cache()
+
+
+def walk_outermost(tree, tag):
+    out, end = [], -1
+    for pre, fin, name in tree:
+        if pre > end and name == tag:
+            out.append(pre)
+            end = fin
+    return out
+
+
+def test_outermost(nodes, forest):
+    got = {(r.page_id, r.pre) for r in rows.outermost(nodes.where("tag = 'a'")).collect()}
+    assert got == {(p, x) for p, tree in forest.items() for x in walk_outermost(tree, "a")}
+    assert len(got) > 30
+
+
+def test_walk_until_and_abort(nodes, forest):
+    got = {(r.page_id, r.pre) for r in rows.walk_until(nodes, F.col("tag") == "b").collect()}
+    want = set()
+    for p, tree in forest.items():
+        for pre, _, tag in tree:
+            want.add((p, pre))
+            if tag == "b":
+                break
+    assert got == want
+    hits = nodes.where("tag != 'c'")
+    got = {(r.page_id, r.pre) for r in rows.outermost_until(hits, F.col("tag") == "b").collect()}
+    want = set()
+    for p, tree in forest.items():
+        tags, end = {n[0]: n[2] for n in tree}, -1
+        for pre, fin, tag in tree:
+            if tag != "c" and pre > end:
+                want.add((p, pre))
+                end = fin
+                if tags[pre] == "b":
+                    break
+    assert got == want
+
+
+def test_within_and_subtrees(nodes, forest):
+    roots = nodes.where("tag = 'a'")
+    want = {
+        (p, a[0], n[0]) for p, tree in forest.items() for a in tree if a[2] == "a" for n in tree if a[0] <= n[0] <= a[1]
+    }
+    for chunk in (3, 1024):
+        pairs = [(r.page_id, r.root, r.pre) for r in rows.subtrees(nodes, roots, chunk).collect()]
+        assert len(pairs) == len(want) and set(pairs) == want
+    once = [(r.page_id, r.pre, r.tag) for r in rows.within(nodes, roots).collect()]
+    assert sorted(once) == sorted({(p, n, forest[p][n][2]) for p, _, n in want})
+    assert rows.within(nodes, roots.limit(0)).isEmpty() and rows.subtrees(nodes.limit(0), roots).isEmpty()
+
+
+def test_rows_equal_arrays(trees_of):
+    trees = trees_of("<div><p>a<div><p>b</div><h2>x</h2><p>c</div><p>d", "<p>", "")
+    table = node_table(trees)
+    is_div, is_p = t.match("div"), t.match("p")
+    in_div = f"size(flatten(transform({t.outermost('nodes', is_div)}, d -> {t.find_all(t.subtree("nodes", "d"), is_p)})))"
+    want = {r.page_id: r.n for r in trees.selectExpr("page_id", f"{in_div} AS n").collect() if r.n > 0}
+    divs, ps = (table.where((F.col("kind") == "element") & (F.col("tag") == x)) for x in ("div", "p"))
+    got = rows.within(ps.select("page_id", "pre", "fin"), divs).groupBy("page_id").count()
+    assert {r.page_id: r["count"] for r in got.collect()} == want
+
+
+def test_one_exchange_and_no_product(nodes):
+    hits = nodes.where("tag = 'a'")
+    for frame in (rows.outermost(hits), rows.walk_until(nodes, F.col("tag") == "b")):
+        plan = plan_of(frame)
+        assert plan.count("Exchange hashpartitioning(page_id") == 1 and plan.count("Exchange") == 1
+    for frame in (rows.within(nodes, hits), rows.subtrees(nodes, hits)):
+        plan = plan_of(frame)
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "Join" not in plan_of(rows.within(nodes, hits))
+
+
+def test_a_page_of_nested_hits_is_linear(spark):
+    """100,000 hits inside each other, and as many side by side."""
+    import time
+
+    deep = spark.range(100_000).selectExpr("1L AS page_id", "CAST(id AS INT) AS pre", "200000 - CAST(id AS INT) AS fin")
+    flat = spark.range(100_000).selectExpr("2L AS page_id", "CAST(id AS INT) AS pre", "CAST(id AS INT) AS fin")
+    start = time.perf_counter()
+    got = {r.page_id: r["count"] for r in rows.outermost(deep.unionByName(flat)).groupBy("page_id").count().collect()}
+    assert got == {1: 1, 2: 100_000} and time.perf_counter() - start < 30
