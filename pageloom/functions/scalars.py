@@ -9,7 +9,7 @@ through the Column API took seconds.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from itertools import count
 from types import SimpleNamespace
 
@@ -122,6 +122,17 @@ def rfc3339(x: str) -> str:
     )
 
 
+def known_keys(json: str, names: Sequence[str]) -> str:
+    """JSON text whose keys of these names, in any case, are written as given.
+
+    A quoted name before a colon is a key: inside a string its quotes are escaped, and
+    the closing one then follows a backslash.
+    """
+    for name in names:
+        json = rf"""regexp_replace({json}, r'(?i)"{name}"(?=\s*:)', '"{name}"')"""
+    return json
+
+
 _ESCAPES = [("&", "&amp;"), ("'", "&#39;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("\r", "&#13;")]
 
 

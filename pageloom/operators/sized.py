@@ -38,13 +38,14 @@ def build_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
-def stored_side(df: DataFrame, purpose: str) -> DataFrame:
+def stored_side(df: DataFrame, purpose: str, limit: int | None = None) -> DataFrame:
     """``df`` stored, as the hashed side of joins: marked for a broadcast if it is small.
 
     The size is measured while the table is written, so no further job is needed.
+    Give a lower ``limit`` where many such tables are broadcast one after another.
     """
     seen = Observation()
     size = F.sum(row_bytes(df)).alias("bytes")
     table = stored(df.observe(seen, size), purpose)
-    small = (seen.get.get("bytes") or 0) <= BROADCAST_BYTES
+    small = (seen.get.get("bytes") or 0) <= (BROADCAST_BYTES if limit is None else limit)
     return F.broadcast(table) if small else table

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom import fixed
 from pageloom.functions.scalars import (
-    absent, case, keep, let, lets, lit, mapped, positive, rfc3339, strict_int, ws_trim,
+    absent, case, keep, known_keys, let, lets, lit, mapped, positive, rfc3339, strict_int, ws_trim,
 )
 from pageloom.operators import tree as t
 from pageloom.plans import blocks as b
@@ -242,6 +242,13 @@ def parts_a(trees: DataFrame) -> DataFrame:
     )
 
 
+#: The members that are read from a page's JSON.
+_JSON_KEYS = (
+    "headline", "description", "datePublished", "dateModified", "image", "contentLocation", "video", "name",
+    "contentUrl", "embedUrl", "thumbnailUrl",
+)
+
+
 def article_a(trees: DataFrame) -> DataFrame:
     """``page_id, link, kind, headline, headline_image, description, author,
     published_from, published_at, updated_at, duration, contents, related``."""
@@ -257,6 +264,8 @@ def article_a(trees: DataFrame) -> DataFrame:
 
     scripts = mapped(t.nodes_of("top", "jsonld"), lambda s: t.text("nodes", s))
     news = f"get({keep(scripts, lambda s: f'rlike({s}, r{chr(39)}{fixed.A_JSON_NEWS}{chr(39)})')}, 0)"
+    # keys count in any case; a text that then has a key twice is read as it stands
+    named = known_keys("news_text", _JSON_KEYS)
     duration = case(
         (
             f"kind = {_VIDEO}",
@@ -289,7 +298,8 @@ def article_a(trees: DataFrame) -> DataFrame:
     }
     return (
         parts_a(trees)
-        .select("*", F.expr(f"try_parse_json({news})").alias("news"))
+        .select("*", F.expr(news).alias("news_text"))
+        .select("*", F.expr(f"coalesce(try_parse_json({named}), try_parse_json(news_text))").alias("news"))
         .select(
             "page_id",
             F.col("url").alias("link"),

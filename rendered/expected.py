@@ -315,8 +315,12 @@ SELECT page_id, len(regexp_extract_all(split_part(html, '<h1>', 1), '<a href='))
 WHERE videos = 0 GROUP BY page_id"""
         ),
         "htm_rule_dispatch": _with(
-            """SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i, k) - 1 AS at, rule FROM (
-  SELECT doc_id AS page_id, i, unnest(rules) AS rule, generate_subscripts(rules, 1) AS k FROM (
+            """SELECT page_id, 'page' AS level, unnest(range(len(rules))) AS at, unnest(rules) AS rule FROM (
+  SELECT doc_id AS page_id, ['title', 'description', 'published', 'updated'] || CASE WHEN n_chars % 7 = 6 THEN [] ELSE ['author'] END
+    || CASE WHEN kind_b = 'Photo' THEN ['slider'] ELSE ['main'] END AS rules FROM doc)
+UNION ALL SELECT page_id, 'block', row_number() OVER (PARTITION BY page_id ORDER BY i, k) - 1, rule FROM (
+  SELECT doc_id AS page_id, -1 AS i, 'top' AS rule, 1 AS k FROM doc WHERE kind_b = 'Article' AND n_chars % 8 <> 4
+  UNION ALL SELECT doc_id, i, unnest(rules), generate_subscripts(rules, 1) FROM (
     SELECT doc_id, i, CASE i % 6 WHEN 2 THEN ['section'] WHEN 3 THEN ['image'] WHEN 4 THEN ['skip']
       WHEN 5 THEN ['skip', 'skip', 'image'] ELSE ['paragraph'] END AS rules
     FROM line WHERE kind_b = 'Article'))"""
@@ -479,6 +483,10 @@ UNION ALL SELECT source, link, published_s, 0 FROM turns WHERE (source, link) NO
        ref_link AS article_link, img_w AS width FROM site_blocks""",
             BLOCKS_A, BLOCKS_B, _BLOCKS_BOTH,
         ),
+        "rel_block_store": _with(
+            "SELECT id, pos, type, ref_link AS article_link, ref_headline AS headline FROM site_blocks",
+            BLOCKS_A, BLOCKS_B, _BLOCKS_BOTH,
+        ),
         "rel_related": _with(
             """SELECT sha256(d.link_a) AS id, r.pos, r.title, r.article_link, NULL::VARCHAR AS thumb_url FROM related_a r JOIN doc d ON d.doc_id = r.doc_id
 UNION ALL SELECT sha256(d.link_b), r.pos, r.title, r.article_link, r.thumb_url FROM related_b r JOIN doc d ON d.doc_id = r.doc_id""",

@@ -16,6 +16,7 @@ from pageloom.plans.article_b import CONTENT_RULES, is_page_item, parts_b
 from pageloom.plans.ingest import store_pages
 from pageloom.plans.trees import node_table, page_trees
 from pageloom.session import shared_dir, stored
+from pageloom.sources.blocks import read_blocks, write_blocks
 from pageloom.sources.channels import with_base_url
 from pageloom.sources.links import LinkStore
 from pageloom.sources.pages import read_pages, spread, status_gate
@@ -287,11 +288,15 @@ def htm_outermost_until(spark, sf):
 
 
 def htm_rule_dispatch(spark, sf):
-    """Every claimed block node with its place and the rule that claimed it."""
-    hits = parts_b(trees_b(spark, sf)).where("kind = 'Article'").select(
-        "page_id", F.posexplode(F.expr("filter(claimed, h -> h.rule != 'top')")).alias("at", "hit")
-    )
-    return hits.selectExpr("page_id", "CAST(at AS BIGINT) AS at", "hit.rule AS rule")
+    """Every claimed node of every page with its place and the rule that claimed it: by
+    the rules of the page, and inside its main part by those of blocks."""
+
+    def hits(level: str, array: str) -> str:
+        made = f"transform({array}, (h, i) -> named_struct('level', '{level}', 'at', CAST(i AS BIGINT), 'rule', h.rule))"
+        return f"coalesce({made}, array())"
+
+    both = f"concat({hits('page', 'top')}, {hits('block', 'claimed')})"
+    return parts_b(trees_b(spark, sf)).select("page_id", F.inline(F.expr(both)))
 
 
 def htm_outer_html(spark, sf):
@@ -475,6 +480,14 @@ def rel_block_json(spark, sf):
     )
 
 
+def rel_block_store(spark, sf):
+    """Payloads stored as shredded VARIANT; two members read back by path."""
+    store = shared_dir(spark, "blocks")
+    write_blocks(art.block_variant(_flat_blocks(spark, sf)), store)
+    got = read_blocks(spark, store, {"article_link": "$.article_link", "headline": "$.headline"})
+    return got.select("id", _pos(), "type", "article_link", "headline")
+
+
 def rel_related(spark, sf):
     return art.related_links(canonical(spark, sf)).select(
         "id", _pos(), "title", "article_link", F.col("thumbnail.url").alias("thumb_url")
@@ -652,6 +665,7 @@ def all_queries() -> dict[str, Query]:
         "rel_contents": rel_contents,
         "rel_typed_block": rel_typed_block,
         "rel_block_json": rel_block_json,
+        "rel_block_store": rel_block_store,
         "rel_related": rel_related,
         "str_poll": str_poll,
         "str_dedup": str_dedup,

@@ -127,6 +127,18 @@ def test_article_a_blocks(trees_of):
     assert got[8]["kind"] is None and got[8]["contents"] == []
 
 
+def test_json_keys_in_any_case(trees_of):
+    pages = [
+        news('"HeadLine" : "H", "datepublished": "2024-02-03T04:05:06Z", "IMAGE": {"ContentLocation": "Bali"}'),
+        news('"headline": "H", "description": "he said \\"Headline\\": no", "Description2": "x"'),
+        news('"headline": "exact", "HEADLINE": "other"'),  # twice: read as it stands
+    ]
+    got = rows(article_a(trees_of(*pages)))
+    assert got[0]["headline"] == "H" and got[0]["published_at"] is not None
+    assert got[1]["headline"] == "H" and got[1]["description"] == 'he said "Headline": no'
+    assert got[2]["headline"] == "exact"
+
+
 def test_article_a_metadata(trees_of):
     video = '"video": {"name": "n", "contentUrl": "c"}, "headline": "H"'
     pages = [

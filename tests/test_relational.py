@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from pageloom.session import shared_dir
 from pageloom.plans.sites import articles_of
 from pageloom.sources.channels import channel_pages, channels, with_base_url
 from pageloom.sources.pages import PAGE_MIN, read_pages, spread, status_gate
+from pageloom.sources.blocks import read_blocks, write_blocks
 from pageloom.sources.store import known_links, read_store, write_articles
 from tests.test_extract import news, page_b, single
 
@@ -192,3 +194,28 @@ def test_spread_only_touches_small_inputs(spark):
     few, many = spark.range(100, numPartitions=2), spark.range(100, numPartitions=64)
     assert spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(many, "id") is many
+
+
+def test_blocks_are_stored_shredded_and_read_by_path(spark, records):
+    path = shared_dir(spark, "blocks")
+    blocks = art.block_variant(art.contents(records))
+    write_blocks(blocks, path)
+    write_blocks(blocks.limit(0), path)
+    got = read_blocks(spark, path, {"whole": "$", "url": "$.url"})
+    want = blocks.selectExpr("id", "link", "pos", "type", "try_variant_get(data, '$', 'string') AS whole", "try_variant_get(data, '$.url', 'string') AS url")
+    assert tuples(got) == tuples(want) and got.count() == 3
+    images = spark.range(200).selectExpr(
+        "CAST(id AS STRING) AS id", "'l' AS link", "1 AS pos", "'image' AS type",
+        "parse_json(concat('{\"url\": \"u', id, '\", \"caption\": \"', repeat('long ', 50), id, '\"}')) AS data",
+    )
+    many = shared_dir(spark, "many")
+    write_blocks(images.coalesce(1), many)
+    footer = pq.read_schema(next(f for f in spark.read.parquet(many).inputFiles()).removeprefix("file://"))
+    assert "typed_value" in str(footer.field("data").type)  # members have columns of their own
+    urls = read_blocks(spark, many, {"url": "$.url"}).select("url")
+    assert urls.distinct().count() == 200
+    plan = urls._jdf.queryExecution().executedPlan().toString()
+    schema = plan.split("ReadSchema:")[1].splitlines()[0]
+    assert "caption" not in schema and "variant" not in schema  # the path alone, as a plain member
+
+
