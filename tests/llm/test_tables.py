@@ -109,6 +109,19 @@ def test_verdicts_on_the_tables(spark):
     assert sum(k for q, k in judged if q) >= 0.98 * sum(q for q, _ in judged)
 
 
+def test_bad_texts_that_pass_the_base_rule_are_rejected(spark):
+    """Of a table with enough rows a group for estimates: keeping all would fail here."""
+    folder = "/root/testdata/sf0.01"
+    got = mcd.query(spark, folder).where("NOT base_failed")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    judged = got.join(labels, "doc_id").groupBy("quality").agg(
+        F.count("*").alias("n"), F.count_if("kept").alias("kept")
+    )
+    by = {r.quality: (r.n, r.kept) for r in judged.collect()}
+    assert by[1][1] >= 0.98 * by[1][0] > 100
+    assert by[0][1] <= 0.2 * by[0][0] and by[0][0] > 10
+
+
 def test_verdicts_on_odd_rows(odd, clashing, none, odd_rows):
     for docs in (odd, clashing):
         got = mcd.judge(docs).select("doc_id", "n_words", "kept", "base_failed").collect()
