@@ -101,7 +101,7 @@ def test_rows_equal_arrays(trees_of):
 def test_one_exchange_and_no_product(nodes):
     hits = nodes.where("tag = 'a'")
     for frame in (rows.outermost(hits), rows.walk_until(nodes, F.col("tag") == "b")):
-        plan = plan_of(frame)
+        plan = plan_of(frame).split("InMemoryTableScan")[0]  # without how the table was made
         assert plan.count("Exchange hashpartitioning(page_id") == 1 and plan.count("Exchange") == 1
     for frame in (rows.within(nodes, hits), rows.subtrees(nodes, hits)):
         plan = plan_of(frame)
