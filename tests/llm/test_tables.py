@@ -218,7 +218,8 @@ def greedy(rows):
 def variants_of(spark, lines):
     """The long lines of a list, one document each, that are alike to an anchor."""
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id BIGINT, text STRING").cache()
-    left = templates.several(docs, templates.counted(templates.parsed(docs)))
+    rows = templates.parsed(docs).cache()
+    left = templates.several(rows, templates.counted(rows))
     got = templates.parsed_leaves(left)[0].join(left, "line").select("masked").collect()
     assert len({r.masked for r in got}) == len(got)
     return {r.masked for r in got}
@@ -239,7 +240,8 @@ def test_anchors_are_those_of_one_after_the_other(spark, monkeypatch, paired):
     rows = [(i, line) for line in sorted(lines) for i in rng.sample(range(50), rng.randint(1, 4))]
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
     docs = docs.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
-    left = templates.several(docs, templates.counted(templates.parsed(docs))).cache()
+    parsed = templates.parsed(docs).cache()
+    left = templates.several(parsed, templates.counted(parsed)).cache()
     times = collections.Counter(line for _, line in rows)
     want = {}
     for n in (*sizes, 30):
