@@ -147,7 +147,7 @@ class Network:
 
 def flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(x) for x in lists], np.int64)
-    ids = np.concatenate(lists) if lists else np.empty((0, 3), np.int64)
+    ids = np.concatenate(lists).astype(np.int64) if lists else np.empty((0, 3), np.int64)
     return ids, np.cumsum(sizes) - sizes, sizes
 
 
@@ -303,38 +303,41 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[], F.Column] | Non
         known = known.where(usable())
     known = stored(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "known")
     chosen = sample_by_class(known, "toxic", "doc_id", PER_CLASS)
-    rows = (
+    sample = (
         docs.select("doc_id", run_of("text", CHARS).alias("text"), "lang")
         .join(F.broadcast(chosen), "doc_id")  # at most 4 * PER_CLASS rows
-        .limit(4 * PER_CLASS).orderBy("doc_id").collect()
+        .limit(4 * PER_CLASS).orderBy("doc_id")
     )
-    y = np.array([r.toxic for r in rows], float)
+    rows, texts = [], []
+    for r in sample.toLocalIterator():  # texts go as soon as their words are rows
+        rows.append((r.doc_id, r.lang or "", r.toxic))
+        texts.append(buckets(words_of(r.text or "")).astype(np.uint16))  # ROWS fit
+    y = np.array([toxic for _, _, toxic in rows], float)
     if not 0 < y.sum() < len(y):
         share = y.mean() if len(y) else 0.0
         share = min(max(share, 1e-12), 1 - 1e-12)
         return Model(None, -float(np.log(share / (1 - share))), {})
-    texts = [buckets(words_of(r.text or "")) for r in rows]
     gone = pd.DataFrame({
-        "doc_id": [r.doc_id for r in rows], "lang": [r.lang or "" for r in rows],
-        "toxic": y.astype(int),
+        "doc_id": [i for i, _, _ in rows], "lang": [lang for _, lang, _ in rows], "toxic": y.astype(int),
     })
     fitted = ~left_out(gone)
     if len({*y[fitted]}) < 2 or len({*y[~fitted]}) < 2:
         fitted[:] = True
     checked = ~fitted if not fitted.all() else fitted
     learned = [t for t, f in zip(texts, fitted, strict=True) if f]
-    own = flat([t for t, c in zip(texts, checked, strict=True) if c])
+    own = [t for t, c in zip(texts, checked, strict=True) if c]
     best = None
     for i in range(TRIES):
         net = train(learned, y[fitted], SEED + i)
-        logits = net.logits(net.pooled(*own)[0]).astype(float)
+        pieces = (own[j : j + BATCH] for j in range(0, len(own), BATCH))
+        logits = np.concatenate([net.logits(net.pooled(*flat(x))[0]) for x in pieces]).astype(float)
         quality = ranking(logits, y[checked])
         if best is None or quality > best[0]:
             best = quality, net
     _, net = best
     if fitted.all():  # too few rows to leave any out
         return Model(net, *cuts_of(step_counts(docs, known, net), gone[:0]))
-    ids = sorted({r.doc_id for r, f in zip(rows, fitted, strict=True) if f})
+    ids = sorted({i for (i, _, _), f in zip(rows, fitted, strict=True) if f})
     seen = spark.createDataFrame([(i,) for i in ids], known.select("doc_id").schema)
     left = stored(known.join(F.broadcast(seen), "doc_id", "left_anti"), "left")
     return Model(net, *cuts_of(step_counts(docs, left, net), gone[fitted]))
