@@ -320,6 +320,7 @@ WHERE videos = 0 GROUP BY page_id"""
     || CASE WHEN kind_b = 'Photo' THEN ['slider'] ELSE ['main'] END AS rules FROM doc)
 UNION ALL SELECT page_id, 'block', row_number() OVER (PARTITION BY page_id ORDER BY i, k) - 1, rule FROM (
   SELECT doc_id AS page_id, -1 AS i, 'top' AS rule, 1 AS k FROM doc WHERE kind_b = 'Article' AND n_chars % 8 <> 4
+  UNION ALL SELECT doc_id, i, 'slide', 1 FROM line WHERE kind_b = 'Photo'
   UNION ALL SELECT doc_id, i, unnest(rules), generate_subscripts(rules, 1) FROM (
     SELECT doc_id, i, CASE i % 6 WHEN 2 THEN ['section'] WHEN 3 THEN ['image'] WHEN 4 THEN ['skip']
       WHEN 5 THEN ['skip', 'skip', 'image'] ELSE ['paragraph'] END AS rules
