@@ -10,14 +10,16 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Pages are wide rows: small Arrow batches keep Python workers small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    _PROVIDER: _ROCKSDB,
 }
 
 
@@ -36,6 +38,12 @@ def build(name: str = "pageloom", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """The state store that state processors need, for sessions not made by ``build``."""
+    if spark.conf.get(_PROVIDER, "") != _ROCKSDB:
+        spark.conf.set(_PROVIDER, _ROCKSDB)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the place all executors see.
 

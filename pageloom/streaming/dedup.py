@@ -8,6 +8,8 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from pageloom.session import keep_state_on_disk
+
 
 def first_sightings(items: DataFrame, delay: str, time_column: str = "seen_at") -> DataFrame:
     """Each link once per ``delay`` of event time.
@@ -76,6 +78,7 @@ def sightings(items: DataFrame, keep: timedelta, delay: str, time_column: str =
     the grouped rows carry a copy of the time, so they arrive, are told by the
     watermark of their batch and come out marked.  A row without a time is left out.
     """
+    keep_state_on_disk(items.sparkSession)
     timed = items.where(F.col(time_column).isNotNull()).withWatermark(time_column, delay)
     plain = timed.select(
         "source", "link", F.unix_millis(time_column).alias("ms"),

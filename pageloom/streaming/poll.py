@@ -20,6 +20,7 @@ from pageloom.operators.frontier import distinct_links, index_union, stored_amon
 from pageloom.operators.sized import stored_side
 from pageloom.plans.sites import listing_items
 from pageloom.schema import FRONTIER, FRONTIER_COLUMNS
+from pageloom.session import keep_state_on_disk
 from pageloom.sources import files
 from pageloom.sources.pages import spread
 
@@ -76,6 +77,7 @@ def unseen(items: DataFrame, known: DataFrame) -> DataFrame:
 
     ``known`` is read by the first batch alone and becomes state.
     """
+    keep_state_on_disk(items.sparkSession)
     links = items.where("link IS NOT NULL").select(*FRONTIER_COLUMNS).mapInArrow(_reduced, FRONTIER)
     seeds = known.select("link").where("link IS NOT NULL").distinct()
     return links.groupBy("link").transformWithState(
