@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.functions import html_tree
 from pageloom.schema import NODES_DDL
+from pageloom.session import keep_batches_small
 
 # The parser travels with the plan: executors need no installed package.
 cloudpickle.register_pickle_by_value(html_tree)
@@ -18,6 +19,7 @@ def page_trees(pages: DataFrame, *keep: str) -> DataFrame:
     ``keep`` names the columns carried along (default: all but html).  Filter
     pages before calling: nothing is pushed through the Python stage.
     """
+    keep_batches_small(pages.sparkSession)
     keep = keep or tuple(c for c in pages.columns if c != "html")
     chosen = pages.select(*keep, "html")
     carried = [f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep]
