@@ -20,7 +20,8 @@ _BOUND = re.compile(r"v\d+(?:\.\w+|\['[^']*'\])*")
 
 def lit(value: str) -> str:
     """SQL string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+    value = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r")
+    return f"'{value}'"
 
 
 def each(function: str, array: str, body: Callable[..., str], arity: int = 1) -> str:
@@ -126,18 +127,34 @@ def known_keys(json: str, names: Sequence[str]) -> str:
     """JSON text whose keys of these names, in any case, are written as given.
 
     A quoted name before a colon is a key: inside a string its quotes are escaped, and
-    the closing one then follows a backslash.
+    the closing one then follows a backslash.  One search tells whether a key is written
+    in another way at all; few texts are searched again for each name.
     """
+    keys = rf"""regexp_extract_all({json}, r'(?i)"({'|'.join(names)})"(?=\s*:)', 1)"""
+    given = ", ".join(lit(name) for name in names)
+    out = json
     for name in names:
-        json = rf"""regexp_replace({json}, r'(?i)"{name}"(?=\s*:)', '"{name}"')"""
-    return json
+        out = rf"""regexp_replace({out}, r'(?i)"{name}"(?=\s*:)', '"{name}"')"""
+    return f"if({each('exists', keys, lambda k: f'{k} NOT IN ({given})')}, {out}, {json})"
 
 
 _ESCAPES = [("&", "&amp;"), ("'", "&#39;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("\r", "&#13;")]
 
 
+def replaced(x: str, pairs: Sequence[tuple[str, str]]) -> str:
+    """Every plain text of ``pairs`` replaced by its partner, in order.
+
+    ``replace`` compares whole slices at every place of a text, ``contains`` the first
+    byte; so what ``x`` does not hold is not looked for again: an empty search text
+    leaves a string as it is.  ``x`` is a column or a bound variable.  No partner may
+    hold a later plain text.
+    """
+    out = x
+    for plain, ref in pairs:
+        plain = lit(plain)
+        out = f"replace({out}, if(contains({x}, {plain}), {plain}, ''), {lit(ref)})"
+    return out
+
+
 def escape_html(x: str) -> str:
-    for plain, ref in _ESCAPES:
-        plain = "'\\r'" if plain == "\r" else lit(plain)
-        x = f"replace({x}, {plain}, '{ref}')"
-    return x
+    return let(x, lambda v: replaced(v, _ESCAPES))

@@ -293,7 +293,10 @@ def article_a(trees: DataFrame) -> DataFrame:
         "published_at": rfc3339(field("datePublished")),
         "updated_at": rfc3339(field("dateModified")),
         "duration": duration,
-        "contents": let(json_video, lambda v: let("claimed", lambda c: _contents(c, v))),
+        # pages of other kinds have no player
+        "contents": let(
+            case((f"kind = {_VIDEO}", json_video)), lambda v: let("claimed", lambda c: _contents(c, v))
+        ),
         "related": top("related", _related),
     }
     return (

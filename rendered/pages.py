@@ -8,15 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pageloom.functions.scalars import replaced
 from pageloom.sources.pages import spread
 
 PER_PAGE = 20
 
 
 def _esc(x: str) -> str:
-    for plain, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        x = f"replace({x}, '{plain}', '{ref}')"
-    return x
+    return replaced(x, [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")])
 
 
 def _iso(zone: str) -> str:
