@@ -161,8 +161,11 @@ def block_json(blocks: DataFrame) -> DataFrame:
 
 
 def block_variant(blocks: DataFrame) -> DataFrame:
-    """The same payload as VARIANT, for sinks that hold it."""
-    return block_json(blocks).withColumn("data", F.parse_json("data"))
+    """The same payload as VARIANT, for sinks that hold it; a text becomes one as it is."""
+    made = F.coalesce(F.to_json("image"), F.to_json("video"), F.to_json("ref"))
+    text = F.coalesce(F.col("text").cast("variant"), F.parse_json(F.lit("null")))
+    data = F.when(made.isNotNull(), F.parse_json(made)).otherwise(text)
+    return blocks.where("type IS NOT NULL").select("id", "link", "pos", "type", data.alias("data"))
 
 
 def related_links(articles: DataFrame) -> DataFrame:
