@@ -255,6 +255,24 @@ def test_anchors_are_those_of_one_after_the_other(spark, monkeypatch, paired):
     assert len(short) > 20
 
 
+def test_rounds_compare_the_texts_of_open_lines_alone(spark, monkeypatch):
+    """A crowd that the first round settles is not moved again for the few lines left."""
+    moved, alike = [], templates.alike
+
+    def counting(pairs, left):
+        moved.append(left.count())
+        return alike(pairs, left)
+
+    monkeypatch.setattr(templates, "alike", counting)
+    word = lambda i, c: c * 3 + "".join(chr(97 + int(d)) for d in str(i))  # noqa: E731  digits would be masked
+    crowd = [f"we all know {word(i, 'x')} is what it is here today" for i in range(300)]
+    chain = [f"they said that {a} {b} of the {c} {d}" for a, b, c, d in itertools.product("xyz", repeat=4)]
+    got = variants_of(spark, crowd + chain)
+    want = greedy([(x, 1) for x in crowd]) | greedy([(x, 1) for x in chain])
+    assert got == set(want) and len(got) > 299
+    assert moved[0] == len(crowd + chain) and len(moved) > 1 and max(moved[1:]) <= len(chain)
+
+
 def jobs_of(spark, work):
     group = f"counted-{random.random()}"
     spark.sparkContext.setJobGroup(group, group)
