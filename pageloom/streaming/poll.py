@@ -2,8 +2,11 @@
 
 Each trigger parses the pages that arrived and keeps the links that were never seen.
 What was seen is the query's state, one entry for each link, seeded once from what
-the store held when the query first started: no trigger reads the store.  A page is
-one row, so every micro-batch holds whole pages.
+the store held when the query first started: no trigger reads the store.  A trigger's
+rows become one for each link before they meet the state, which is Spark's own
+de-duplication: no Python call for a link.  Only links that pass it are looked up among
+the seeds, and only if there were any.  A page is one row, so every micro-batch holds
+whole pages.
 """
 
 from __future__ import annotations
@@ -47,44 +50,82 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from table.combine_chunks().to_batches()
 
 
-class _Unseen(StatefulProcessor):
-    """A flag for each link; rows come out the first time only, one for each source."""
+#: A link's sources and times of one trigger.
+_LISTED = "link STRING, sources ARRAY<STRING>, times ARRAY<TIMESTAMP>"
+
+
+def _merged(tables: list[pa.Table]) -> pa.Table:
+    """One row for each source and link, with the latest time."""
+    table = pa.concat_tables(tables).group_by(["source", "link"], use_threads=False)
+    return table.aggregate([("published_at", "max")]).rename_columns({"published_at_max": "published_at"})
+
+
+def _by_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each link of a task, which has all rows of its links; rows are merged
+    whenever they are twice what was left by the last time."""
+    held, rows, limit = [], 0, 1 << 16
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows > limit:
+            held = [_merged(held)]
+            rows = held[0].num_rows
+            limit = max(limit, 2 * rows)
+    if rows:
+        lists = _merged(held).group_by("link", use_threads=False)
+        lists = lists.aggregate([("source", "list"), ("published_at", "list")])
+        lists = lists.select(["link", "source_list", "published_at_list"]).rename_columns(["link", "sources", "times"])
+        yield from lists.to_batches(max_chunksize=1 << 14)
+
+
+class _Unstored(StatefulProcessor):
+    """A flag for each seed; the rows of any other link pass."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "there BOOLEAN")
+        self.stored = handle.getValueState("stored", "there BOOLEAN")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.seen.update((True,))
+        self.stored.update((True,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if self.seen.exists():
-            return
-        latest: dict = {}
-        for row in rows:
-            before = latest.get(row.source)
-            at = row.published_at
-            latest[row.source] = at if before is None else before if at is None else max(before, at)
-        self.seen.update((True,))
-        for source, at in latest.items():
-            yield Row(source=source, link=key[0], published_at=at)
+        if not self.stored.exists():
+            yield from rows
 
     def close(self) -> None:
         pass
 
 
-def unseen(items: DataFrame, known: DataFrame) -> DataFrame:
-    """Links of a stream of ``source, link, published_at`` the first time they are seen.
+def unseen(items: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Links of a stream of ``source, link, published_at`` the first time they are seen,
+    one row for each source of that trigger, with its latest time.
 
-    ``known`` is read by the first batch alone and becomes state.
+    ``known``, if given, is read by the first batch alone and becomes state.
     """
     keep_state_on_disk(items.sparkSession)
     links = items.where("link IS NOT NULL").select(*FRONTIER_COLUMNS).mapInArrow(_reduced, FRONTIER)
+    each = links.repartition("link").mapInArrow(_by_link, _LISTED).dropDuplicates(["link"])
+    listed_by = F.inline(F.arrays_zip(F.col("sources").alias("source"), F.col("times").alias("published_at")))
+    first = each.select("link", listed_by).select(*FRONTIER_COLUMNS)
+    if known is None:
+        return first
     seeds = known.select("link").where("link IS NOT NULL").distinct()
-    return links.groupBy("link").transformWithState(
-        _Unseen(), FRONTIER, "append", "none", initialState=seeds.groupBy("link")
+    return first.groupBy("link").transformWithState(
+        _Unstored(), FRONTIER, "append", "none", initialState=seeds.groupBy("link")
     )
 
 
+def _seeded(spark: SparkSession, found: DataFrame, checkpoint: str) -> bool:
+    """Whether the query of a checkpoint has seeds: whether anything was found when its
+    first batch began."""
+    path = f"{checkpoint}/seeded"
+    if not files.names(spark, f"{checkpoint}/offsets"):
+        files.remove(spark, path)
+        files.create(spark, path, "no" if found.isEmpty() else "yes")
+    elif "seeded" not in files.names(spark, checkpoint):
+        raise ValueError("a checkpoint of an earlier form: start with a new one, its links are in the store")
+    return files.text(spark, path) == "yes"
+
+
 def frontier_rows(spark: SparkSession, store_path: str, but: str = "") -> DataFrame:
     """Everything the polls of a store have found, or all but what one has; empty if
     there was none yet."""
@@ -134,7 +175,8 @@ def poll(
         batch.write.mode("overwrite").parquet(f"{store_path}/{owner}/{number}")
 
     # its own rows are in its state; a first batch run again must not find them stored
-    fresh = unseen(listed(arriving), frontier_rows(spark, store_path, owner))
+    known = frontier_rows(spark, store_path, owner)
+    fresh = unseen(listed(arriving), known if _seeded(spark, known, checkpoint) else None)
     writer = fresh.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()

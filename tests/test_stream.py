@@ -2,13 +2,14 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from pageloom import fixed
 from pageloom.operators.frontier import new_links
 from pageloom.session import shared_dir
 from pageloom.streaming.dedup import first_sightings, late_rows, without_stored
-from pageloom.streaming.poll import LISTING_PAGE, append_new, frontier_rows, listed, poll
+from pageloom.streaming.poll import LISTING_PAGE, append_new, frontier_rows, listed, poll, unseen
 from tests.test_extract import LINK, item, root
 
 
@@ -42,6 +43,34 @@ def test_poll_rounds_and_replay(spark):
     assert sorted(r.link for r in whole.collect()) == links(spark, store)
 
 
+@pytest.mark.parametrize("seeded", [False, True])
+def test_unseen_asks_python_for_seeds_alone(spark, seeded):
+    """Every source of a link's first trigger, with its latest time; a link that was seen
+    needs no Python state call, and none does without seeds."""
+    items, out, checkpoint = (shared_dir(spark, n) for n in ("items", "out", "cp"))
+    schema, start = "source STRING, link STRING, published_at TIMESTAMP", datetime(2024, 1, 1)
+    later = start + timedelta(hours=1)
+    known = spark.createDataFrame([("old",), ("old",), (None,)], "link STRING") if seeded else None
+
+    def run(*rows):
+        spark.createDataFrame(rows, schema).repartition(4).write.mode("append").parquet(items)
+        fresh = unseen(spark.readStream.schema(schema).parquet(items), known)
+        plan = fresh._jdf.queryExecution().analyzed().toString()
+        assert "Deduplicate" in plan and ("TransformWithState" in plan) == seeded
+        fresh.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(
+            out
+        ).awaitTermination()
+        got = [tuple(r) for r in spark.read.schema(schema).parquet(out).collect()]
+        assert len(set(got)) == len(got)
+        return set(got)
+
+    first = {("a", "x", later), ("b", "x", None), (None, "y", start)}
+    rows = [("a", "x", start), ("a", "x", later), ("a", "x", None), ("b", "x", None), (None, "y", start), ("a", None, start)]
+    assert run(*rows) == first
+    old = set() if seeded else {("a", "old", later)}
+    assert run(("b", "x", later), ("c", "x", start), ("a", "old", later), ("a", "z", start)) == first | old | {("a", "z", start)}
+
+
 def test_append_new_twice_is_the_same(spark):
     store = shared_dir(spark, "store")
     batch = spark.createDataFrame([(0, fixed.SOURCE_A, "u", listing("a", "b"))], LISTING_PAGE)
