@@ -34,12 +34,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageloom.llm.common import empty_as, per_text, read, stored, tasks
 from pageloom.llm.components import components
+from pageloom.operators.sized import is_small
+from pageloom.session import keep_batches_small
 
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 #: Lists up to this length are paired off in numpy, longer ones look neighbours up.
 PAIRED = 1024
+#: Bytes of keys that are broadcast, so that texts need not move.
+SMALL = 8 << 20
 LOW = np.uint64(0x0101010101010101)
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -233,6 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BIT
 
     ``text_key`` tells rows of one ``doc_id`` apart by a hash of their texts.
     """
+    keep_batches_small(docs.sparkSession)
     keyed = docs.select("doc_id", F.xxhash64(empty_as()).alias("text_key"), "text")
     marked = stored(fingerprint_table(keyed, shingle, ["doc_id", "text_key"]), "simhash")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -251,24 +256,33 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BITS) -
     """``docs`` with one row of each component: that of its least ``doc_id``
     (null last, ties by text hash); of equal rows one stays.
 
-    Rows are chosen on narrow columns; texts are moved once, by the last join.
+    Rows are chosen on narrow columns.  Texts stay where they are if the keys of the
+    rows that go, or of those that stay, are small enough for a broadcast; else they
+    are moved once, by the last join.
     """
     marks = near_duplicates(docs, shingle, bits)
     rows = marks.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    rows = stored(rows, "rows")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "copies")
     best = rows.groupBy("root").agg(F.min(order).alias("best"))
     best = stored(best.select("best.doc_id", "best.text_key", "best.copies"), "best")
-
-    def only(chosen: DataFrame) -> DataFrame:
-        same = docs["doc_id"].eqNullSafe(chosen["doc_id"])
-        same &= F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == chosen["text_key"]
-        return docs.join(chosen, same, "left_semi")
-
-    repeated = best.where("copies > 1")
+    same_key = rows["doc_id"].eqNullSafe(best["doc_id"]) & (rows["text_key"] == best["text_key"])
+    gone = stored(rows.join(best, same_key, "left_anti").select("doc_id", "text_key"), "gone")
+
+    def by_key(left: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+        same = left["doc_id"].eqNullSafe(chosen["doc_id"])
+        same &= F.xxhash64(F.coalesce(left["text"], F.lit(""))) == chosen["text_key"]
+        return left.join(F.broadcast(chosen) if is_small(chosen, SMALL) else chosen, same, how)
+
+    if is_small(gone, SMALL):
+        kept = by_key(docs, gone, "left_anti")
+    else:
+        kept = by_key(docs, best.drop("copies"), "left_semi")
+    repeated = best.where("copies > 1").select("doc_id", "text_key")
     if repeated.isEmpty():
-        return only(best)
-    return only(best.where("copies = 1")).unionByName(
-        only(repeated).dropDuplicates(["doc_id", "text"])
+        return kept
+    return by_key(kept, repeated, "left_anti").unionByName(
+        by_key(docs, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
     )
 
 

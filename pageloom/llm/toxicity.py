@@ -36,6 +36,7 @@ from pageloom.llm.common import (
     SLICE_CHARS, per_text, read, run_of, sample_by_class, slices, stored
 )
 from pageloom.operators.sized import is_small
+from pageloom.session import keep_batches_small
 
 #: Rows of the embedding table and their width; filter widths and filters of each.
 ROWS, WIDTH, SPANS, FILTERS = 1 << 14, 12, (1, 2, 3), 8
@@ -298,6 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Callable[[], F.Column] | Non
     all labelled rows that are not fitted set the cuts.
     """
     spark = docs.sparkSession
+    keep_batches_small(spark)
     known = labels.where("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int"))
     if usable:
         known = known.where(usable())
@@ -363,6 +365,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
 
     Only texts go to Python and only scores come back.
     """
+    keep_batches_small(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:

@@ -2,10 +2,12 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
-from pageloom.llm import simhash
+from pageloom.llm import simhash, toxicity
 from pageloom.llm.components import components
+from pageloom.session import BATCH_BYTES
 
 
 def fingerprint(text):
@@ -90,3 +92,51 @@ def test_query_matches_brute_force(spark):
     want = [(d.doc_id, f"{p:016x}", docs[t].doc_id)
             for d, p, t in zip(docs, prints, roots(prints), strict=True)]
     assert sorted(map(tuple, simhash.query(spark, SF_DIR).collect())) == want
+
+
+@pytest.mark.parametrize("copies", [1, 12])  # few rows go, most rows go
+def test_texts_stay_where_they_are_if_keys_are_small(spark, copies):
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.random()) for _ in range(20)) for _ in range(6)] + [None]
+    rows = [(7 * c + i, x) for c in range(copies) for i, x in enumerate(texts)]
+    rows += [(100, texts[0]), (None, texts[1]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # only measured tables are broadcast
+    try:
+        kept = simhash.one_of_each(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, kept.collect()))
+    finally:
+        spark.conf.set(limit, before)
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert got == list(enumerate(texts))
+
+
+@pytest.mark.parametrize("small", [0, 700, 8 << 20])  # texts move, few stay, few go
+def test_one_of_each_is_the_same_by_every_join(spark, monkeypatch, odd, odd_rows, small):
+    prints = [fingerprint(r[1]) for r in odd_rows]
+    best = {}
+    for r, top in zip(odd_rows, roots(prints), strict=True):
+        if top not in best or (r[0] is None, r[0] or 0) < (best[top] is None, best[top] or 0):
+            best[top] = r[0]
+    monkeypatch.setattr(simhash, "SMALL", small)
+    many = odd
+    for _ in range(3):  # repeated rows, more of them than rows that stay
+        many = many.unionByName(odd)
+    for docs in (odd, many):
+        kept = simhash.one_of_each(docs).collect()
+        assert sorted((r.doc_id for r in kept), key=str) == sorted(best.values(), key=str)
+        assert {(r.doc_id, r.text) for r in kept} <= {r[:2] for r in odd_rows}
+
+
+def test_workers_get_small_batches_of_texts(spark, none):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    labels = spark.createDataFrame([], "doc_id BIGINT, toxic INT")
+    jobs = (lambda: simhash.near_duplicates(none), lambda: toxicity.fit(none, labels),
+            lambda: toxicity.clean(none, toxicity.Model(None, 0.0, {})))
+    for job in jobs:
+        spark.conf.set(limit, str(64 << 20))
+        job()
+        assert int(spark.conf.get(limit)) == BATCH_BYTES
