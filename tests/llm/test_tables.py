@@ -342,6 +342,40 @@ def test_lines_of_odd_rows(odd, clashing, none, odd_rows):
     assert templates.dedup(none).collect() == []
 
 
+def test_texts_of_lines_that_can_be_alike_to_none_are_not_kept(spark, monkeypatch):
+    """Of other lines only hashes are stored and moved, also where nothing is broadcast."""
+    word = lambda i, c: c * 3 + "".join(chr(97 + int(d)) for d in str(i))  # noqa: E731  digits would be masked
+    lone = [f"{word(i, 'x')} {word(i, 'y')} {word(i, 'z')} is a line of its own leaf" for i in range(300)]
+    near = [f"we all know that {word(i, 'u')} is what it is here" for i in range(20)]
+    rows = [(i, "\n".join([lone[i], *near[i : i + 1], "end"])) for i in range(300)] + [(None, lone[0]), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3).cache()
+    want = sorted(map(str, templates.dedup(docs).collect()))
+    kept, stored = {}, templates.stored
+
+    def counting(df, purpose):
+        table = stored(df, purpose)
+        kept[purpose] = 0 if "string" not in dict(df.dtypes).values() else table.count()
+        return table
+
+    monkeypatch.setattr(templates, "stored", counting)
+    monkeypatch.setattr("pageloom.operators.sized.stored", counting)
+    monkeypatch.setattr(templates, "SMALL", 0)
+    assert sorted(map(str, templates.dedup(docs).collect())) == want
+    assert kept["lines"] == 0 and kept["several"] == max(kept.values()) == len(near)
+    assert sum("is what it is" in x for x in want) == 1 and sum(lone[0] in x for x in want) == 1
+
+
+@pytest.mark.parametrize("most", [1 << 13, templates.MOST_BITS])
+def test_no_key_is_missed(spark, monkeypatch, most):
+    """Neither with bits enough nor with fewer bits than keys."""
+    monkeypatch.setattr(templates, "MOST_BITS", most)
+    keys = spark.range(0, 20_000).select(F.xxhash64("id").alias("key"))
+    rows = spark.range(0, 40_000).select("id", F.xxhash64("id").alias("key"))
+    got = {r.id for r in templates.likely(rows, "key", keys).collect()}
+    assert got >= set(range(20_000)) and (most < 20_000 or len(got) < 21_500)
+    assert templates.likely(rows, "key", keys.limit(0)).count() == 0
+
+
 # -- mixing ----------------------------------------------------------------------------
 
 
