@@ -376,6 +376,28 @@ def test_no_key_is_missed(spark, monkeypatch, most):
     assert templates.likely(rows, "key", keys.limit(0)).count() == 0
 
 
+def test_a_text_is_split_once_for_all_its_drops(spark):
+    """Not again for each run of lines that stay."""
+    word = lambda i, c: c * 3 + "".join(chr(97 + int(d)) for d in str(i))
+    line = lambda i: f"{word(i, 'x')} {word(i, 'y')} {word(i, 'z')} is a line of its own leaf"
+    rows = [(1, "\n".join(map(line, range(0, 600, 2)))), (2, "\n".join(map(line, range(600))))]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").cache()
+    got = templates.dedup(docs)
+    made = got._jdf.queryExecution().optimizedPlan().toString().split("_llm_key")[0]
+    assert made.count("split(text") == 2  # for the lines that stay, and for their count
+    by_id = {r.doc_id: (r.text, r._llm_lines, r._llm_dropped) for r in got.collect()}
+    assert by_id[2] == ("\n".join(map(line, range(1, 600, 2))), 600, 300) and by_id[1] == (rows[0][1], 300, 0)
+
+
+def test_masks_and_counts_of_odd_lines(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choices("ab 12é 日\t🙂\r<", k=rng.randint(0, 30))) for _ in range(400)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id BIGINT, text STRING")
+    got = {r.doc_id: (r.masked, r.n) for r in templates.parsed(docs).collect()}
+    want = {i: (re.sub(templates.FIELD, templates.MARK, x), x.count(" ") + 1) for i, x in enumerate(lines)}
+    assert got == {i: x for i, x in want.items() if x[1] >= templates.SHORT} and len(got) > 100
+
+
 # -- mixing ----------------------------------------------------------------------------
 
 
